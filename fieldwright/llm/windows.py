@@ -1,34 +1,34 @@
 """Substring deduplication: Rabin-Karp hashes of every 13-word window, least document per hash.
 
-A task hashes the windows of about ``CHUNK`` words at a time and first settles what it can by itself:
-of equal windows only those of the least document go on, the others are known to repeat and leave as
-merged intervals. So a window that a third of the corpus holds costs one row for each chunk, and no task gets
-all its occurrences. What goes on is shuffled by hash; a window repeats if a lesser document has it.
-The intervals of a document are merged and cut from its text.
+Documents are dealt by hash into chunks of a few MB. A chunk hashes all its windows and keeps, of equal
+ones, the document with the smallest id: so a window that a third of the corpus holds is one entry for each chunk.
+The entries, sorted by hash, are cut into buckets of the hash range and shuffled as packed runs; a bucket finds
+the smallest document of every hash and answers each run with one bit per entry: does a smaller
+document have it? The answers go back to the chunks, where repeated windows merge into maximal removal
+intervals and are cut from the texts. The texts are shuffled once; both passes over the chunks read that exchange.
+
+Chunks and buckets are bounded in bytes, whatever the corpus; they grow with the square root of its
+size up to 64 MB, so that runs stay worth packing.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
 from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldwright.llm.common import by_batch
-
 WORDS = 13
-CHUNK = 1_000_000
-#: Odd multipliers of the two polynomial hashes modulo 2^64.
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Bytes of text in a chunk for a corpus of up to 4 GB, and at most. A bucket answers for so many times as much.
+CHUNK_BYTES, MOST_BYTES, BUCKET_CHUNKS = 2 << 20, 64 << 20, 3
+#: Odd multiplier of the polynomial hash modulo 2^64.
+BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
-#: A packed candidate: 20 check bits of the second hash, 15 bits that tell rows of one doc_id apart, 28 bits of start.
-POS_BITS, TAG_BITS, CHECK_BITS = 28, 15, 20
-POS_MASK = (1 << POS_BITS) - 1
 
 
 class _WordValues(dict):
@@ -41,140 +41,178 @@ class _WordValues(dict):
         return value
 
 
-def rolling(values: np.ndarray, base: int, width: int = WORDS) -> np.ndarray:
-    """Polynomial hash of each ``width`` consecutive values, modulo 2^64."""
-    n = len(values) - width + 1
-    total = np.zeros(max(n, 0), np.uint64)
-    power = 1
-    for j in range(width - 1, -1, -1):
-        total += values[j : j + n] * np.uint64(power)
-        power = power * base & MASK
-    return total
-
-
-def text_tag(data: bytes) -> int:
-    return zlib.crc32(data) & ((1 << TAG_BITS) - 1)
-
-
-def _tag(text: str) -> Column:
-    """text_tag as a column."""
-    return F.crc32(F.col(text).cast("binary")).bitwiseAND((1 << TAG_BITS) - 1)
+def rolling(values: np.ndarray, width: int = WORDS) -> np.ndarray:
+    """Polynomial hash of each ``width`` consecutive values, modulo 2^64, by Horner's rule over all at once."""
+    n = max(len(values) - width + 1, 0)
+    total = np.zeros(n, np.uint64)
+    for j in range(width):
+        total *= np.uint64(BASE)
+        total += values[j : j + n]
+    return total ^ (total >> np.uint64(32))
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal intervals of the union; starts are sorted."""
+    """Maximal intervals of the union; starts are sorted and not empty."""
     reach = np.maximum.accumulate(ends)
     new = np.concatenate([[True], starts[1:] > reach[:-1]])
     return starts[new], np.append(reach[:-1][new[1:]], reach[-1])
 
 
-def _chunk(docs: list[tuple[int, int, np.ndarray]], width: int) -> pa.RecordBatch:
-    """Rows (h, x, doc_id): candidates with x >= 0, and intervals that repeat for sure with x < 0."""
-    docs.sort(key=lambda d: d[0])
-    values = np.concatenate([d[2] for d in docs])
-    lengths = np.array([len(d[2]) for d in docs])
-    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    of = np.repeat(np.arange(len(docs)), lengths)
-    pos = np.arange(len(values)) - np.repeat(first, lengths)
-    n = len(values) - width + 1
-    inside = pos[:n] + width <= lengths[of[:n]]
-    h = rolling(values, BASES[0], width)[inside]
-    check = (rolling(values, BASES[1], width)[inside] >> np.uint64(64 - CHECK_BITS)).astype(np.int64)
-    of, pos = of[:n][inside], pos[:n][inside]
-    order = np.argsort(h, kind="stable")
-    hs, cs, ds = h[order], check[order], of[order]
-    new = np.concatenate([[True], (hs[1:] != hs[:-1]) | (cs[1:] != cs[:-1])])
-    ids = np.array([d[0] for d in docs], np.int64)
-    least = ids[ds[np.flatnonzero(new)]][np.cumsum(new) - 1]
-    repeats = np.zeros(len(h), bool)
-    repeats[order] = ids[ds] != least
-    tags = np.array([d[1] for d in docs], np.int64)
-    go = ~repeats
-    x = (check[go] << (TAG_BITS + POS_BITS)) | (tags[of[go]] << POS_BITS) | pos[go]
-    keys, packed, owner = [h[go].view(np.int64)], [x], [ids[of[go]]]
-    if repeats.any():
-        at = np.flatnonzero(repeats)
-        base = of[at] * np.int64(1 << POS_BITS) + pos[at]
-        starts, ends = merged(base, base + width)
-        doc, s = starts >> POS_BITS, starts & POS_MASK
-        e = s + (ends - starts)
-        spread = (ids[doc].view(np.uint64) * np.uint64(BASES[0])).view(np.int64)
-        keys.append(spread & ~POS_MASK | e)  # spreads intervals over tasks and holds their end
-        packed.append(-1 - (tags[doc] << POS_BITS | s))
-        owner.append(ids[doc])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(packed)), pa.array(np.concatenate(owner))], ["h", "x", "doc_id"])
-
-
-def hashed_windows(width: int):
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, docs, held = _WordValues(), [], 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = text.encode("utf-8", "surrogatepass")
-                words = data.split()
-                if len(words) < width:
-                    continue
-                if len(words) > POS_MASK:
-                    raise ValueError(f"document {doc_id} has more than {POS_MASK} words")
-                docs.append((doc_id, text_tag(data), np.array([known[w] for w in words], np.uint64)))
-                held += len(words)
-                if held >= CHUNK:
-                    yield _chunk(docs, width)
-                    docs, held = [], 0
-        if docs:
-            yield _chunk(docs, width)
+class Chunk:
+    """The windows of some documents: for each its hash's place among the chunk's distinct hashes."""
+
+    def __init__(self, doc_ids: list[int | None], texts: list[str | None], width: int, known: _WordValues) -> None:
+        self.width = width
+        self.words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+        lengths = np.array([len(w) for w in self.words], np.int64)
+        self.first = np.cumsum(lengths) - lengths
+        values = np.fromiter((known[w] for words in self.words for w in words), np.uint64, int(lengths.sum()))
+        starts = np.ones(max(len(values) - width + 1, 0), bool)
+        present = np.array([d is not None for d in doc_ids], bool)
+        for f, n, ok in zip(self.first.tolist(), lengths.tolist(), present.tolist()):
+            starts[max(f, f + n - width + 1) if ok else f : f + n] = False
+        self.at = np.flatnonzero(starts)
+        h = rolling(values, width)[starts]
+        ids = np.array([d or 0 for d in doc_ids], np.int64)
+        owner = np.repeat(ids, lengths)[self.at]
+        order = np.lexsort((owner, h)) if (np.diff(ids[present]) < 0).any() else np.argsort(h, kind="stable")
+        h = h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        self.hashes, self.owners = h[new], owner[order][new]
+        self.place = np.empty(len(h), np.int64)
+        self.place[order] = np.cumsum(new) - 1
+        self.later = owner > self.owners[self.place]
+
+    def cuts(self, buckets: int) -> list[int]:
+        """Where the entries of each bucket end."""
+        return np.searchsorted((self.hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets), side="right").tolist()
+
+    def keeps(self, answers: np.ndarray) -> list[np.ndarray]:
+        """Which words of each document stay; answers: an entry is held by a document smaller than its owner."""
+        gone = np.zeros(int(sum(map(len, self.words))) + 1, np.int32)
+        starts = self.at[self.later | answers[self.place]]
+        if len(starts):
+            a, b = merged(starts, starts + self.width)
+            gone[a] += 1
+            gone[b] -= 1
+        keep = np.cumsum(gone[:-1]) == 0
+        return [keep[f : f + len(w)] for f, w in zip(self.first.tolist(), self.words)]
 
-    return over
 
+def narrow(values: np.ndarray) -> tuple[int, bytes]:
+    """Non-negative integers in as few bytes each as the greatest takes; that number first."""
+    size = max(1, (int(values.max()).bit_length() + 7) // 8)
+    return size, values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
-def repeated_intervals(docs: DataFrame, width: int = WORDS) -> DataFrame:
-    """Rows (doc_id, tag, start, end): word intervals that windows of documents with smaller ids also hold.
 
-    Several rows of a document may overlap.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    found = rows.mapInArrow(hashed_windows(width), "h long, x long, doc_id long").repartition("h")
-    check = F.shiftright("x", TAG_BITS + POS_BITS)
-    least = F.min("doc_id").over(Window.partitionBy("h", check))
-    repeats = found.withColumn("least", least).where("x < 0 or doc_id > least")
-    body = F.when(F.col("x") < 0, -1 - F.col("x")).otherwise(F.col("x"))
-    start = body.bitwiseAND(POS_MASK)
-    end = F.when(F.col("x") < 0, F.col("h").bitwiseAND(POS_MASK)).otherwise(start + width)
-    return repeats.select("doc_id", F.shiftright(body, POS_BITS).bitwiseAND((1 << TAG_BITS) - 1).alias("tag"), start.alias("start"), end.alias("end"))
-
-
-def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Rows (doc_id, n_words, n_removed, kept) from (doc_id, text, tag -> packed intervals)."""
-    out: list[list] = [[], [], []]
-    for text, packed in zip(batch.column(1).to_pylist(), batch.column(2)):
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        gone = np.zeros(len(words) + 1, np.int32)
-        if packed.is_valid and len(words):
-            at = packed.values.to_numpy()
-            np.add.at(gone, at >> POS_BITS, 1)
-            np.add.at(gone, at & POS_MASK, -1)
-        keep = np.cumsum(gone[:-1]) == 0
-        out[0].append(len(words))
-        out[1].append(int(len(words) - keep.sum()))
-        out[2].append(b" ".join(compress(words, keep)).decode("utf-8", "surrogatepass"))
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+def widen(size: int, data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(data, np.uint8).reshape(-1, size)
+    return out.reshape(-1).view("<u8")
+
 
+def packed(hashes: np.ndarray, owners: np.ndarray) -> bytes:
+    """A run of entries: differences of the sorted hashes, and owners above the least."""
+    least = int(owners.min())
+    n1, steps = narrow(np.diff(hashes, prepend=np.uint64(0)) if len(hashes) == 1 else np.append(np.uint64(0), np.diff(hashes)))
+    n2, above = narrow((owners - least).view(np.uint64))
+    head = np.array([len(hashes), n1, n2, least], "<i8").tobytes() + hashes[:1].astype("<u8").tobytes()
+    return head + steps + above
 
-def remove_repeated_windows(docs: DataFrame, width: int = WORDS) -> DataFrame:
+
+def unpacked(run: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, n1, n2, least = (int(x) for x in np.frombuffer(run, "<i8", 4))
+    first = np.frombuffer(run, "<u8", 1, 32)[0]
+    steps = widen(n1, run[40 : 40 + n * n1]).copy()
+    steps[0] = first
+    return np.cumsum(steps, dtype=np.uint64), widen(n2, run[40 + n * n1 :]).view(np.int64) + least
+
+
+def _runs(width: int, buckets: int):
+    """Rows (bucket, chunk, run) from rows (chunk, doc_id, text) sorted by chunk and doc_id."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, now, ids, texts = _WordValues(), None, [], []
+
+        def closed() -> pa.RecordBatch:
+            chunk = Chunk(ids, texts, width, known)
+            ends = chunk.cuts(buckets)
+            cut = [(b, s, e) for b, (s, e) in enumerate(zip([0, *ends], ends)) if e > s]
+            runs = [packed(chunk.hashes[s:e], chunk.owners[s:e]) for _, s, e in cut]
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in cut], pa.int64()), pa.array([now] * len(cut), pa.int64()), pa.array(runs, pa.binary())], ["bucket", "chunk", "run"])
+
+        for batch in batches:
+            for c, d, t in zip(*[x.to_pylist() for x in batch.columns]):
+                if c != now:
+                    if ids:
+                        yield closed()
+                    now, ids, texts = c, [], []
+                ids.append(d)
+                texts.append(t)
+        if ids:
+            yield closed()
+
+    return over
+
+
+def _answers(key: tuple, runs: pa.Table) -> pa.Table:
+    """For each run of a bucket one bit per entry: a smaller document has the window."""
+    parts = [unpacked(r) for r in runs.column("run").to_pylist()]
+    h, owners = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.argsort(h, kind="stable")
+    sorted_h = h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = sorted_h[1:] != sorted_h[:-1]
+    least = np.minimum.reduceat(owners[order], np.flatnonzero(new))
+    held = np.empty(len(h), bool)
+    held[order] = owners[order] > least[np.cumsum(new) - 1]
+    ends = np.cumsum([len(p[0]) for p in parts])
+    bits = [np.packbits(held[e - len(p[0]) : e]).tobytes() for e, p in zip(ends, parts)]
+    return pa.table({"chunk": runs.column("chunk"), "bucket": pa.array([key[0].as_py()] * len(bits), pa.int64()), "bits": pa.array(bits, pa.binary())})
+
+
+def _cut(width: int, buckets: int):
+    known = _WordValues()
+
+    def of(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = docs.sort_by("doc_id")  # stable, nulls last
+        ids, texts = docs.column("doc_id").to_pylist(), docs.column("text").to_pylist()
+        chunk = Chunk(ids, texts, width, known)
+        bits = dict(zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist()))
+        held = np.zeros(len(chunk.hashes), bool)
+        ends = chunk.cuts(buckets)
+        for b, (s, e) in enumerate(zip([0, *ends], ends)):
+            if e > s:
+                held[s:e] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=e - s).astype(bool)
+        keeps = chunk.keeps(held)
+        kept = [b" ".join(compress(w, k)).decode("utf-8", "surrogatepass") for w, k in zip(chunk.words, keeps)]
+        n = [len(k) for k in keeps]
+        gone = [int(len(k) - k.sum()) for k in keeps]
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_text": pa.array(kept, pa.string())})
+
+    return of
+
+
+def remove_repeated_windows(docs: DataFrame, width: int = WORDS, chunk_bytes: int | None = None) -> DataFrame:
     """One row (doc_id, n_words, n_removed, kept_text) per document.
 
     Every word goes that lies in a window of ``width`` words whose word sequence also starts in a document
     with a smaller doc_id; windows are judged on the input. Kept words are joined by one space. Null text:
     no words. Texts shorter than a window keep all. Rows without doc_id keep all and count for no other
-    row. Rows that share a doc_id do not count as smaller than each other; each is cut by its own windows
-    (they are told apart by 15 bits of a hash of the text). Repeated rows give a row each. A repeated
-    window inside one document stays. Further columns play no part. No documents: no rows.
+    row. Rows that share a doc_id do not count as smaller than each other. Repeated rows give a row each. A
+    repeated window inside one document stays. Further columns play no part. No documents: no rows.
 
-    Windows are compared by 84 bits of hash: at 10^13 windows a handful of false repeats are to be expected.
+    Windows are told apart by 64 bits of hash: of 10^13 windows, one in a million may be taken for a repeat wrongly.
     """
-    gone = repeated_intervals(docs, width)
-    packed = gone.groupBy("doc_id", "tag").agg(F.collect_list(F.shiftleft("start", POS_BITS).bitwiseOR(F.col("end"))).alias("gone"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("tag", _tag("text"))
-    joined = rows.join(packed, ["doc_id", "tag"], "left").select("doc_id", "text", "gone")
-    return joined.mapInArrow(by_batch(_cut), "doc_id long, n_words long, n_removed long, kept_text string")
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if chunk_bytes is None:
+        chunk_bytes = int(min(MOST_BYTES, CHUNK_BYTES * max(1.0, math.sqrt(total / (4 << 30)))))
+    chunks = max(1, -(-total // chunk_bytes))
+    buckets = max(1, -(-chunks // BUCKET_CHUNKS))
+    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long").alias("chunk"), "doc_id", "text").repartition("chunk")
+    runs = dealt.sortWithinPartitions("chunk", F.col("doc_id").asc_nulls_last()).mapInArrow(_runs(width, buckets), "bucket long, chunk long, run binary")
+    answers = runs.groupBy("bucket").applyInArrow(_answers, "chunk long, bucket long, bits binary")
+    out = "doc_id long, n_words long, n_removed long, kept_text string"
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_cut(width, buckets), out)
