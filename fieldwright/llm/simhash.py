@@ -128,7 +128,9 @@ def links_within_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """Links (a, b) that connect all fingerprints ``fp`` within the radius; distinct: rows (fp)."""
-    variants = distinct.mapInArrow(by_batch(ball), "variant long, fp long")
+    # a small table makes many rows: spread it first
+    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    variants = spread.mapInArrow(by_batch(ball), "variant long, fp long")
     return variants.repartition("variant").sortWithinPartitions("variant").mapInArrow(links_within_variants, "a long, b long")
 
 
