@@ -70,7 +70,10 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: Sequence[flo
     input with these names are replaced; others stay. No documents: no rows.
     """
     mine = ("size", "source_size", "target", "copies", "taken")
-    rows = docs.drop(*mine).withColumn("size", word_count(F.col("text").cast("string")))
+    text = F.col("text").cast("string")
+    rows = docs.drop(*mine).withColumn("size", word_count(text))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.sha2(F.coalesce(text, F.lit("")), 256))
+    rows = rows.withColumn("_name", name)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = targets(sizes, weights, share, cap)
     weight = F.lit(1.0)
@@ -78,22 +81,21 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: Sequence[flo
         marks = quality.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_quality"))
         rows = rows.join(marks, rows["doc_id"] == marks["_id"], "left").drop("_id")
         weight = F.coalesce(*[F.when(F.col("_quality") == k, F.lit(v)) for k, v in QUALITY_WEIGHTS.items()], F.lit(1.0))
-    name = F.coalesce(F.col("doc_id").cast("string"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
-    rows = rows.withColumn("_key", -F.log(uniform(name, seed)) / weight).drop("_quality")
+    rows = rows.withColumn("_key", -F.log(uniform(F.col("_name"), seed)) / weight).drop("_quality")
     rows = rows.withColumn("_bucket", F.floor((1 - F.exp(-F.col("_key"))) * buckets).cast("int"))
     inside = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
     offsets = inside.select("source", "_bucket", (F.sum("_words").over(Window.partitionBy("source").orderBy("_bucket")) - F.col("_words")).alias("_offset"))
     plan = offsets.join(goal, offsets["source"].eqNullSafe(goal["source"])).select(offsets["source"].alias("_source"), F.col("_bucket").alias("_b"), "_offset", "source_size", "target")
     rows = rows.join(plan, rows["source"].eqNullSafe(plan["_source"]) & (rows["_bucket"] == plan["_b"])).drop("_source", "_b")
     # equal keys, as of repeated rows, follow each other by size, so that sums do not depend on chance
-    order = Window.partitionBy("source", "_bucket").orderBy("_key", name, "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("source", "_bucket").orderBy("_key", "_name", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_until", F.col("_offset") + F.sum("size").over(order))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     left = F.col("target") - epochs * F.col("source_size")
     part = F.when((F.col("size") > 0) & (F.col("_until") - F.col("size") / 2 <= left), 1).otherwise(0)
     copies = F.when(epochs >= cap, F.lit(cap)).otherwise(epochs + part).cast("int")
     rows = rows.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
-    return rows.drop("_key", "_bucket", "_offset", "_until")
+    return rows.drop("_name", "_key", "_bucket", "_offset", "_until")
 
 
 def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:

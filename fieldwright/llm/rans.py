@@ -11,21 +11,27 @@ the two checksums; doc_ids and lengths; checkpoints (code words so far, states);
 
 from __future__ import annotations
 
+import atexit
+import os
+import re
 import struct
+import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldwright.llm.common import by_batch, materialize, shared_folder
+from fieldwright.llm.common import by_batch, materialize, remove, shared_folder
 
 END_ID = 0
-LANES = 128
-CHECKPOINT = 512
+LANES = 1024
+CHECKPOINT = 128
 #: A block is closed when it has so many ids; a longer document has a block to itself.
 BLOCK_IDS = 1 << 18
 #: Frequencies add up to this power of two.
@@ -51,10 +57,12 @@ class Table:
             freq[np.argmax(freq)] += total - freq.sum()
         self.freq = freq.astype(np.uint64)
         self.start = (np.cumsum(freq) - freq).astype(np.uint64)
-        self.ends = np.cumsum(freq)
+        self._of_slot = None
 
     def symbols(self, slots: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.ends, slots.astype(np.int64), side="right")
+        if self._of_slot is None:
+            self._of_slot = np.repeat(np.arange(len(self.freq), dtype=np.int32), self.freq.astype(np.int64))
+        return self._of_slot[slots]
 
 
 def encode(ids: np.ndarray, table: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,65 +149,100 @@ def unpack(block: bytes, table: Table) -> tuple[list[int | None], np.ndarray, np
     return [None if no else int(d) for d, no in zip(names, none)], lengths, ids
 
 
+#: A space after a letter, digit or punctuation mark: the vocabulary's splitting pattern always cuts before it.
+CUT = re.compile(r"(?<=[!-~\w])(?= )")
+OTHER = re.compile(r"(?<![!-~\w]) ")
+
+
+class _Ids(dict):
+    """Packed ids of a unit, the most recent asked of the tokenizer; the first ``bound`` units are kept."""
+
+    def __init__(self, tokenizer, lead: str, bound: int) -> None:
+        self.tokenizer, self.lead, self.bound = tokenizer, lead, bound
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = array("H", self.tokenizer.encode(self.lead + unit, add_special_tokens=False).ids).tobytes()
+        if len(self) < self.bound and len(unit) < 48:
+            self[unit] = ids
+        return ids
+
+
 class Encoder:
-    """Ids of texts by the tokenizers library, each distinct space-led unit encoded once.
+    """Ids of texts by the tokenizers library as packed 16-bit numbers, each distinct unit encoded once.
 
     The vocabulary's splitting pattern joins a space with what follows it, but nothing with a space that
     comes after it; so a text may be cut before each space that follows a letter, digit or punctuation
     mark, and the units be encoded alone. Texts with the string of a special token are encoded as a whole.
     """
 
-    def __init__(self, path: str, units: int = 200_000) -> None:
+    def __init__(self, path: str, bound: int = 700_000) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids of this vocabulary do not fit 16 bits")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, np.ndarray] = {}
-        self.bound = units
-
-    def units(self, text: str) -> list[str]:
-        pieces = text.split(" ")
-        if all(p and p[-1].isascii() and p[-1] > " " and p[-1] != "\x7f" or p[-1:].isalpha() for p in pieces[:-1]):
-            return [pieces[0], *(" " + p for p in pieces[1:])]
-        out = [pieces[0]]
-        for p in pieces[1:]:
-            end = out[-1][-1:]
-            if end and (end.isascii() and end > " " and end != "\x7f" or end.isalpha()):
-                out.append(" " + p)
-            else:
-                out[-1] += " " + p
-        return out
+        self.first, self.led = _Ids(self.tokenizer, "", 1000), _Ids(self.tokenizer, " ", bound)
 
-    def encode(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
-        units = self.units(text) if text else []
-        known = self.known
-        new = [u for u in dict.fromkeys(units) if u not in known]
-        extra: dict[str, bytes] = {}
-        if new:
-            if len(known) + len(new) > self.bound:
-                known.clear()
-                new = list(dict.fromkeys(units))
-            for u, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                (known if len(u) < 64 else extra)[u] = np.array(e.ids, "<i4").tobytes()
-        if extra:
-            return np.frombuffer(b"".join([known[u] if u in known else extra[u] for u in units]), np.int32)
-        return np.frombuffer(b"".join([known[u] for u in units]), np.int32)
-
-
-def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Rows (doc_id, n_ids, ids) with ids as little-endian unsigned 32-bit integers, the end id last."""
-    encoders: list[Encoder] = []
+    def encode(self, text: str) -> bytes:
+        if not text or any(s in text for s in self.special):
+            return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if OTHER.search(text) is None:
+            head, *rest = text.split(" ")
+            return self.first[head] + b"".join(map(self.led.__getitem__, rest))
+        return b"".join(map(self.first.__getitem__, CUT.split(text)))
+
+
+#: Encoders of this process by tokenizer file; a worker serves many tasks.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
+def _tokens(tokenizer: str):
+    """Rows (range, doc_id, start, ids) from rows (range, doc_id, packed text) sorted by range and doc_id; start within the range."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, unzip, end = encoder(tokenizer).encode, zstandard.ZstdDecompressor().decompress, array("H", [END_ID]).tobytes()
+        now, place = None, 0
+        for batch in batches:
+            starts, ids = [], []
+            for r, z in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if r != now:
+                    now, place = r, 0
+                ids.append(encode(unzip(z).decode("utf-8", "surrogatepass") if z else "") + end)
+                starts.append(place)
+                place += len(ids[-1]) // 2
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(starts, pa.int64()), pa.array(ids, pa.binary())], ["range", "doc_id", "start", "ids"])
+
+    return over
 
-    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not encoders:
-            encoders.append(Encoder(tokenizer))
-        found = [np.append(encoders[0].encode(t or ""), END_ID).astype("<u4") for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "n_ids", "ids"])
 
+def tokenized(docs: DataFrame, tokenizer: str, ranges: int = RANGES) -> DataFrame:
+    """Rows (range, doc_id, start, ids): ids of each document as little-endian 16-bit numbers, the end id last.
+
+    Ranges between quantiles of doc_id (null: range 0) are put in order each; start counts the ids
+    before the document in its range. Texts travel compressed.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(by_batch(of), "doc_id long, n_ids long, ids binary")
+    known = rows.where("doc_id is not null").agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]
+    cuts = np.unique(np.array(known or [], np.int64))
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        d = batch.column(0)
+        at = np.where(d.is_valid().to_numpy(zero_copy_only=False), 1 + np.searchsorted(cuts, d.fill_null(0).to_numpy(), side="right"), 0)
+        zip_ = zstandard.ZstdCompressor(level=1).compress
+        texts = [zip_(t.encode("utf-8", "surrogatepass")) if t else b"" for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), d, pa.array(texts, pa.binary())], ["range", "doc_id", "z"])
+
+    dealt = rows.mapInArrow(by_batch(of), "range long, doc_id long, z binary")
+    ordered = dealt.repartition("range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "z")
+    return ordered.mapInArrow(_tokens(tokenizer), "range long, doc_id long, start long, ids binary")
 
 
 def counted(tokens: DataFrame) -> np.ndarray:
@@ -208,7 +251,7 @@ def counted(tokens: DataFrame) -> np.ndarray:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            more = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4"))
+            more = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2"))
             if len(more) > len(total):
                 total, more = more, total
             total[: len(more)] += more
@@ -222,32 +265,27 @@ def counted(tokens: DataFrame) -> np.ndarray:
 
 
 def blocks(table: Table) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (start, block) from rows (range, before, doc_id, ids) sorted by range and doc_id."""
+    """Rows (start, block) from rows (range, before, start, doc_id, ids) in order; a block ends where documents do not follow each other."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: list[int | None] = []
         parts: list[np.ndarray] = []
-        held, place, now = 0, 0, None
+        place = end = -1
 
         def closed() -> pa.RecordBatch:
-            nonlocal held, place, names, parts
             ids = np.concatenate(parts).astype(np.int64)
-            row = pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([pack(names, [len(p) for p in parts], ids, table)], pa.binary())], ["start", "block"])
-            place += held
-            names, parts, held = [], [], 0
-            return row
+            return pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([pack(names, [len(p) for p in parts], ids, table)], pa.binary())], ["start", "block"])
 
         for batch in batches:
-            for at, before, doc_id, ids in zip(*[c.to_pylist() for c in batch.columns]):
-                if at != now:
-                    if parts:
-                        yield closed()
-                    now, place = at, before
-                names.append(doc_id)
-                parts.append(np.frombuffer(ids, "<u4"))
-                held += len(parts[-1])
-                if held >= BLOCK_IDS:
+            for before, start, doc_id, ids in zip(*[c.to_pylist() for c in batch.columns[1:]]):
+                if parts and (before + start != end or end - place >= BLOCK_IDS):
                     yield closed()
+                    names, parts = [], []
+                if not parts:
+                    place = end = before + start
+                names.append(doc_id)
+                parts.append(np.frombuffer(ids, "<u2"))
+                end += len(parts[-1])
         if parts:
             yield closed()
 
@@ -257,26 +295,16 @@ def blocks(table: Table) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 def write(docs: DataFrame, tokenizer: str, path: str, ranges: int = RANGES) -> Table:
     """Writes the ids of all documents in ascending doc_id order as blocks under ``path``; returns the table.
 
-    Null doc_ids come first; rows of one doc_id follow the order of their ids. The blocks are rows
+    Null doc_ids come first; rows of one doc_id follow the order of their compressed texts. The blocks are rows
     of Parquet (start, block); ``path``/table holds the frequencies.
     """
-    tokens = materialize(tokenized(docs, tokenizer), "tokens")
+    tokens = materialize(tokenized(docs, tokenizer, ranges), "tokens", compression="zstd")
     counts = counted(tokens)
     table = Table(counts)
-    cuts = np.zeros(0, np.int64)
-    known = tokens.where("doc_id is not null").agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]
-    if known:
-        cuts = np.unique(np.array(known, np.int64))
-
-    @F.pandas_udf("int")
-    def range_of(doc_id: pd.Series, present: pd.Series) -> pd.Series:
-        return pd.Series(np.where(present, 1 + np.searchsorted(cuts, doc_id.to_numpy(np.int64), side="right"), 0).astype(np.int32))
-
-    ranged = tokens.withColumn("range", range_of(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNotNull()))
-    sums = ranged.groupBy("range").agg(F.sum("n_ids").alias("n"))  # at most ``ranges`` + 1 rows
+    sums = tokens.groupBy("range").agg(F.sum(F.octet_length("ids") / 2).cast("long").alias("n"))  # at most ``ranges`` + 1 rows
     before = sums.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
-    rows = ranged.join(F.broadcast(before), "range", "left").repartition("range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "ids")
-    rows.select("range", "before", "doc_id", "ids").mapInArrow(blocks(table), "start long, block binary").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    rows = tokens.join(F.broadcast(before), "range", "left").select("range", "before", "start", "doc_id", "ids")
+    rows.mapInArrow(blocks(table), "start long, block binary").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     spark = docs.sparkSession
     held = np.flatnonzero(counts)
     spark.createDataFrame(pd.DataFrame({"id": held, "n": counts[held]}), "id long, n long").coalesce(1).write.parquet(f"{path}/table")
@@ -291,7 +319,7 @@ def read_table(spark, path: str) -> Table:
 
 
 def read(spark, path: str) -> DataFrame:
-    """Rows (doc_id, start, n_tokens, ids) of the documents in the blocks under ``path``; ids as in ``tokenized``."""
+    """Rows (doc_id, start, n_tokens, ids) of the documents in the blocks under ``path``; ids as little-endian unsigned 32-bit integers."""
     table = read_table(spark, path)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,13 +340,8 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     Null text counts as empty and has the end id alone. Repeated rows and null doc_ids each give a row.
     Further columns play no part. No documents: no rows.
     """
-    import atexit
-    import uuid
-
-    from fieldwright.llm.common import _remove
-
     spark = docs.sparkSession
     path = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     write(docs, tokenizer, path)
     return read(spark, path)
