@@ -30,7 +30,7 @@ def editions(snapshots: DataFrame) -> DataFrame:
     """Snapshots (source, at, ordinal, hash) that begin an edition, numbered, with its end; the last is current."""
     order = Window.partitionBy("source").orderBy("at", "ordinal")
     changed = snapshots.withColumn("before", F.lag("hash").over(order)).where("before is null or before <> hash")
-    return changed.withColumn("edition", F.row_number().over(order)).withColumn("valid_until", F.lead("at").over(order)).withColumn("is_current", F.col("valid_until").isNull()).drop("before")
+    return changed.withColumn("edition", F.row_number().over(order).cast("long")).withColumn("valid_until", F.lead("at").over(order)).withColumn("is_current", F.col("valid_until").isNull()).drop("before")
 
 
 def content_groups(docs: DataFrame) -> DataFrame:

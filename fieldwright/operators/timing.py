@@ -63,7 +63,7 @@ def sla_colour(age_hours: Column) -> Column:
 def transition_audit(steps: DataFrame, key: str) -> DataFrame:
     """Steps (key, ordinal, status) with the status before and whether the step is allowed; a first step must be to queued."""
     order = Window.partitionBy(key).orderBy("ordinal")
-    rows = steps.withColumn("from_status", F.lag("status").over(order)).withColumn("version", F.row_number().over(order))
+    rows = steps.withColumn("from_status", F.lag("status").over(order)).withColumn("version", F.row_number().over(order).cast("long"))
     allowed = F.concat("from_status", F.lit(">"), "status").isin([f"{a}>{b}" for a, b in TRANSITIONS])
     return rows.withColumn("valid", F.coalesce(allowed, F.col("status") == "queued"))
 
@@ -71,7 +71,7 @@ def transition_audit(steps: DataFrame, key: str) -> DataFrame:
 def claim_order(items: DataFrame, queue: str) -> DataFrame:
     """Due items of each queue in the order in which workers would claim them: by due time, then age. Locks are the store's matter."""
     order = Window.partitionBy(queue).orderBy(F.col("due_at").asc_nulls_first(), "created_at", "id")
-    return items.withColumn("claim_no", F.row_number().over(order))
+    return items.withColumn("claim_no", F.row_number().over(order).cast("long"))
 
 
 def call_cost(provider: Column, model: Column) -> Column:

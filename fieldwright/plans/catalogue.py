@@ -1,17 +1,337 @@
-"""All registered queries with their SQL."""
+"""All registered queries with SQL that gives equal results."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-FLAGSHIP = "arbitration"
+from fieldwright.functions import text
+from fieldwright.operators import joins, ledger, metrics, resolve, timing
+from fieldwright.plans.adapters import CALLS_SQL, CANDIDATES_SQL, STATUSES, VERDICTS_SQL, calls, candidates, overrides, pick, truth_and_produced
+from fieldwright.sources import tables
+from fieldwright.sources.tables import parquet
 
+Query = Callable[[SparkSession, str], DataFrame]
+FLAGSHIP = "arbitrate_best_candidate"
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+#: The moment as of which ages are told.
+AS_OF = "2024-02-01 00:00:00"
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+@query(f"""WITH {CANDIDATES_SQL}, r AS (
+  SELECT *, row_number() OVER (PARTITION BY doc, key ORDER BY authority DESC, coalesce(confidence, 0) DESC, ordinal) AS n,
+    count(*) OVER (PARTITION BY doc, key) AS n_candidates FROM cand WHERE trim(value) <> ''
+), d AS (SELECT doc, key, count(DISTINCT lower(trim(value))) AS n_distinct FROM cand WHERE trim(value) <> '' GROUP BY ALL)
+SELECT doc, key, value, source, confidence, n_candidates, n_distinct, n_distinct > 1 AS conflict, n_distinct > 1 OR coalesce(confidence, 0) < 0.85 AS review
+FROM r JOIN d USING (doc, key) WHERE n = 1""")
+def arbitrate_best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.arbitrate(candidates(spark, sf_dir))
+
+
+@query(f"""WITH {CANDIDATES_SQL}, p AS (SELECT * FROM (VALUES ('purchase','mrz',1),('purchase','ead',2),('signup','i94',1),('view','mrz',3),('view','gov_ua',2),('error','ai_vision',1)) AS t(key, source, priority)),
+r AS (SELECT doc, key, value, source, coalesce(priority, 99) AS priority, row_number() OVER (PARTITION BY doc, key ORDER BY coalesce(priority, 99), coalesce(confidence, 0) DESC, ordinal) AS n FROM cand LEFT JOIN p USING (key, source))
+SELECT doc, key, value, source, priority FROM r WHERE n = 1""")
+def arbitrate_class_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.sql("SELECT * FROM VALUES ('purchase','mrz',1),('purchase','ead',2),('signup','i94',1),('view','mrz',3),('view','gov_ua',2),('error','ai_vision',1) AS t(key, source, priority)")
+    return resolve.arbitrate_by_class(candidates(spark, sf_dir), table)
+
+
+@query(f"""WITH {CANDIDATES_SQL}, e AS (SELECT doc, key, lower(trim(value)) AS norm, min(row(-authority, ordinal)) AS b FROM cand WHERE trim(value) <> '' GROUP BY ALL)
+SELECT doc, key, count(*) AS n_values, string_agg(norm, '|' ORDER BY b) AS ranked_values FROM e GROUP BY ALL HAVING count(*) > 1""")
+def contradictions_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.contradictions(candidates(spark, sf_dir))
+
+
+@query(f"""WITH {CANDIDATES_SQL} SELECT doc, key, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, string_agg(DISTINCT value, ',' ORDER BY value) AS readings,
+  bool_or(review_required) AS review_required, coalesce(min(confidence), 0) AS confidence FROM cand GROUP BY ALL""")
+def merge_same_key_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.merge_evidence(candidates(spark, sf_dir))
+
+
+@query("""SELECT source, lang, count(*) AS n, count(*) FILTER (text IS NOT NULL AND text <> '') AS n_with_text FROM documents GROUP BY ALL""")
+def source_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parquet(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("text", F.lit("")) != "").alias("n_with_text"))
+
+
+@query("""WITH l AS (SELECT doc_id, max(quality) AS left_value FROM labels GROUP BY 1), r AS (SELECT doc_id, max((n_chars >= 500)::INTEGER) AS right_value FROM documents WHERE doc_id % 5 <> 0 GROUP BY 1)
+SELECT doc_id, left_value, right_value, CASE WHEN r.doc_id IS NULL THEN 'left_only' WHEN l.doc_id IS NULL THEN 'right_only' WHEN left_value IS NOT DISTINCT FROM right_value THEN 'agree' ELSE 'disagree' END AS verdict
+FROM l FULL JOIN r USING (doc_id)""")
+def parity_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = parquet(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").cast("int").alias("value"))
+    right = parquet(spark, sf_dir, "documents").where("doc_id % 5 <> 0").groupBy("doc_id").agg(F.max((F.col("n_chars") >= 500).cast("int")).alias("value"))
+    return joins.parity(left, right, ["doc_id"])
+
+
+@query("""SELECT o_orderkey AS doc, o_orderstatus AS status FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R')""")
+def required_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    required = parquet(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.col("o_orderstatus").alias("status"))
+    present = parquet(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("doc"))
+    return joins.missing_required(required, present, ["doc"])
+
+
+@query("""WITH c AS (SELECT * FROM (VALUES ('F','1-URGENT','allowed'),('F','2-HIGH','forbidden'),('O','1-URGENT','allowed'),('O','3-MEDIUM','allowed')) AS t(slot, field, rule))
+SELECT o_orderkey AS id, o_orderstatus AS slot, o_orderpriority AS field, CASE WHEN o_orderstatus NOT IN (SELECT slot FROM c) THEN 'unknown_slot' WHEN rule = 'forbidden' THEN 'forbidden' WHEN rule IS NULL THEN 'not_allowed' ELSE 'ok' END AS verdict
+FROM orders LEFT JOIN c ON c.slot = o_orderstatus AND c.field = o_orderpriority""")
+def contract_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contract = spark.sql("SELECT * FROM VALUES ('F','1-URGENT','allowed'),('F','2-HIGH','forbidden'),('O','1-URGENT','allowed'),('O','3-MEDIUM','allowed') AS t(slot, field, rule)")
+    fields = parquet(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("slot"), F.col("o_orderpriority").alias("field"))
+    return joins.contract_verdicts(fields, contract).select("id", "slot", "field", "verdict")
+
+
+_ACCEPT = """critical_total, exact, wrong, empty, fabricated, reviewed, CASE WHEN critical_total = 0 THEN 0 ELSE exact / critical_total END::DOUBLE AS exact_rate,
+  fabricated = 0 AND wrong = 0 AND (CASE WHEN critical_total = 0 THEN 0 ELSE exact / critical_total END) >= 0.95 AND NOT (critical_total > 0 AND empty = critical_total) AS production_ready"""
+_COUNTS = ", ".join(["count(*) FILTER (critical AND verdict <> 'NA') AS critical_total", *[f"count(*) FILTER (critical AND verdict = '{v}') AS {n}" for v, n in (("EXACT", "exact"), ("WRONG", "wrong"), ("EMPTY", "empty"), ("FABRICATED", "fabricated"), ("REVIEW", "reviewed"))]])
+
+
+@query(f"WITH {VERDICTS_SQL}, a AS (SELECT doc, {_COUNTS} FROM j GROUP BY doc) SELECT doc, {_ACCEPT} FROM a")
+def acceptance_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.acceptance(metrics.verdicts(*truth_and_produced(spark, sf_dir)))
+
+
+@query(f"WITH {VERDICTS_SQL}, a AS (SELECT key, {_COUNTS} FROM j GROUP BY key) SELECT key, {_ACCEPT} FROM a")
+def acceptance_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.acceptance(metrics.verdicts(*truth_and_produced(spark, sf_dir)), "key")
+
+
+@query(f"WITH {VERDICTS_SQL} SELECT verdict, critical, count(*) AS n FROM j GROUP BY ALL")
+def benchmark_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.verdicts(*truth_and_produced(spark, sf_dir)).groupBy("verdict", "critical").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT c_custkey AS id, levenshtein(c_name, c_name[3:]) / greatest(length(c_name), length(c_name[3:]))::DOUBLE AS cer,
+  lower(regexp_replace(c_name, '[\\s.,;:''"`-]+', '', 'g')) <> lower(regexp_replace(c_name[3:], '[\\s.,;:''"`-]+', '', 'g')) AS different FROM customer""")
+def character_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = F.expr("substring(c_name, 3)")
+    return parquet(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), text.error_rate(read, F.col("c_name")).alias("cer"), text.materially_different(F.col("c_name"), read).alias("different"))
+
+
+@query("""WITH o AS (SELECT user_id AS doc, event_type AS key, event_id AS version, CASE WHEN event_id % 5 <> 0 THEN 'x' || (event_id % 7)::VARCHAR END AS value, event_id % 3 <> 0 AS confirmed,
+  row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS n, count(*) OVER (PARTITION BY user_id, event_type) AS n_versions FROM events)
+SELECT doc, key, version, n_versions, CASE WHEN confirmed THEN value END AS final_value, CASE WHEN NOT confirmed THEN 'absent' WHEN value IS NULL THEN 'rejected' ELSE 'released' END AS final_state FROM o WHERE n = 1""")
+def latest_override_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.resolved_overrides(overrides(spark, sf_dir))
+
+
+@query("""SELECT event_id AS arrival, props AS payload, row_number() OVER (PARTITION BY props ORDER BY event_id) = 1 AS inserted FROM events""")
+def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.insert_once(parquet(spark, sf_dir, "events").select(F.col("event_id").alias("arrival"), F.col("props").alias("payload")), "payload")
+
+
+@query("""SELECT o_custkey AS customer, count(*) + 1 AS next_version FROM orders GROUP BY 1""")
+def next_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    versions = parquet(spark, sf_dir, "orders").select(F.col("o_custkey").alias("customer"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long").alias("version"))
+    return ledger.next_versions(versions, "customer")
+
+
+@query("""WITH s AS (SELECT o_custkey AS source, o_orderdate AS "at", o_orderkey AS ordinal, md5(o_orderstatus) AS hash, lag(md5(o_orderstatus)) OVER w AS before FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+c AS (SELECT * FROM s WHERE before IS NULL OR before <> hash)
+SELECT source, "at", ordinal, hash, row_number() OVER w AS edition, lead("at") OVER w AS valid_until, lead("at") OVER w IS NULL AS is_current FROM c WINDOW w AS (PARTITION BY source ORDER BY "at", ordinal)""")
+def scd2_edition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.editions(parquet(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("ordinal"), F.md5("o_orderstatus").alias("hash")))
+
+
+@query(r"""SELECT sha256(lower(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')))) AS hash, min(doc_id) AS first_doc, count(*) AS n_docs FROM documents GROUP BY 1""")
+def content_hash_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.content_groups(parquet(spark, sf_dir, "documents"))
+
+
+@query("""WITH s AS (SELECT doc_id, source, md5(text) AS hash, lag(md5(text)) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM documents) SELECT source, doc_id, before IS NULL AS first_seen FROM s WHERE before IS NULL OR before <> hash""")
+def change_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shots = parquet(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("at"), F.col("doc_id").alias("ordinal"), F.md5("text").alias("hash"))
+    return ledger.editions(shots).select("source", F.col("at").alias("doc_id"), (F.col("edition") == 1).alias("first_seen"))
+
+
+@query("""SELECT user_id, count(DISTINCT event_type) AS n_payloads FROM events GROUP BY 1 HAVING count(DISTINCT event_type) > 1""")
+def reused_key_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.reused_keys(parquet(spark, sf_dir, "events"), "user_id", "event_type")
+
+
+@query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_name LIKE 'Customer#00000001%')""")
+def prefix_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parents = parquet(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("name"))
+    return ledger.without_children(parquet(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), parents, "o_custkey", "Customer#00000001")
+
+
+@query("""SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW) AS n,
+  count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW) > 3 AS alert FROM events""")
+def rolling_count_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timing.rolling_counts(parquet(spark, sf_dir, "events"), "user_id", 86400, 3).select("event_id", "user_id", "n", "alert")
+
+
+@query("""SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOURS PRECEDING AND CURRENT ROW) - 1 < 5 AS allowed FROM events""")
+def rolling_limit_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = timing.rolling_counts(parquet(spark, sf_dir, "events"), "user_id", 3600, 5)
+    return rows.select("event_id", "user_id", (F.col("n") - 1 < 5).alias("allowed"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT key, id, t, n, t AS start, 1::BIGINT AS place FROM e WHERE n = 1 UNION ALL
+  SELECT e.key, e.id, e.t, e.n, CASE WHEN e.t - f.start > 172800000000 THEN e.t ELSE f.start END, CASE WHEN e.t - f.start > 172800000000 THEN 1 ELSE f.place + 1 END FROM f JOIN e ON e.key = f.key AND e.n = f.n + 1)
+SELECT key, id, place, place <= 3 AS allowed, greatest(0, 3 - place) AS remaining FROM f""")
+def rate_limit_fixed_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timing.fixed_window_limit(parquet(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts"), 3, 172800)
+
+
+@query(f"""WITH a AS (SELECT event_id, floor(epoch_us(TIMESTAMP '{AS_OF}' - ts) / 3600000000)::BIGINT % 20 AS age, ['created','second_alert','third_channel'][event_id % 3 + 1] AS last FROM events)
+SELECT event_id, age, CASE WHEN age >= 12 AND last <> 'third_channel' THEN 'third_channel' WHEN age >= 4 AND age < 12 AND last = 'created' THEN 'second_alert' END AS stage, CASE WHEN age < 4 THEN 'green' WHEN age <= 12 THEN 'amber' ELSE 'red' END AS colour FROM a""")
+def escalation_and_sla(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hours = F.pmod(F.floor((F.unix_micros(F.to_timestamp(F.lit(AS_OF))) - F.unix_micros(F.col("ts").cast("timestamp"))) / 3600000000), F.lit(20))
+    rows = parquet(spark, sf_dir, "events").select("event_id", hours.cast("long").alias("age"), pick(("created", "second_alert", "third_channel"), F.col("event_id") % 3).alias("last"))
+    return rows.select("event_id", "age", timing.escalation_stage(F.col("age"), F.col("last")).alias("stage"), timing.sla_colour(F.col("age")).alias("colour"))
+
+
+@query(f"""SELECT o_orderstatus AS status, count(*) FILTER (o_orderdate + INTERVAL 9000 DAY < TIMESTAMP '{AS_OF}') AS n_expired, count(*) AS n FROM orders GROUP BY 1""")
+def ttl_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = F.col("o_orderdate") + F.expr("interval 9000 days") < F.lit(AS_OF).cast("timestamp_ntz")
+    return parquet(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count_if(gone).alias("n_expired"), F.count(F.lit(1)).alias("n"))
+
+
+_STATUS_LIST = ", ".join(f"'{s}'" for s in STATUSES)
+_PAIRS = ", ".join(f"'{a}>{b}'" for a, b in timing.TRANSITIONS)
+
+
+@query(f"""WITH s AS (SELECT user_id AS key, event_id AS ordinal, [{_STATUS_LIST}][event_id % {len(STATUSES)} + 1] AS status FROM events), r AS (SELECT *, lag(status) OVER w AS from_status, row_number() OVER w AS version FROM s WINDOW w AS (PARTITION BY key ORDER BY ordinal))
+SELECT key, ordinal, status, from_status, version, coalesce(from_status || '>' || status IN ({_PAIRS}), status = 'queued') AS valid FROM r""")
+def state_transition_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = parquet(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("ordinal"), pick(STATUSES, F.col("event_id") % len(STATUSES)).alias("status"))
+    return timing.transition_audit(steps, "key")
+
+
+@query("""SELECT o_orderkey AS id, o_orderpriority AS queue, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate NULLS FIRST, o_orderdate, o_orderkey) AS claim_no FROM orders WHERE o_orderstatus = 'O'""")
+def outbox_claim_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = parquet(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("queue"), F.col("o_orderdate").alias("due_at"), F.col("o_orderdate").alias("created_at"))
+    return timing.claim_order(items, "queue").select("id", "queue", "claim_no")
+
+
+@query(f"WITH {CALLS_SQL} SELECT upload, count(*) AS n_calls, sum(cost)::BIGINT AS cost_micros FROM calls GROUP BY 1")
+def cost_per_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calls(spark, sf_dir).groupBy("upload").agg(F.count(F.lit(1)).alias("n_calls"), F.sum("cost").alias("cost_micros"))
+
+
+@query(f"""WITH {CALLS_SQL} SELECT upload, count(*) AS requested_calls, count(*) FILTER (outcome IN ('cache_hit','waited_cache_hit')) AS cache_hits, count(*) FILTER (outcome = 'waited_cache_hit') AS dedup_collapses,
+ count(*) FILTER (outcome = 'provider_winner') AS provider_calls, coalesce(sum(cost) FILTER (outcome IN ('cache_hit','waited_cache_hit')), 0)::BIGINT AS avoided_cost, coalesce(sum(cost) FILTER (outcome = 'provider_winner'), 0)::BIGINT AS actual_cost FROM calls GROUP BY 1""")
+def coordination_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timing.coordination(calls(spark, sf_dir), "upload")
+
+
+@query(f"""WITH {CALLS_SQL} SELECT id, provider, (sum(cost) OVER w)::BIGINT AS spent, sum(cost) OVER w <= 100000 AS within FROM calls WINDOW w AS (PARTITION BY provider, "at"::DATE ORDER BY "at", id ROWS UNBOUNDED PRECEDING)""")
+def budget_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timing.daily_spend(calls(spark, sf_dir), 100_000).select("id", "provider", "spent", "within")
+
+
+@query("""SELECT event_id AS id, CASE WHEN event_id % 40 > 30 THEN 'per_run_doc_cap_exceeded' WHEN event_id % 7 > 5 THEN 'per_run_cost_cap_exceeded' WHEN event_id % 50 + event_id % 7 > 45 THEN 'daily_cap_exceeded' WHEN event_id % 300 + event_id % 7 > 290 THEN 'monthly_cap_exceeded' ELSE 'ok' END AS reason FROM events""")
+def budget_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    return parquet(spark, sf_dir, "events").select(i.alias("id"), timing.budget_reason(i % 40, i % 7, i % 50, i % 300, 30, 5, 45, 290).alias("reason"))
+
+
+@query(r"""SELECT doc_id, regexp_matches(text, '\b\d{3}-\d{2}-\d{4}\b') AS has_ssn, regexp_matches(text, '[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}') AS has_email,
+  md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b[Aa][-\s]?\d{3}[-\s]?\d{3}[-\s]?\d{3}\b|\b[Aa][-\s]?\d{8,9}\b', '[REDACTED_A_NUMBER]', 'g'),
+  '(?i)\b(?:IOE|EAC|LIN|SRC|WAC|NBC|MSC|YSC|ZSC|CSC|TSC|VSC|IOL)\d{10}\b', '[REDACTED_RECEIPT_NUMBER]', 'g'), '\b\d{3}-\d{2}-\d{4}\b', '[REDACTED_SSN]', 'g'), '(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b', '[REDACTED_PHONE]', 'g'),
+  '[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}', '[REDACTED_EMAIL]', 'g')) AS scrubbed_md5 FROM documents""")
+def pii_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    types = text.pii_types(F.col("text"))
+    return parquet(spark, sf_dir, "documents").select("doc_id", F.array_contains(types, "SSN").alias("has_ssn"), F.array_contains(types, "EMAIL").alias("has_email"), F.md5(text.scrub_pii(F.col("text"))).alias("scrubbed_md5"))
+
+
+@query(r"""WITH v AS (SELECT conv_id, turn, trim(text) AS s FROM conversations)
+SELECT conv_id, turn, CASE WHEN s = '' THEN '' WHEN regexp_matches(s, '\S+@\S+\.\S+') THEN '[redacted-email]' WHEN regexp_matches(s, '^\+[0-9\s\-().]{6,}$') THEN '[redacted-phone]'
+ WHEN regexp_matches(s, '[0-9][\s\-().]+[0-9].*[0-9]') AND length(regexp_replace(s, '[^0-9]', '', 'g')) >= 7 THEN '[redacted-phone]' WHEN regexp_matches(s, '[0-9]{4,}') THEN '[redacted-digits]'
+ WHEN regexp_matches(s, '[\x{0400}-\x{04FF}]') THEN '[redacted-text]' WHEN length(s) > 64 THEN s[1:24] || '…[truncated:' || length(s)::VARCHAR || ']' ELSE s END AS redacted FROM v""")
+def value_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parquet(spark, sf_dir, "conversations").select("conv_id", "turn", text.redact_value(F.col("text")).alias("redacted"))
+
+
+@query("SELECT conv_id, turn, " + "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for p, n in text.INJECTION) + ") AS label FROM conversations")
+def prompt_injection_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parquet(spark, sf_dir, "conversations").select("conv_id", "turn", text.injection_label(F.col("text")).alias("label"))
+
+
+@query(r"""WITH l AS (SELECT page_id, regexp_extract_all(html, 'href="([^"#]+)"', 1) AS x FROM pages), u AS (SELECT page_id, unnest(x) AS link, generate_subscripts(x, 1) AS i FROM l),
+f AS (SELECT page_id, link, min(i) AS i FROM u GROUP BY ALL), r AS (SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS position FROM f)
+SELECT page_id, position::INTEGER AS position, link FROM r WHERE position < 50""")
+def page_link_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.page_links(parquet(spark, sf_dir, "pages"))
+
+
+@query("""SELECT c_custkey AS id, 'Customer' || c_name[9:] AS latin_name FROM customer""")
+def format_latin_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parquet(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), text.latin_name(F.upper("c_name")).alias("latin_name"))
+
+
+@query("""WITH f AS (SELECT o_orderkey AS id, lpad(o_orderkey::VARCHAR, 9, '0') AS s FROM orders) SELECT id, s AS field,
+ ((substr(s,1,1)::INTEGER * 7 + substr(s,2,1)::INTEGER * 3 + substr(s,3,1)::INTEGER + substr(s,4,1)::INTEGER * 7 + substr(s,5,1)::INTEGER * 3 + substr(s,6,1)::INTEGER + substr(s,7,1)::INTEGER * 7 + substr(s,8,1)::INTEGER * 3 + substr(s,9,1)::INTEGER) % 10)::INTEGER AS check_digit FROM f""")
+def mrz_check_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = parquet(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0").alias("field"))
+    return rows.withColumn("check_digit", text.check_digit(F.col("field")))
+
+
+@query("""WITH e AS (SELECT l_orderkey AS doc, year(l_shipdate) AS y, month(l_shipdate) AS m, day(l_shipdate) AS d FROM lineitem)
+SELECT doc, CASE WHEN count(DISTINCT y) = 1 THEN max(y) END::INTEGER AS year, CASE WHEN count(DISTINCT m) = 1 THEN max(m) END::INTEGER AS month, CASE WHEN count(DISTINCT d) = 1 THEN max(d) END::INTEGER AS day, count(*) AS n_readings FROM e GROUP BY doc""")
+def date_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("l_shipdate")
+    return resolve.component_consensus(parquet(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.year(d).alias("year"), F.month(d).alias("month"), F.day(d).alias("day")))
+
+
+@query("""SELECT l_orderkey AS doc, l_linenumber AS role, l_quantity AS value, count(DISTINCT l_linenumber) OVER (PARTITION BY l_orderkey, l_quantity) > 1 AS shared FROM lineitem""")
+def date_role_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.role_guard(parquet(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("role"), F.col("l_quantity").alias("value")))
+
+
+_REGISTRY = "('0-URGENT','none',NULL,NULL,0), ('1-URGENT','old urgent',NULL,DATE '1994-12-31',1), ('1-URGENT','urgent',DATE '1995-01-01',NULL,2), ('2-HIGH','high',DATE '1996-01-01',DATE '1997-12-31',3), ('3-MEDIUM','medium',NULL,NULL,4)"
+
+
+@query(f"""WITH r AS (SELECT * FROM (VALUES {_REGISTRY}) AS t(term, official, valid_from, valid_until, ordinal)), l AS (SELECT o_orderkey AS lookup_id, o_orderpriority AS term, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderdate::DATE END AS "at" FROM orders),
+j AS (SELECT lookup_id, official, ordinal, ("at" IS NULL OR ((valid_from IS NULL OR valid_from <= "at") AND (valid_until IS NULL OR "at" <= valid_until))) AS fits FROM l LEFT JOIN r USING (term)),
+b AS (SELECT *, row_number() OVER (PARTITION BY lookup_id ORDER BY NOT fits, ordinal) AS n FROM j)
+SELECT lookup_id, official, CASE WHEN ordinal IS NULL THEN 'unmatched' WHEN fits THEN 'matched' ELSE 'era_mismatch' END AS status FROM b WHERE n = 1""")
+def era_gated_registry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    registry = spark.sql(f"SELECT * FROM VALUES {_REGISTRY} AS t(term, official, valid_from, valid_until, ordinal)")
+    lookups = parquet(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("lookup_id"), F.col("o_orderpriority").alias("term"), F.when(F.col("o_orderkey") % 10 != 0, F.to_date("o_orderdate")).alias("at"))
+    return joins.era_lookup(lookups, registry)
+
+
+@query("""WITH n AS (SELECT c_custkey AS id, replace(n_name, substr(n_name, (c_custkey % length(n_name) + 1)::INTEGER, 1), '') AS read FROM customer JOIN nation ON c_nationkey = n_nationkey),
+p AS (SELECT id, read, n_name AS entry, levenshtein(read, n_name) AS distance FROM n CROSS JOIN nation),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, entry) AS k FROM p WHERE distance <= 2 AND distance <= 0.34 * greatest(length(read), length(entry))) SELECT id, read, entry, distance::INTEGER AS distance FROM r WHERE k = 1""")
+def fuzzy_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = parquet(spark, sf_dir, "nation")
+    damaged = F.expr("replace(n_name, substring(n_name, cast(c_custkey % length(n_name) + 1 as int), 1), '')")
+    names = parquet(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), damaged.alias("name"))
+    return joins.nearest_names(names, nation.select(F.col("n_name").alias("entry")))
+
+
+@query(f"""WITH {CANDIDATES_SQL}, r AS (SELECT doc, key, first(value ORDER BY 8 - authority, ordinal) AS anchor, count(DISTINCT value) > 1 AS conflict, count(*) AS n FROM cand GROUP BY ALL) SELECT * FROM r""")
+def identity_anchor_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = candidates(spark, sf_dir).withColumn("priority", 8 - resolve.authority(F.col("source")))
+    return resolve.identity_anchor(rows)
+
+
+@query("""WITH a AS (SELECT * FROM (VALUES ('ECONOMY_ANODIZED','eco'), ('PROMO','promo')) AS t(alias, canonical)), w AS (SELECT p_partkey AS id, p_type AS name FROM part)
+SELECT id, name, coalesce(a1.canonical, a2.canonical, a3.canonical) AS canonical FROM w LEFT JOIN a a1 ON a1.alias = name LEFT JOIN a a2 ON a2.alias = replace(name, ' ', '_') LEFT JOIN a a3 ON a3.alias = replace(name, '_', ' ')""")
+def alias_fallback_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aliases = spark.sql("SELECT * FROM VALUES ('ECONOMY_ANODIZED','eco'), ('PROMO','promo') AS t(alias, canonical)")
+    return joins.fallback_lookup(parquet(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("name")), aliases)

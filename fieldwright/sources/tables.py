@@ -32,8 +32,8 @@ def registry_violations(rows: DataFrame, categories: list[str]) -> DataFrame:
 
 
 def page_links(pages: DataFrame, most: int = 50) -> DataFrame:
-    """Rows (page_id, position, link): a page's distinct http links in order of first appearance, ``most`` of them at most."""
-    links = F.array_distinct(F.regexp_extract_all("html", F.lit(r'href="(https?://[^"]+)"'), F.lit(1)))
+    """Rows (page_id, position, link): a page's distinct links in order of first appearance, ``most`` of them at most."""
+    links = F.array_distinct(F.regexp_extract_all("html", F.lit(r'href="([^"#]+)"'), F.lit(1)))
     return pages.select("page_id", F.posexplode(F.slice(links, 1, most)).alias("position", "link"))
 
 
