@@ -155,13 +155,22 @@ OTHER = re.compile(r"(?<![!-~\w]) ")
 
 
 class _Ids(dict):
-    """Packed ids of a unit, the most recent asked of the tokenizer; the first ``bound`` units are kept."""
+    """Packed ids of a unit; those not known are asked of the tokenizer, and the first ``bound`` are kept.
 
-    def __init__(self, tokenizer, lead: str, bound: int) -> None:
-        self.tokenizer, self.lead, self.bound = tokenizer, lead, bound
+    A line break between characters that are no white space is a token of its own, and so is one comma or
+    full stop after a word, so such units are put together from their parts.
+    """
+
+    def __init__(self, owner: Encoder, lead: str, bound: int) -> None:
+        self.owner, self.lead, self.bound = owner, lead, bound
 
     def __missing__(self, unit: str) -> bytes:
-        ids = array("H", self.tokenizer.encode(self.lead + unit, add_special_tokens=False).ids).tobytes()
+        if "\n" in unit:
+            parts = unit.split("\n")
+            if all(p.split() == [p] for p in parts):
+                return self.owner.line_break.join([self[parts[0]], *map(self.owner.first.__getitem__, parts[1:])])
+        mark = self.owner.marks.get(unit[-1:])
+        ids = self[unit[:-1]] + mark if mark and unit[:-1].isalpha() else self.owner.ask(self.lead + unit)
         if len(self) < self.bound and len(unit) < 48:
             self[unit] = ids
         return ids
@@ -175,7 +184,7 @@ class Encoder:
     mark, and the units be encoded alone. Texts with the string of a special token are encoded as a whole.
     """
 
-    def __init__(self, path: str, bound: int = 700_000) -> None:
+    def __init__(self, path: str, bound: int = 1_200_000) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -183,11 +192,15 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.first, self.led = _Ids(self.tokenizer, "", 1000), _Ids(self.tokenizer, " ", bound)
+        self.line_break, self.marks = self.ask("\n"), {m: self.ask(m) for m in ",."}
+        self.first, self.led = _Ids(self, "", bound // 4), _Ids(self, " ", bound)
+
+    def ask(self, text: str) -> bytes:
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         if not text or any(s in text for s in self.special):
-            return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            return self.ask(text)
         if OTHER.search(text) is None:
             head, *rest = text.split(" ")
             return self.first[head] + b"".join(map(self.led.__getitem__, rest))

@@ -227,7 +227,7 @@ def tokenizer():
 
 def test_units_give_the_library_s_ids(tokenizer):
     encoder = rans.Encoder(tokenizer[0])
-    for t in ["a  b", "  lead", "trail  ", "a\n\n b c\t d", "it's 's  's", "é ü", "a\x1c b", "<|endoftext|> hi", " ", "", " \n ", "word \u0085 c", "日本 語", "😀 b", "a  b", "x  y", *(t for _, t, *_ in fixture() if t)]:
+    for t in ["a  b", "  lead", "trail  ", "a\n\n b c\t d", "it's 's  's", "é ü", "a\x1c b", "<|endoftext|> hi", " ", "", " \n ", "word \u0085 c", "日本 語", "😀 b", "a.\nb c,\nd", "a,\n\nb", "x\n", "\ny", "a.\n b", "it's.\n's", "e\u0301, f", "a,. b.,", "1, 2.", "a  b", "x  y", *(t for _, t, *_ in fixture() if t)]:
         assert np.frombuffer(encoder.encode(t), "<u2").tolist() == tokenizer[1].encode(t, add_special_tokens=False).ids, repr(t[:40])
 
 
