@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Personal-data patterns in the order in which they are replaced, with their names and placeholders.
 PII = (
@@ -29,6 +32,12 @@ INJECTION = (
     (r"(?i)\[INST\]", "format_injection"),
 )
 
+#: Keys that are dropped from stored JSON at every depth, in any case of letters.
+FORBIDDEN_KEYS = (
+    "source_value", "final_value", "input_raw", "output_normalized", "source_line", "raw_text", "raw", "value", "raw_value", "normalized_value", "text", "line", "line_text", "ocr_text",
+    "mrz", "mrz_line", "address", "name", "full_name", "given_name", "surname", "patronymic", "dob", "date_of_birth", "document_number", "doc_number", "a_number", "passport_number",
+)
+
 
 def content_normal(text: Column) -> Column:
     """White space collapsed and trimmed, lower case: what a content hash is made of."""
@@ -108,3 +117,21 @@ def check_digit(field: Column) -> Column:
     worth = lambda i: F.greatest(F.position(field.substr(i, F.lit(1)), alphabet) - 1, F.lit(0)) * F.element_at(F.array(F.lit(7), F.lit(3), F.lit(1)), (F.pmod(i - 1, F.lit(3)) + 1).cast("int"))
     total = F.aggregate(F.transform(at, worth), F.lit(0), lambda s, x: s + x)
     return F.when(F.length(field) == 0, 0).otherwise(F.pmod(total, F.lit(10))).cast("int")
+
+
+@F.pandas_udf(StringType())
+def redact_json(texts: pd.Series) -> pd.Series:
+    """JSON without the forbidden keys at any depth; scalars stay, what is no JSON becomes null. SQL has no recursion over JSON."""
+
+    def clean(node: object) -> object:
+        if isinstance(node, dict):
+            return {k: clean(v) for k, v in node.items() if k.lower() not in FORBIDDEN_KEYS}
+        return [clean(v) for v in node] if isinstance(node, list) else node
+
+    def one(said: str | None) -> str | None:
+        try:
+            return None if said is None else json.dumps(clean(json.loads(said)), ensure_ascii=False)
+        except ValueError:
+            return None
+
+    return texts.map(one)

@@ -1,44 +1,24 @@
-"""All registered queries with SQL that gives equal results."""
+"""Queries with SQL that gives equal results. Importing this module registers those of its sister modules too."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldwright.functions import text
 from fieldwright.operators import joins, ledger, metrics, resolve, timing
+from fieldwright.plans import kernels, rules
 from fieldwright.plans.adapters import CALLS_SQL, CANDIDATES_SQL, STATUSES, VERDICTS_SQL, calls, candidates, overrides, pick, truth_and_produced
+from fieldwright.plans.register import oracle_sql, queries, query
 from fieldwright.sources import tables
 from fieldwright.sources.tables import parquet
 
-Query = Callable[[SparkSession, str], DataFrame]
+__all__ = ["FLAGSHIP", "kernels", "oracle_sql", "queries", "rules"]
 FLAGSHIP = "arbitrate_best_candidate"
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
 #: The moment as of which ages are told.
 AS_OF = "2024-02-01 00:00:00"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql is not None:
-            _SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
 @query(f"""WITH {CANDIDATES_SQL}, r AS (
   SELECT *, row_number() OVER (PARTITION BY doc, key ORDER BY authority DESC, coalesce(confidence, 0) DESC, ordinal) AS n,
     count(*) OVER (PARTITION BY doc, key) AS n_candidates FROM cand WHERE trim(value) <> ''

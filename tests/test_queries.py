@@ -23,7 +23,7 @@ def plain(value):
     return None if value is None or isinstance(value, float) and math.isnan(value) else f"{value:.9g}" if isinstance(value, float) else str(value)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.queries()))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_equals_sql(spark, duck, name):
     rows = catalogue.queries()[name](spark, FOLDER)
     columns = sorted(rows.columns)
