@@ -91,3 +91,11 @@ def boxes(references: DataFrame, tokens: DataFrame) -> DataFrame:
     rows = references.select("doc", "field", F.explode_outer("ocr_ids").alias("ocr_id")).join(tokens, ["doc", "ocr_id"], "left")
     lost = F.when(F.col("x0").isNull() & F.col("ocr_id").isNotNull(), F.col("ocr_id"))
     return rows.groupBy("doc", "field").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.array_sort(F.collect_set(lost)).alias("unresolved"))
+
+
+def machine_fields(lines: DataFrame, keep: list[str], parsed: Column) -> DataFrame:
+    """The columns ``keep`` and the fields of parsed machine-readable lines; lines of a wrong length give nulls.
+
+    The generator has each row parsed once; as a plain struct the optimizer would repeat the parse for each field.
+    """
+    return lines.select(*keep, F.inline(F.array(parsed)))

@@ -42,6 +42,8 @@ def test_machine_lines_of_the_public_specimens(spark):
     one, two = "P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<", "L898902C36UTO7408122F1204159ZE184226B<<<<<10"
     read = values(spark, lambda c: dates.mrz_td3(c, F.lit(two), icao=True), [one, "short"])
     assert read[1] is None and read[0].checks_ok and (read[0].surname, read[0].given_names, read[0].date_of_birth, read[0].personal_number) == ("ERIKSSON", "ANNA MARIA", "1974-08-12", "ZE184226B")
+    lines = spark.createDataFrame([(1, one, two), (2, one, "short"), (3, None, None)], "id long, one string, two string")
+    assert [(r.id, r.surname) for r in extract.machine_fields(lines, ["id"], dates.mrz_td3(F.col("one"), F.col("two"))).orderBy("id").collect()] == [(1, "ERIKSSON"), (2, None), (3, None)]
     card = ["I<UTOD231458907<<<<<<<<<<<<<<<", "7408122F1204159UTO<<<<<<<<<<<6", "ERIKSSON<<ANNA<MARIA<<<<<<<<<<"]
     assert values(spark, lambda c: dates.mrz_td1(c, F.lit(card[1]), F.lit(card[2]), icao=True)["checks_ok"], [card[0], card[0].replace("D2", "D3")]) == [True, False]
 
