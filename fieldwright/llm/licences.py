@@ -1,8 +1,8 @@
 """Licence scan with a positional index of rare words; DataFrame functions only.
 
 Every template contributes its ``RARE`` words of the lowest document frequency in the corpus to an index
-of (word, template, position). A file looks up the ``LOOKUPS`` of these words that it holds with the
-highest IDF; each occurrence votes for a template at the place where the template would begin. A
+of (word, template, position). A file looks up all of these words that it holds;
+each occurrence votes for a template at the place where the template would begin. A
 template is found if enough of its rare words agree on one place and its key phrase stands in the file.
 Files without an indexed word need no more than the word split.
 """
@@ -23,7 +23,6 @@ BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Phrases whose places are counted, with their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 RARE = 4
-LOOKUPS = 8
 #: Share of a template's rare words that must agree.
 ENOUGH = 0.75
 #: Bits of a code below the template's number.
@@ -130,8 +129,8 @@ def scan(docs: DataFrame) -> DataFrame:
         labels.append(F.when(inside, F.lit(label)))
     rows = rows.withColumn("n_base", reduce(lambda a, b: a + b, places).cast("long")).withColumn("first_word", F.least(*firsts)).withColumn("last_word", F.greatest(*lasts))
     rows = rows.withColumn("_base", F.array_compact(F.array(*labels)))
-    # the order of the literal array is ascending frequency, which array_intersect keeps
-    rows = rows.withColumn("_rare", F.slice(F.array_intersect(F.array(*map(F.lit, order)), "words"), 1, LOOKUPS))
+    # all indexed words that the file holds, at most RARE for each template
+    rows = rows.withColumn("_rare", F.array_intersect(F.array(*map(F.lit, order)), "words"))
     at = F.transform("words", lambda w, i: F.when(F.array_contains("_rare", w), F.transform(F.element_at(postings(index), w), lambda c: c + i.cast("long") * 8)))
     codes = F.array_sort(F.array_distinct(F.flatten(F.filter(at, lambda h: h.isNotNull()))))
     rows = rows.withColumn("_codes", F.when(F.size("_rare") > 0, codes).otherwise(F.array().cast("array<bigint>")))
