@@ -14,3 +14,60 @@ def test_a_file_with_many_licences_keeps_every_label(spark):
     got = {r["doc_id"]: set(r["labels"].split(",")) for r in licences.scan(rows).collect()}
     assert got[0] == {t.label for t in licences.TEMPLATES}
     assert all(t.label in got[i + 1] for i, t in enumerate(licences.TEMPLATES))
+
+
+def shingle_set(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def brute_kept(rows):
+    """Texts and ids that stay: of each component of five-word Jaccard >= 0.8 the smallest id, null last."""
+    sets = [shingle_set(t) for _, t in rows]
+    group = list(range(len(rows)))
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            shared, union = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if not union or 5 * shared >= 4 * union:
+                a, b = find(i), find(j)
+                group[max(a, b)] = min(a, b)
+    found = {}
+    for i, (d, t) in enumerate(rows):
+        found.setdefault(find(i), []).append((d, t))
+    return [min(((d is None, d or 0) for d, _ in g)) for g in found.values()], found.values()
+
+
+def near_rows():
+    r = random.Random(11)
+    word = lambda: f"w{r.randrange(400)}"
+    rows = []
+    for base in range(40):
+        w = [word() for _ in range(r.choice([3, 30, 120, 400]))]
+        rows.append((None, " ".join(w)))
+        for copy in range(r.randrange(4)):
+            x = list(w)
+            for _ in range(r.randrange(1, 2 + len(w) // 40)):
+                x[r.randrange(len(x))] = word()
+            rows.append((None, " ".join(x).upper() if copy == 2 else " ".join(x)))
+    common = " ".join(word() for _ in range(40))
+    rows += [(None, common + " " + " ".join(word() for _ in range(r.choice([5, 9, 12, 60])))) for _ in range(70)]
+    r.shuffle(rows)
+    return [(i, t) for i, (_, t) in enumerate(rows)] + [(900, None), (901, ""), (902, " \n")]
+
+
+def test_stage_keeps_one_of_each_group_at_eight_tenths(spark):
+    import corpus_pipeline
+
+    rows = near_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [x["doc_id"] for x in corpus_pipeline.simhash_stage(spark, docs, "").collect()]
+    expected, groups = brute_kept(rows)
+    assert sorted(got) == sorted(d for _, d in expected)
+    assert 60 < len(groups) < len(rows) - 30
+    assert corpus_pipeline.simhash_stage(spark, docs.where("false"), "").count() == 0
