@@ -71,3 +71,19 @@ def test_stage_keeps_one_of_each_group_at_eight_tenths(spark):
     assert sorted(got) == sorted(d for _, d in expected)
     assert 60 < len(groups) < len(rows) - 30
     assert corpus_pipeline.simhash_stage(spark, docs.where("false"), "").count() == 0
+
+
+def test_stage_loses_no_text_under_null_or_repeated_ids(spark):
+    import corpus_pipeline
+
+    r = random.Random(12)
+    texts = [" ".join(f"v{r.randrange(300)}" for _ in range(40)) for _ in range(30)]
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, t) for i, t in enumerate(texts)]
+    # copies: under null with an id elsewhere, twice under one null, twice in equal rows
+    rows += [(None, texts[2]), (None, texts[0]), (8, texts[2]), (7, texts[1]), (None, texts[1])]
+    rows = [(d, t, f"s{i % 2}") for i, (d, t) in enumerate(rows)]
+    runs = [sorted(map(tuple, corpus_pipeline.simhash_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(n), "").collect()), key=str) for n in (1, 7)]
+    assert runs[0] == runs[1]
+    expected, _ = brute_kept([(d, t) for d, t, _ in rows])
+    assert sorted(t for _, t, _ in runs[0]) == sorted(texts)
+    assert sorted((d is None, d or 0) for d, _, _ in runs[0]) == sorted(expected)
