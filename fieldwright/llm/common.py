@@ -19,10 +19,13 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Where that is unset (local tests) a temporary folder is made once and set.
+    Where that is unset a temporary folder is made once and set, on a local master only: elsewhere executors do
+    not share it, so that is an error.
     """
     known = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         known = tempfile.mkdtemp(prefix="spark-shared-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(known)
@@ -30,25 +33,46 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may have ended already; the folder is scratch
-        pass
+    """Deletes a scratch folder, unless the session has ended."""
+    if spark.sparkContext._jsc is None:
+        return
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Scratch tables of this program by the identity of their DataFrame: (DataFrame, path).
+_SCRATCH: dict[int, tuple[DataFrame, str]] = {}
 
 
 def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back.
 
     This cuts the lineage, survives lost executors and lets several passes share one computation.
-    The table goes when the program ends.
+    The table goes with ``released``, or when the program ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     atexit.register(remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _SCRATCH[id(out)] = (out, path)
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes scratch tables that nothing reads any more."""
+    for t in tables:
+        _, path = _SCRATCH.pop(id(t), (None, None))
+        if path:
+            remove(t.sparkSession, path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name from ``name`` that the table does not have, upper or lower case."""
+    taken = {c.lower() for c in df.columns}
+    while (name := f"_{name}").lower() in taken:
+        pass
+    return name
 
 
 def by_batch(function: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -113,7 +137,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = keep_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         near = keep_least(large)
         small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialize(small, "links")
+        before, edges = edges, materialize(small, "links")
+        released(before)
         now = fingerprint(edges)
         if now == seen:
             break
