@@ -3,7 +3,12 @@
 One frequency table, counted over all documents, serves all blocks. A block holds whole documents and is
 independent of the others: its ids are dealt to ``LANES`` interleaved coders, whose states every
 ``CHECKPOINT`` steps are kept in the block with the place in the code words, so that parts of a
-block can be decoded side by side. Checksums cover the code words and the ids.
+block can be decoded side by side (``read_parts``). Checksums cover the code words and the ids.
+
+Texts are tokenized where they are read; from then on only ids travel. They are put in order by Spark's range
+exchange over (doc_id, hash of the ids, number), so that rows of one doc_id, or equal rows, are spread like
+others. The files are rows of Parquet (part, start, n, block): the block's range, the ids of that range before it,
+and its own; a range's place follows from the sums of those before.
 
 A block's bytes, all little-endian: magic, counts (documents, ids, lanes, code words, checkpoints) and
 the two checksums; doc_ids and lengths; checkpoints (code words so far, states); the code words.
@@ -12,6 +17,7 @@ the two checksums; doc_ids and lengths; checkpoints (code words so far, states);
 from __future__ import annotations
 
 import atexit
+import json
 import os
 import re
 import struct
@@ -23,11 +29,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldwright.llm.common import by_batch, materialize, remove, shared_folder
+from fieldwright.llm.common import materialize, released, remove, shared_folder
 
 END_ID = 0
 LANES = 1024
@@ -39,8 +47,10 @@ SCALE_BITS = 22
 LOW = np.uint64(1 << 31)
 MAGIC = b"RNS1"
 HEADER = struct.Struct("<4sQQIQIII")
-#: Ranges of doc_id that are put in order side by side.
-RANGES = 256
+#: Ids that one task puts in order, on average; the number of ranges follows from it.
+RANGE_IDS = 1 << 25
+#: Bytes of text tokenized in one array operation; a longer text is taken alone.
+SLICE_BYTES = 8 << 20
 
 
 class Table:
@@ -127,31 +137,50 @@ def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, table:
     return HEADER.pack(MAGIC, len(doc_ids), len(ids), LANES, len(code), len(places), zlib.crc32(body), zlib.crc32(ids.astype("<u4").tobytes())) + body
 
 
+class Block:
+    """The parts of a block's bytes; raises ValueError where magic or the sum of the code words does not fit."""
+
+    def __init__(self, block: bytes) -> None:
+        magic, docs, self.count, lanes, words, marks, body_sum, self.ids_sum = HEADER.unpack_from(block)
+        body = memoryview(block)[HEADER.size :]
+        if magic != MAGIC or lanes != LANES or zlib.crc32(body) != body_sum:
+            raise ValueError("damaged block")
+        at = 0
+
+        def take(kind: str, n: int) -> np.ndarray:
+            nonlocal at
+            out = np.frombuffer(body, kind, n, at)
+            at += out.nbytes
+            return out
+
+        names, none, self.lengths = take("<i8", docs), take("u1", docs), take("<u8", docs).astype(np.int64)
+        self.names = [None if no else int(d) for d, no in zip(names, none)]
+        self.places, self.states, self.code = take("<u8", marks).tolist(), take("<u8", marks * lanes).reshape(marks, lanes), take("<u4", words)
+
+    def parts(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """From each checkpoint to the next: how many ids, the code words (decoding goes down from one's place to the next's), the states."""
+        step = LANES * CHECKPOINT
+        return [(min(step, self.count - i * step), self.code[low:high], self.states[i]) for i, (low, high) in enumerate(zip([*self.places[1:], 0], self.places))]
+
+
+def decode_part(count: int, code: np.ndarray, states: np.ndarray, table: Table) -> np.ndarray:
+    return decode(count, code, np.array([len(code)]), states.reshape(1, -1), table)
+
+
 def unpack(block: bytes, table: Table) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """doc_ids, lengths and ids of a block; raises ValueError where magic or checksums do not fit."""
-    magic, docs, count, lanes, words, marks, body_sum, ids_sum = HEADER.unpack_from(block)
-    body = memoryview(block)[HEADER.size :]
-    if magic != MAGIC or lanes != LANES or zlib.crc32(body) != body_sum:
-        raise ValueError("damaged block")
-    at = 0
-
-    def take(kind: str, n: int) -> np.ndarray:
-        nonlocal at
-        out = np.frombuffer(body, kind, n, at)
-        at += out.nbytes
-        return out
-
-    names, none, lengths = take("<i8", docs), take("u1", docs), take("<u8", docs).astype(np.int64)
-    places, states, code = take("<u8", marks), take("<u8", marks * lanes).reshape(marks, lanes), take("<u4", words)
-    ids = decode(count, code, places, states, table)
-    if zlib.crc32(ids.astype("<u4").tobytes()) != ids_sum:
+    """doc_ids, lengths and ids of a block, decoded from checkpoint to checkpoint; raises ValueError where magic or checksums do not fit."""
+    b = Block(block)
+    ids = np.concatenate([np.zeros(0, np.int64), *(decode_part(*p, table) for p in b.parts())])
+    if zlib.crc32(ids.astype("<u4").tobytes()) != b.ids_sum:
         raise ValueError("damaged ids")
-    return [None if no else int(d) for d, no in zip(names, none)], lengths, ids
+    return b.names, b.lengths, ids
 
 
 #: A space after a letter, digit or punctuation mark: the vocabulary's splitting pattern always cuts before it.
 CUT = re.compile(r"(?<=[!-~\w])(?= )")
 OTHER = re.compile(r"(?<![!-~\w]) ")
+#: What may stand before such a space.
+CLOSED = re.compile(r"[!-~\w]\Z")
 
 
 class _Ids(dict):
@@ -181,7 +210,8 @@ class Encoder:
 
     The vocabulary's splitting pattern joins a space with what follows it, but nothing with a space that
     comes after it; so a text may be cut before each space that follows a letter, digit or punctuation
-    mark, and the units be encoded alone. Texts with the string of a special token are encoded as a whole.
+    mark, and the units be encoded alone. Texts with the string of a special token are encoded as a whole, and so
+    are all texts if the tokenizer's file names another splitting, a normalizer or a post-processor.
     """
 
     def __init__(self, path: str, bound: int = 1_200_000) -> None:
@@ -191,6 +221,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        split = made.get("pre_tokenizer") or {}
+        self.divisible = split.get("type") == "ByteLevel" and split.get("use_regex") is True and not split.get("add_prefix_space") and not made.get("normalizer") and not made.get("post_processor")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.line_break, self.marks = self.ask("\n"), {m: self.ask(m) for m in ",."}
         self.first, self.led = _Ids(self, "", bound // 4), _Ids(self, " ", bound)
@@ -199,13 +233,62 @@ class Encoder:
         return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not text or any(s in text for s in self.special):
+        if not text or not self.divisible or any(s in text for s in self.special):
             return self.ask(text)
         if OTHER.search(text) is None:
             head, *rest = text.split(" ")
             return self.first[head] + b"".join(map(self.led.__getitem__, rest))
         return b"".join(map(self.first.__getitem__, CUT.split(text)))
 
+    def encode_all(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, the end id after each, and how many each has. Nulls count as empty.
+
+        Words are told apart by Arrow's dictionary, and each distinct one is looked up once; texts in which a space
+        follows anything but a letter, digit or mark are encoded one by one.
+        """
+        texts = texts.fill_null("")
+        pieces = pc.split_pattern(texts, " ")
+        counts = pc.list_value_length(pieces).to_numpy().astype(np.int64)
+        words = pieces.flatten().dictionary_encode()
+        codes, units = words.indices.to_numpy(), words.dictionary.to_pylist()
+        ends = np.cumsum(counts)
+        firsts = ends - counts
+        closed = np.array([CLOSED.search(u) is not None for u in units], bool)[codes]
+        closed[ends - 1] = True
+        alone = ~np.logical_and.reduceat(closed, firsts) | (not self.divisible)
+        for s in self.special:
+            alone |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        is_first = np.zeros(len(codes), bool)
+        is_first[firsts] = True
+        apart = np.repeat(~alone, counts)
+        known: list[bytes] = []
+
+        def slots(of: np.ndarray, ids: _Ids) -> np.ndarray:
+            """Where the ids of each word stand in ``known``."""
+            used = np.flatnonzero(np.bincount(codes[of], minlength=len(units)))
+            place = np.zeros(len(units), np.int64)
+            place[used] = len(known) + np.arange(len(used))
+            known.extend(map(ids.__getitem__, [units[u] for u in used.tolist()]))
+            return place
+
+        at = np.where(is_first, slots(apart & is_first, self.first)[codes], slots(apart & ~is_first, self.led)[codes])
+        whole = np.flatnonzero(alone)
+        at[firsts[whole]] = len(known) + np.arange(len(whole))
+        known.extend(self.encode(texts[i].as_py()) for i in whole.tolist())
+        known.append(array("H", [END_ID]).tobytes())
+        per_text = np.where(alone, 1, counts) + 1
+        last = np.cumsum(per_text)
+        order = np.full(int(last[-1]), len(known) - 1)
+        inside = np.ones(len(order), bool)
+        inside[last - 1] = False
+        order[inside] = at[apart | is_first]
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 2
+        data = np.frombuffer(b"".join(known), "<u2")
+        n = lengths[order]
+        before = np.cumsum(n) - n
+        ids = data[np.repeat((np.cumsum(lengths) - lengths)[order] - before, n) + np.arange(int(n.sum()))]
+        return ids, np.add.reduceat(n, last - per_text)
+
 
 #: Encoders of this process by tokenizer file; a worker serves many tasks.
 _ENCODERS: dict[str, Encoder] = {}
@@ -217,141 +300,175 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _tokens(tokenizer: str):
-    """Rows (range, doc_id, start, ids) from rows (range, doc_id, packed text) sorted by range and doc_id; start within the range."""
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, unzip, end = encoder(tokenizer).encode, zstandard.ZstdDecompressor().decompress, array("H", [END_ID]).tobytes()
-        now, place = None, 0
-        for batch in batches:
-            starts, ids = [], []
-            for r, z in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                if r != now:
-                    now, place = r, 0
-                ids.append(encode(unzip(z).decode("utf-8", "surrogatepass") if z else "") + end)
-                starts.append(place)
-                place += len(ids[-1]) // 2
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(starts, pa.int64()), pa.array(ids, pa.binary())], ["range", "doc_id", "start", "ids"])
-
-    return over
+def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about so many bytes in its second column."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + size, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
-def tokenized(docs: DataFrame, tokenizer: str, ranges: int = RANGES) -> DataFrame:
-    """Rows (range, doc_id, start, ids): ids of each document as little-endian 16-bit numbers, the end id last.
+def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """Rows (doc_id, h, salt, n, ids, counts): ids of each document as little-endian 16-bit numbers, the end id last.
 
-    Ranges between quantiles of doc_id (null: range 0) are put in order each; start counts the ids
-    before the document in its range. Texts travel compressed.
+    h is a hash of the ids, salt a number in the task. One row of each task carries how often each id occurs in
+    it, pairs of 64-bit numbers; elsewhere counts is null.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = rows.where("doc_id is not null").agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]
-    cuts = np.unique(np.array(known or [], np.int64))
+    names = ["doc_id", "h", "salt", "n", "ids", "counts"]
 
-    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        d = batch.column(0)
-        at = np.where(d.is_valid().to_numpy(zero_copy_only=False), 1 + np.searchsorted(cuts, d.fill_null(0).to_numpy(), side="right"), 0)
-        zip_ = zstandard.ZstdCompressor(level=1).compress
-        texts = [zip_(t.encode("utf-8", "surrogatepass")) if t else b"" for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), d, pa.array(texts, pa.binary())], ["range", "doc_id", "z"])
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer).encode_all
+        total, held, row = np.zeros(1 << 16, np.int64), None, 0
+        for batch in batches:
+            for part in slices(batch):
+                ids, n = encode(part.column(1))
+                total += np.bincount(ids, minlength=len(total))
+                data, ends = ids.tobytes(), np.cumsum(n) * 2
+                cut = [data[a:b] for a, b in zip((ends - 2 * n).tolist(), ends.tolist())]
+                if held:
+                    yield pa.RecordBatch.from_arrays([*held, pa.nulls(len(held[0]), pa.binary())], names)
+                held = [part.column(0), pa.array([xxhash.xxh64_intdigest(c) - (1 << 63) for c in cut], pa.int64()), pa.array(np.arange(row, row + len(n))), pa.array(n), pa.array(cut, pa.binary())]
+                row += len(n)
+        if held:
+            seen = np.flatnonzero(total)
+            counts = [np.column_stack([seen, total[seen]]).astype("<i8").tobytes()] + [None] * (len(held[0]) - 1)
+            yield pa.RecordBatch.from_arrays([*held, pa.array(counts, pa.binary())], names)
 
-    dealt = rows.mapInArrow(by_batch(of), "range long, doc_id long, z binary")
-    ordered = dealt.repartition("range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "z")
-    return ordered.mapInArrow(_tokens(tokenizer), "range long, doc_id long, start long, ids binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(of, "doc_id long, h long, salt long, n long, ids binary, counts binary")
 
 
 def counted(tokens: DataFrame) -> np.ndarray:
-    """How often each id occurs in all documents; one row per id from each task, so bounded by the vocabulary."""
+    """How often each id occurs in all documents; one row per id, so bounded by the vocabulary."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            more = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2"))
-            if len(more) > len(total):
-                total, more = more, total
-            total[: len(more)] += more
+            for c in batch.column(0).to_pylist():
+                ids, n = np.frombuffer(c, "<i8").reshape(-1, 2).T
+                total[ids] += n
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["id", "n"])
 
-    found = tokens.select("ids").mapInArrow(of, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    found = tokens.where("counts is not null").select("counts").mapInArrow(of, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(found["id"].max()) + 1 if len(found) else 1, np.int64)
     counts[found["id"].to_numpy(int)] = found["n"].to_numpy(int)
     return counts
 
 
 def blocks(table: Table) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (start, block) from rows (range, before, start, doc_id, ids) in order; a block ends where documents do not follow each other."""
+    """Rows (part, start, n, block) from rows (doc_id, ids) in order; part is the task's number."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
         names: list[int | None] = []
         parts: list[np.ndarray] = []
-        place = end = -1
+        place = held = 0
 
         def closed() -> pa.RecordBatch:
             ids = np.concatenate(parts).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([pack(names, [len(p) for p in parts], ids, table)], pa.binary())], ["start", "block"])
+            columns = [pa.array([part], pa.int32()), pa.array([place], pa.int64()), pa.array([held], pa.int64()), pa.array([pack(names, [len(p) for p in parts], ids, table)], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["part", "start", "n", "block"])
 
         for batch in batches:
-            for before, start, doc_id, ids in zip(*[c.to_pylist() for c in batch.columns[1:]]):
-                if parts and (before + start != end or end - place >= BLOCK_IDS):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held >= BLOCK_IDS:
                     yield closed()
-                    names, parts = [], []
-                if not parts:
-                    place = end = before + start
+                    place, held, names, parts = place + held, 0, [], []
                 names.append(doc_id)
                 parts.append(np.frombuffer(ids, "<u2"))
-                end += len(parts[-1])
+                held += len(parts[-1])
         if parts:
             yield closed()
 
     return over
 
 
-def write(docs: DataFrame, tokenizer: str, path: str, ranges: int = RANGES) -> Table:
+def write(docs: DataFrame, tokenizer: str, path: str, range_ids: int = RANGE_IDS) -> Table:
     """Writes the ids of all documents in ascending doc_id order as blocks under ``path``; returns the table.
 
-    Null doc_ids come first; rows of one doc_id follow the order of their compressed texts. The blocks are rows
-    of Parquet (start, block); ``path``/table holds the frequencies.
+    Null doc_ids come first; rows of one doc_id follow the hash of their ids. ``path``/blocks holds the blocks,
+    ``path``/table the frequencies.
     """
-    tokens = materialize(tokenized(docs, tokenizer, ranges), "tokens", compression="zstd")
+    spark = docs.sparkSession
+    tokens = materialize(tokenized(docs, tokenizer), "tokens", compression="zstd")
     counts = counted(tokens)
     table = Table(counts)
-    sums = tokens.groupBy("range").agg(F.sum(F.octet_length("ids") / 2).cast("long").alias("n"))  # at most ``ranges`` + 1 rows
-    before = sums.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
-    rows = tokens.join(F.broadcast(before), "range", "left").select("range", "before", "start", "doc_id", "ids")
-    rows.mapInArrow(blocks(table), "start long, block binary").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
-    spark = docs.sparkSession
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(counts.sum()) // range_ids))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h").asc(), F.col("salt").asc()]
+    ordered = tokens.select("doc_id", "h", "salt", "ids").repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    rows = ordered.select("doc_id", "ids").mapInArrow(blocks(table), "part int, start long, n long, block binary")
+    rows.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    released(tokens)
     held = np.flatnonzero(counts)
     spark.createDataFrame(pd.DataFrame({"id": held, "n": counts[held]}), "id long, n long").coalesce(1).write.parquet(f"{path}/table")
     return table
 
 
-def read_table(spark, path: str) -> Table:
+def read_table(spark: SparkSession, path: str) -> Table:
     found = spark.read.schema("id long, n long").parquet(f"{path}/table").toPandas()
     counts = np.zeros(int(found["id"].max()) + 1 if len(found) else 1, np.int64)
     counts[found["id"].to_numpy(int)] = found["n"].to_numpy(int)
     return Table(counts)
 
 
-def read(spark, path: str) -> DataFrame:
+def _block_rows(spark: SparkSession, path: str) -> tuple[DataFrame, dict[int, int]]:
+    """The rows of blocks, and the ids before each range: a row per range, as many as the write had tasks."""
+    rows = spark.read.schema("part int, start long, n long, block binary").parquet(f"{path}/blocks")
+    sums = rows.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").toPandas()
+    return rows, dict(zip(sums["part"].tolist(), (sums["n"].cumsum() - sums["n"]).tolist()))
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
     """Rows (doc_id, start, n_tokens, ids) of the documents in the blocks under ``path``; ids as little-endian unsigned 32-bit integers."""
     table = read_table(spark, path)
+    rows, before = _block_rows(spark, path)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for part, start, block in zip(*[c.to_pylist() for c in batch.columns]):
                 names, lengths, ids = unpack(block, table)
                 ends = np.cumsum(lengths)
                 data = ids.astype("<u4")
                 cut = [data[e - n : e].tobytes() for e, n in zip(ends, lengths)]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(start + ends - lengths), pa.array(lengths), pa.array(cut, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(before[part] + start + ends - lengths), pa.array(lengths), pa.array(cut, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+
+    return rows.select("part", "start", "block").mapInArrow(of, "doc_id long, start long, n_tokens long, ids binary")
+
+
+def read_parts(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (start, ids): the ids from each checkpoint to the next, decoded in tasks of their own.
+
+    So a document of many blocks' length is decoded by many tasks; the rows in order of start are all ids.
+    """
+    table = read_table(spark, path)
+    rows, before = _block_rows(spark, path)
+    step = LANES * CHECKPOINT
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, start, block in zip(*[c.to_pylist() for c in batch.columns]):
+                counts, code, states = zip(*Block(block).parts())
+                starts = [before[part] + start + i * step for i in range(len(counts))]
+                yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array([x.tobytes() for x in states], pa.binary()), pa.array([x.tobytes() for x in code], pa.binary())], ["start", "count", "states", "code"])
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [decode_part(n, np.frombuffer(code, "<u4"), np.frombuffer(states, "<u8"), table).astype("<u4").tobytes() for n, states, code in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["start", "ids"])
 
-    return spark.read.schema("start long, block binary").parquet(f"{path}/blocks").mapInArrow(of, "doc_id long, start long, n_tokens long, ids binary")
+    parts = rows.select("part", "start", "block").mapInArrow(cut, "start long, count long, states binary, code binary")
+    return parts.repartition("start").mapInArrow(decoded, "start long, ids binary")
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Writes ``docs`` to the shared folder and reads the files back: one row (doc_id, start, n_tokens, ids) per document.
 
-    Null text counts as empty and has the end id alone. Repeated rows and null doc_ids each give a row.
-    Further columns play no part. No documents: no rows.
+    Null text counts as empty and has the end id alone. Repeated rows and null doc_ids each give a row. Very long
+    texts are taken whole, in a block of their own. Further columns, of whatever name, play no part. No documents: no rows.
     """
     spark = docs.sparkSession
     path = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
