@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of bytes other than space and \\x09-\\x0D; bytes.split() cuts exactly there.
@@ -75,6 +75,30 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def row_hashes(df: DataFrame) -> tuple[Column, Column]:
+    """Two 64-bit hashes of all columns of a row; nulls count."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    nulls = [c.isNull() for c in columns]  # xxhash64 passes over nulls
+    return F.xxhash64(*columns, *nulls), F.xxhash64(F.lit("second"), *reversed(columns), *nulls)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with column ``name``, the row's number from 0 in the given order; rows that are equal there may have either number.
+
+    Spark's range exchange deals the rows out by samples, with a random number after the order, so that many equal
+    rows are spread too; a row's number is its place in its task's part and the counts of the parts before, one
+    figure for each part. The parts are written once, so that numbers do not depend on a second sampling.
+    """
+    local = free_name(df, "local")
+    parts = df.repartitionByRange(*order, F.rand(7)).sortWithinPartitions(*order).withColumn(local, F.monotonically_increasing_id())
+    placed = materialize(parts, "numbered")
+    part = F.shiftright(F.col(local), 33).alias("part")
+    counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    rows = placed.join(F.broadcast(before), F.shiftright(placed[local], 33) == before["part"])
+    return rows.withColumn(name, F.col("before") + F.col(local).bitwiseAND(F.lit((1 << 33) - 1))).select(*[placed[c] for c in df.columns], name)
+
+
 def by_batch(function: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function of one Arrow batch as one for ``mapInArrow``."""
 
