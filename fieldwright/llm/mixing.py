@@ -5,9 +5,10 @@ size is taken once as a whole. What is left of the target goes to a weighted sam
 document keys are exponential variates divided by a quality weight, and documents are taken in order of
 their keys while the prefix sum of words stays within the budget.
 
-The keys of a source are cut into ``BUCKETS`` ranges by a fixed rule; sums of ranges give each range its
-offset, and only rows of one range are ordered together. So a source with a third of all rows is spread
-over as many groups as the others together.
+Equal rows are one group with a count, so that any number of them is one entry. The keys of a source are cut into
+ranges by a fixed rule, the more the larger the corpus; sums of ranges give each range its offset, and only groups
+of one range are ordered together. So a source with a third of all rows is spread over as many tasks as the others
+together. All this moves sizes and hashes; texts move once, to what has been decided on them.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldwright.llm.common import word_count
+from fieldwright.llm.common import materialize, row_hashes, word_count
 
 #: Weights of the sources in order of code point, repeating; null last.
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
-BUCKETS = 512
+#: Groups of a range of keys, on average over all sources, and the least number of ranges.
+BUCKET_ROWS, BUCKETS = 4096, 512
 SEED = "mix-1"
 #: Sampling weight of a document by its quality label; without a label 1.
 QUALITY_WEIGHTS = {1: 2.0, 0: 0.5}
@@ -58,47 +60,65 @@ def uniform(key: Column, seed: str = SEED) -> Column:
     return (word + 0.5) / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, buckets: int = BUCKETS, seed: str = SEED) -> DataFrame:
+def decided(docs: DataFrame, quality: DataFrame | None, weights: Sequence[float], share: float, cap: float, seed: str) -> DataFrame:
+    """A row per group of equal rows: their hashes (h1, h2), number n, size, source_size, target; epochs is how often each row is taken, extra of how many once more."""
+    text = F.col("text").cast("string")
+    h1, h2 = row_hashes(docs)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.sha2(F.coalesce(text, F.lit("")), 256))
+    rows = docs.select(F.col("source").alias("source"), name.alias("name"), word_count(text).alias("size"), h1.alias("h1"), h2.alias("h2"))
+    groups = materialize(rows.groupBy("source", "name", "size", "h1", "h2").agg(F.count(F.lit(1)).alias("n")), "groups")
+    buckets = max(BUCKETS, groups.count() // BUCKET_ROWS)
+    goal = targets(groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, cap)
+    weight = F.lit(1.0)
+    if quality is not None:
+        marks = quality.where("doc_id is not null").groupBy(F.col("doc_id").cast("string").alias("name")).agg(F.max("quality").alias("quality"))
+        groups = groups.join(marks, "name", "left")
+        weight = F.coalesce(*[F.when(F.col("quality") == k, F.lit(v)) for k, v in QUALITY_WEIGHTS.items()], F.lit(1.0))
+    keyed = groups.withColumn("key", -F.log(uniform(F.col("name"), seed)) / weight).withColumn("words", F.col("size") * F.col("n"))
+    keyed = keyed.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets))
+    sums = keyed.groupBy("source", "bucket").agg(F.sum("words").alias("words"))
+    offsets = sums.select("source", "bucket", (F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words")).alias("offset"))
+    plan = offsets.join(goal, offsets["source"].eqNullSafe(goal["source"])).select(offsets["source"].alias("of"), F.col("bucket").alias("b"), "offset", "source_size", "target")
+    rows = keyed.join(plan, keyed["source"].eqNullSafe(plan["of"]) & (keyed["bucket"] == plan["b"]))
+    order = Window.partitionBy("source", "bucket").orderBy("key", "name", "size", "h1", "h2").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("offset") + F.coalesce(F.sum("words").over(order), F.lit(0))
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    rows = rows.withColumn("before", before).withColumn("epochs", F.least(epochs, F.lit(cap).cast("long")))
+    left = F.col("target") - F.col("epochs") * F.col("source_size")
+    # one more of a group's rows as long as the middle of that row is inside the budget
+    more = F.least(F.col("n"), F.greatest(F.lit(0), F.floor((left - F.col("before")) / F.col("size") + 0.5)))
+    extra = F.when((F.col("size") > 0) & (F.col("epochs") < cap), more).otherwise(0).cast("long")
+    return rows.select("h1", "h2", "n", "size", "source_size", "target", "epochs", extra.alias("extra"))
+
+
+def _with_decisions(docs: DataFrame, plan: DataFrame, times: Column, out: list[Column]) -> DataFrame:
+    """One row of each group as often as ``times`` says; ``out`` may use the columns of plan, the row of docs as struct doc, and the number i from 1."""
+    h1, h2 = row_hashes(docs)
+    one = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), h1.alias("h1"), h2.alias("h2")).dropDuplicates(["h1", "h2"])
+    rows = one.join(plan.where(times > 0), ["h1", "h2"]).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    return rows.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns], *out)
+
+
+def mix(docs: DataFrame, quality: DataFrame | None = None, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
     """``docs`` with columns size, source_size, target, copies and taken.
 
     size is the number of words (null text: 0), copies how often the mix takes the document, taken = size x copies.
     The document at which the budget ends is taken if that brings the source nearer to its target.
     ``quality`` (doc_id, quality) gives sampling weights; its nulls and unknown values weigh 1, of repeated ids the
     greatest counts. Null sources are one source, the last. Null doc_ids sample by the hash of their text
-    alone. Empty documents have size 0 and take part in whole epochs. Repeated rows have equal keys: order among
-    them does not change the sums taken, and which of them is taken does not matter. Columns of the
-    input with these names are replaced; others stay. No documents: no rows.
+    alone. Empty documents have size 0 and take part in whole epochs. Repeated rows have equal keys; as many of
+    them are taken as the budget allows, and which does not matter. Very long texts are documents like
+    others. Columns of the input with these five names are replaced; others, of whatever name, stay. No documents: no rows.
     """
-    mine = ("size", "source_size", "target", "copies", "taken")
-    text = F.col("text").cast("string")
-    rows = docs.drop(*mine).withColumn("size", word_count(text))
-    name = F.coalesce(F.col("doc_id").cast("string"), F.sha2(F.coalesce(text, F.lit("")), 256))
-    rows = rows.withColumn("_name", name)
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = targets(sizes, weights, share, cap)
-    weight = F.lit(1.0)
-    if quality is not None:
-        marks = quality.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_quality"))
-        rows = rows.join(marks, rows["doc_id"] == marks["_id"], "left").drop("_id")
-        weight = F.coalesce(*[F.when(F.col("_quality") == k, F.lit(v)) for k, v in QUALITY_WEIGHTS.items()], F.lit(1.0))
-    rows = rows.withColumn("_key", -F.log(uniform(F.col("_name"), seed)) / weight).drop("_quality")
-    rows = rows.withColumn("_bucket", F.floor((1 - F.exp(-F.col("_key"))) * buckets).cast("int"))
-    inside = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
-    offsets = inside.select("source", "_bucket", (F.sum("_words").over(Window.partitionBy("source").orderBy("_bucket")) - F.col("_words")).alias("_offset"))
-    plan = offsets.join(goal, offsets["source"].eqNullSafe(goal["source"])).select(offsets["source"].alias("_source"), F.col("_bucket").alias("_b"), "_offset", "source_size", "target")
-    rows = rows.join(plan, rows["source"].eqNullSafe(plan["_source"]) & (rows["_bucket"] == plan["_b"])).drop("_source", "_b")
-    # equal keys, as of repeated rows, follow each other by size, so that sums do not depend on chance
-    order = Window.partitionBy("source", "_bucket").orderBy("_key", "_name", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_until", F.col("_offset") + F.sum("size").over(order))
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    left = F.col("target") - epochs * F.col("source_size")
-    part = F.when((F.col("size") > 0) & (F.col("_until") - F.col("size") / 2 <= left), 1).otherwise(0)
-    copies = F.when(epochs >= cap, F.lit(cap)).otherwise(epochs + part).cast("int")
-    rows = rows.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
-    return rows.drop("_name", "_key", "_bucket", "_offset", "_until")
+    rows = docs.drop("size", "source_size", "target", "copies", "taken")
+    copies = (F.col("epochs") + F.when(F.col("i") <= F.col("extra"), 1).otherwise(0)).cast("int")
+    out = [F.col("size"), F.col("source_size"), F.col("target"), copies.alias("copies"), (F.col("size") * copies).alias("taken")]
+    return _with_decisions(rows, decided(rows, quality, weights, share, cap, seed), F.col("n"), out)
 
 
-def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:
-    """The mix itself: each document's row as often as it is taken, with the columns of ``docs``."""
-    rows = mix(docs, quality, **options).where("copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
+    """The mix itself: each document's row as often as it is taken, with the columns of ``docs``, of whatever name.
+
+    Nulls, ties, repeated rows, empty and very long texts as in ``mix``. No documents: no rows.
+    """
+    return _with_decisions(docs, decided(docs, quality, weights, share, cap, seed), F.col("n") * F.col("epochs") + F.col("extra"), [])
