@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldwright.llm.common import free_name, numbered, row_hashes
+
 SHARDS = 8
 SEED = 20240611
 ROUNDS = 6
-#: Ranges of doc_id that are numbered side by side; the quantiles that part them are the only figures at the driver.
-RANGES = 1024
 #: Odd multipliers of the round function.
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -46,64 +46,37 @@ def place(number: int, count: int, shards: int = SHARDS, seed: int = SEED) -> tu
     return at % shards, at // shards
 
 
-def numbered(docs: DataFrame, ranges: int = RANGES) -> tuple[DataFrame, int]:
-    """``docs`` with column row_number, from 0 in ascending doc_id (null first), and the number of rows.
-
-    The ranges between quantiles of doc_id are counted, and each range is numbered on its own from the
-    count of those before it, so there is no global sort in one task. Rows of one doc_id follow the
-    hash of their text; equal rows are interchangeable.
-    """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    low, high, count = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    if low is None:
-        cuts = np.zeros(0, np.int64)
-    else:
-        wanted = [i / ranges for i in range(1, ranges)]
-        cuts = np.unique(np.array(ids.where("doc_id is not null").agg(F.percentile_approx("doc_id", wanted, 20 * ranges)).first()[0], np.int64))
-
-    @F.pandas_udf("int")
-    def range_of(doc_id: pd.Series, known: pd.Series) -> pd.Series:
-        return pd.Series(np.where(known, 1 + np.searchsorted(cuts, doc_id.to_numpy(np.int64), side="right"), 0).astype(np.int32))
-
-    def ranged(df: DataFrame) -> DataFrame:
-        known = F.col("doc_id").isNotNull()
-        return df.withColumn("_range", range_of(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), known))
-
-    # at most ``ranges`` + 1 rows
-    counts = ranged(ids).groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
-    inside = Window.partitionBy("_range").orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64(F.col("text").cast("string")))
-    rows = ranged(docs).withColumn("_at", F.row_number().over(inside))
-    out = rows.join(F.broadcast(before), "_range", "left").withColumn("row_number", F.col("_before") + F.col("_at") - 1)
-    return out.drop("_range", "_at", "_before"), count
-
-
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """``docs`` with columns shard (int) and slot (long).
 
-    Row number i, in ascending doc_id, goes to place p = Feistel(i): shard p mod shards, slot p div
-    shards. So row counts differ by one at most, slots run gapless from 0, and reruns agree. Null
-    doc_ids come first; null or empty texts are rows like others; repeated rows get a place each, and
-    any of them may have either place. Columns shard, slot and row_number of the input are replaced.
-    No documents: no rows.
+    Row number i, in ascending doc_id and then by a hash of the whole row, goes to place p = Feistel(i): shard p
+    mod shards, slot p div shards. So row counts differ by one at most, slots run gapless from 0, and reruns agree. Null
+    doc_ids come first; null, empty and very long texts are rows like others; repeated rows get a place each, and
+    any of them may have either place. Columns shard and slot of the input are replaced; others, of whatever
+    name, stay. No documents: no rows.
     """
-    rows, count = numbered(docs.drop("shard", "slot", "row_number"))
+    rows = docs.drop("shard", "slot")
+    number, at = free_name(rows, "number"), free_name(rows, "at")
+    rows = numbered(rows, [F.col("doc_id").cast("long").asc_nulls_first(), row_hashes(rows)[0].asc()], number)
+    count = rows.count()
 
     @F.pandas_udf("long")
     def permuted(number: pd.Series) -> pd.Series:
         return pd.Series(feistel(number.to_numpy(np.int64), count, seed) if len(number) else number.to_numpy(np.int64))
 
-    placed = rows.withColumn("_place", permuted("row_number"))
-    return placed.withColumn("shard", F.pmod("_place", F.lit(shards)).cast("int")).withColumn("slot", F.expr(f"_place div {shards}")).drop("_place", "row_number")
+    placed = rows.withColumn(at, permuted(number))
+    return placed.withColumn("shard", F.pmod(at, F.lit(shards)).cast("int")).withColumn("slot", F.expr(f"{at} div {shards}")).drop(number, at)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, files_per_shard: int = 16, rows_per_file: int | None = None, seed: int = SEED) -> None:
     """Writes the sharded documents as Parquet under ``path``/shard=N, rows of a file in slot order.
 
-    Each shard is cut into runs of slots so that no task writes a whole shard.
+    Each shard is cut into runs of slots so that no task writes a whole shard. Nulls, repeated rows, long texts and
+    clashing names as in ``shard``. No documents: no files but Spark's mark of success.
     """
     placed = shard(docs, shards, seed)
     if rows_per_file is None:
         rows_per_file = max(1, -(-docs.count() // (shards * files_per_shard)))
-    run = F.expr(f"slot div {rows_per_file}")
-    placed.withColumn("run", run).repartition("shard", "run").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    run = free_name(placed, "run")
+    cut = placed.withColumn(run, F.expr(f"slot div {rows_per_file}")).repartition("shard", run).sortWithinPartitions("shard", "slot")
+    cut.drop(run).write.partitionBy("shard").parquet(path)
