@@ -201,7 +201,7 @@ def remove_repeated_windows(docs: DataFrame, width: int = WORDS, chunk_bytes: in
     with a smaller doc_id; windows are judged on the input. Kept words are joined by one space. Null text:
     no words. Texts shorter than a window keep all. Rows without doc_id keep all and count for no other
     row. Rows that share a doc_id do not count as smaller than each other. Repeated rows give a row each. A
-    repeated window inside one document stays. Further columns play no part. No documents: no rows.
+    repeated window inside one document stays. Very long texts are taken whole. Further columns, of whatever name, play no part. No documents: no rows.
 
     Windows are told apart by 64 bits of hash: of 10^13 windows, one in a million may be taken for a repeat wrongly.
     """
@@ -211,7 +211,8 @@ def remove_repeated_windows(docs: DataFrame, width: int = WORDS, chunk_bytes: in
         chunk_bytes = int(min(MOST_BYTES, CHUNK_BYTES * max(1.0, math.sqrt(total / (4 << 30)))))
     chunks = max(1, -(-total // chunk_bytes))
     buckets = max(1, -(-chunks // BUCKET_CHUNKS))
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long").alias("chunk"), "doc_id", "text").repartition("chunk")
+    # with the task's number, so that equal rows of many files do not meet in one chunk
+    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(chunks)).cast("long").alias("chunk"), "doc_id", "text").repartition("chunk")
     runs = dealt.sortWithinPartitions("chunk", F.col("doc_id").asc_nulls_last()).mapInArrow(_runs(width, buckets), "bucket long, chunk long, run binary")
     answers = runs.groupBy("bucket").applyInArrow(_answers, "chunk long, bucket long, bits binary")
     out = "doc_id long, n_words long, n_removed long, kept_text string"
