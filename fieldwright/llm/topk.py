@@ -4,8 +4,12 @@ Components are terms, vectors are documents and a vector's components are its po
 postings are counted from their end with the least score, so that all contributions are 0 or more and
 have an upper bound: |weight| x (greatest - least component in the shard). Terms in order of bound
 are split into essential and non-essential ones: non-essential are those whose bounds together do not
-bring a vector to the current k-th score. Essential postings are traversed for all vectors; the others
-are probed only for vectors that still can compete. Shards are searched on their own and merged.
+bring a vector to the query's threshold. Essential postings are traversed for all vectors, as one matrix product for a
+block of queries; the others are probed only for vectors that still can compete, or by a second product where
+most of them can. Shards are searched on their own and merged.
+
+A query's threshold is its k-th score in a bounded sample of the vectors, found in a round before. Each shard is sent
+once, to one task, and the queries stream past it.
 """
 
 from __future__ import annotations
@@ -17,113 +21,141 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldwright.llm.common import by_batch, materialize
+from fieldwright.llm.common import materialize
 
 K = 5
-#: Vectors in a shard, queries in a block, on average.
-SHARD_ROWS = 2048
-QUERY_ROWS = 1024
-#: Terms probed at a time.
-STEP = 8
-#: The k-th score of this many vectors starts the threshold.
-WARM_UP = 256
+#: Components in a shard, and the least number of vectors for which a further shard is made.
+SHARD_CELLS, SHARD_ROWS = 1 << 20, 512
+#: Vectors of the sample that gives the first thresholds; their components are bounded by SHARD_CELLS too.
+SAMPLE_ROWS = 2048
+#: Terms probed at a time, and the share of vectors that may compete for probing one by one.
+STEP, FEW = 8, 0.05
+#: Scores held at a time.
+CELLS = 1 << 22
+NONE = np.iinfo(np.int64).min
 
 
 def quantized(vectors: DataFrame) -> DataFrame:
-    """Rows (vec_id, q): q = floor(256 x component), each component as double, for vectors that take part."""
+    """Rows (vec_id, q, u): q = floor(256 x component), each component as double, for vectors that take part; u tells rows apart."""
     ok = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(ok & F.col("vec_id").isNotNull())
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("long")).alias("q"))
-
-
-def _packed(rows: list[list[int]], width: int) -> np.ndarray:
-    out = np.zeros((len(rows), width), np.int64)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
+    q = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("long"))
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), q.alias("q"), F.monotonically_increasing_id().alias("u"))
+
+
+def matrix(lists: pa.ListArray) -> np.ndarray:
+    """Rows of integers; shorter ones are filled with 0."""
+    n = lists.value_lengths().to_numpy().astype(np.int64)
+    values, width = lists.flatten().to_numpy().astype(np.int64), int(n.max(initial=0))
+    if (n == width).all():
+        return values.reshape(len(n), width)
+    out = np.zeros((len(n), width), np.int64)
+    out[np.arange(width) < n[:, None]] = values
     return out
 
 
 class Shard:
-    """Vectors of one shard, in order of vec_id, with the range of each term."""
+    """Vectors of one shard with the range of each term."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray) -> None:
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], x[order]
-        self.least, self.greatest = self.x.min(axis=0), self.x.max(axis=0)
-        self.small = int(np.abs(self.x).max(initial=0))
-
-    def search(self, vec_id: int, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best (vec_id, score), ties to the smaller vec_id, without the query's own row."""
-        width = max(len(weights), self.x.shape[1])
-        w = np.zeros(width, np.int64)
-        w[: len(weights)] = weights
-        w = w[: self.x.shape[1]]  # a component that no vector of the shard has adds nothing
+        self.ids, self.x = ids, x
+        self.least, self.greatest = x.min(axis=0), x.max(axis=0)
+        self.small = int(np.abs(x).max(initial=0))
+        self.exact = x.astype(np.float64) if self.small < 2**52 else x
+
+    def product(self, w: np.ndarray) -> np.ndarray:
+        """Scores of all vectors for rows of weights, exact."""
+        if self.small * int(np.abs(w).max(initial=0)) * max(1, w.shape[1]) < 2**52:
+            return (w.astype(np.float64) @ self.exact.T).astype(np.int64)
+        return w @ self.x.T
+
+    def search(self, query_ids: np.ndarray, weights: np.ndarray, floors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query_id, vec_id, score) of the k best for each query that reach its floor (NONE: no floor), ties to the smaller vec_id, without rows of the query's own id."""
+        width = self.x.shape[1]
+        w = np.zeros((len(weights), width), np.int64)
+        used = min(width, weights.shape[1])
+        w[:, :used] = weights[:, :used]  # a component that no vector of the shard has adds nothing
+        step = max(1, CELLS // max(1, len(self.ids)))
+        found = [self._block(query_ids[i : i + step], w[i : i + step], floors[i : i + step], k) for i in range(0, len(w), step)]
+        return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
+
+    def _block(self, query_ids: np.ndarray, w: np.ndarray, floors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        width = w.shape[1]
         end = np.where(w >= 0, self.least, self.greatest)
-        base = int(w @ end)  # every vector's score from the least contributions
+        base = (w * end).sum(axis=1)  # every vector's score from the least contributions
+        need = np.where(floors == NONE, 0, floors - base)
         bound = np.abs(w) * (self.greatest - self.least)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        rest = np.append(np.cumsum(bound[order][::-1])[::-1], 0)  # rest[j]: bound of the terms from j on
-        exact = np.float64 if self.small * int(np.abs(w).max(initial=0)) * max(1, len(w)) < 2**52 else np.int64
-        alive = np.flatnonzero(self.ids != vec_id)
-        if not len(alive):
-            return self.ids[:0], self.ids[:0]
-        warm = alive[:WARM_UP]
-        scores = (self.x[warm].astype(exact) @ w.astype(exact)).astype(np.int64) - base
-        threshold = np.partition(scores, -k)[-k] if len(scores) >= k else 0
-        essential = int(np.searchsorted(-rest, -threshold, side="right"))  # what follows cannot reach the threshold alone
-        essential = min(max(essential, 1), len(order))
-        terms = order[:essential]
-        have = ((self.x[:, terms] - end[terms]).astype(exact) @ w[terms].astype(exact)).astype(np.int64)[alive]
-        at = essential
-        while at < len(order):
-            stay = have + rest[at] >= threshold
-            alive, have = alive[stay], have[stay]
-            terms = order[at : at + STEP]
-            have = have + ((self.x[np.ix_(alive, terms)] - end[terms]).astype(exact) @ w[terms].astype(exact)).astype(np.int64)
-            at += len(terms)
-            if len(have) >= k:
-                threshold = max(threshold, np.partition(have, -k)[-k])  # have is a lower bound of the score
-        best = np.lexsort((self.ids[alive], -have))[:k]
-        return self.ids[alive[best]], have[best] + base
-
-
-def _pack(id_name: str) -> object:
-    """For applyInArrow: the rows of a group as one row (group, ids, width, values)."""
-
-    def of(key: tuple, rows: pa.Table) -> pa.Table:
-        q = rows.column("q").to_pylist()
-        width = max(map(len, q), default=0)
-        return pa.table({id_name: [key[0].as_py()], f"{id_name}_ids": [rows.column("vec_id").to_numpy().astype("<i8").tobytes()], f"{id_name}_width": [width], f"{id_name}_values": [_packed(q, width).astype("<i8").tobytes()]})
-
-    return of
-
-
-def _grouped(rows: DataFrame, name: str, per_group: int, count: int) -> tuple[DataFrame, int]:
-    groups = max(1, -(-count // per_group))
-    keyed = rows.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("long"))
-    schema = f"{name} long, {name}_ids binary, {name}_width long, {name}_values binary"
-    return keyed.groupBy("g").applyInArrow(_pack(name), schema), groups
+        order = np.argsort(-bound, axis=1, kind="stable")
+        falling = np.take_along_axis(bound, order, axis=1)
+        rest = np.zeros((len(w), width + 1), np.int64)  # rest[q, j]: bound of the terms from j on
+        rest[:, :width] = np.cumsum(falling[:, ::-1], axis=1)[:, ::-1]
+        at = (rest[:, :width] >= need[:, None]).sum(axis=1)  # what follows cannot reach the threshold alone
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.broadcast_to(np.arange(width), order.shape), axis=1)
+        essential = np.where(rank < at[:, None], w, 0)
+        have = self.product(essential) - (essential * end).sum(axis=1)[:, None]
+        alive = (have + np.take_along_axis(rest, at[:, None], axis=1) >= need[:, None]) & (self.ids != query_ids[:, None])
+        if alive.mean() > FEW:
+            have += self.product(w - essential) - ((w - essential) * end).sum(axis=1)[:, None]
+            at = np.full(len(w), width)
+            alive &= have >= need[:, None]
+        q, v = np.nonzero(alive)
+        score = have[q, v]
+        while len(q) and (at[q] < width).any():
+            place = at[q, None] + np.arange(STEP)
+            inside = place < width
+            terms = np.take_along_axis(order[q], np.minimum(place, width - 1), axis=1)
+            score = score + np.where(inside, (self.x[v[:, None], terms] - end[q[:, None], terms]) * w[q[:, None], terms], 0).sum(axis=1)
+            at = np.minimum(at + STEP, width)
+            stay = score + rest[q, at[q]] >= need[q]
+            q, v, score = q[stay], v[stay], score[stay]
+        order = np.lexsort((self.ids[v], -score, q))
+        q, v, score = q[order], v[order], score[order]
+        first = np.searchsorted(q, q, side="left")
+        best = np.arange(len(q)) - first < k
+        return query_ids[q[best]], self.ids[v[best]], score[best] + base[q[best]]
+
+
+def with_floors(queries: DataFrame, sample: Shard | None, k: int) -> DataFrame:
+    """queries: (vec_id, q); with column floor, the k-th score among the sample's vectors of other ids; NONE if it has fewer."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, floors = batch.column(0).to_numpy(), np.full(batch.num_rows, NONE)
+            if sample is not None and len(ids):
+                q, _, score = sample.search(ids, matrix(batch.column(1)), floors, k)
+                full, first, n = np.unique(q, return_index=True, return_counts=True)  # a query's rows follow each other and fall in score
+                by = np.argsort(ids)
+                place = by[np.searchsorted(ids[by], full)]
+                floors[place[n >= k]] = score[(first + k - 1)[n >= k]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(floors)], ["vec_id", "q", "floor"])
+
+    kind = queries.schema["q"].dataType.simpleString()
+    return queries.mapInArrow(of, f"vec_id long, q {kind}, floor long")
 
 
 def _search(k: int):
+    """Rows (query_id, vec_id, score) from rows (shard, kind, id, q, floor), a shard's vectors (kind 0) before its queries (1)."""
+
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, Shard] | None = None
+        now, parts, shard = None, [], None
         for batch in batches:
-            for shard, ids, width, values, own, w, theirs in zip(*[c.to_pylist() for c in batch.columns]):
-                if last is None or last[0] != shard:
-                    x = np.frombuffer(ids, "<i8")
-                    last = (shard, Shard(x, np.frombuffer(values, "<i8").reshape(len(x), width)))
-                queries = np.frombuffer(own, "<i8")
-                weights = np.frombuffer(theirs, "<i8").reshape(len(queries), w)
-                out_q, out_v, out_s = [], [], []
-                for q, row in zip(queries, weights):
-                    v, s = last[1].search(int(q), row, k)
-                    out_q.append(np.full(len(v), q))
-                    out_v.append(v)
-                    out_s.append(s)
-                if out_q:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (out_q, out_v, out_s)], ["query_id", "vec_id", "score"])
+            number, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            runs = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (kind[1:] != kind[:-1])])) if len(number) else []
+            for start, stop in zip(runs, [*runs[1:], len(number)]):
+                ids, x = batch.column(2).to_numpy()[start:stop], matrix(batch.column(3).slice(start, stop - start))
+                if number[start] != now:
+                    now, parts, shard = number[start], [], None
+                if kind[start] == 0:
+                    parts.append((ids, x))
+                    continue
+                if shard is None and parts:
+                    width = max(p.shape[1] for _, p in parts)
+                    shard = Shard(np.concatenate([i for i, _ in parts]), np.concatenate([np.pad(p, ((0, 0), (0, width - p.shape[1]))) for _, p in parts]))
+                    parts = []
+                if shard is not None:
+                    out = shard.search(ids, x, batch.column(4).to_numpy()[start:stop], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["query_id", "vec_id", "score"])
 
     return over
 
@@ -134,18 +166,29 @@ def top_k(vectors: DataFrame, query_condition: str = "vec_id % 50 = 0", k: int =
     Queries are the rows that fulfil the condition; ties go to the smaller vec_id. Vectors that are
     null or hold a null or non-finite component take no part, nor do rows without vec_id. Vectors of
     different lengths: missing components count as 0. Rows of the query's own vec_id are no candidates; other
-    repeated vec_ids are candidates each. Empty vectors score 0. Further columns play no part. No rows: no rows.
+    repeated vec_ids are candidates each. Of several vectors of a query's id the least, component by component, is
+    the query. Empty vectors score 0. Further columns play no part. No rows: no rows. Components so large that a score
+    might not fit 64 bits raise ValueError.
 
-    Blocks of queries meet shards by an equi-join on the shard; a shard and a block are bounded in
-    rows by hashing vec_id.
+    Rows meet shards by a hash of their place, so repeated vec_ids are spread like others.
     """
     rows = materialize(quantized(vectors), "vectors")
-    queries = rows.where(query_condition).dropDuplicates(["vec_id"])
-    count, asked = rows.count(), queries.count()
-    shards, n = _grouped(rows, "shard", SHARD_ROWS, count)
-    blocks, _ = _grouped(queries, "block", QUERY_ROWS, asked)
-    sent = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    pairs = shards.join(sent, "shard").select("shard", "shard_ids", "shard_width", "shard_values", "block_ids", "block_width", "block_values")
-    found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    size = F.greatest(F.abs(F.array_max("q").cast("double")), F.abs(F.array_min("q").cast("double")))
+    count, width, most = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("q")), F.lit(0)), F.coalesce(F.max(size), F.lit(0.0))).first()
+    if most * most * max(1, width) >= 2.0**62:
+        raise ValueError("scores of these vectors may not fit 64 bits")
+    kind = "array<int>" if most < 2**31 else "array<bigint>"
+    rows = rows.withColumn("q", F.col("q").cast(kind))
+    per_shard = max(1, SHARD_CELLS // max(1, width))
+    sample = rows.orderBy(F.xxhash64("vec_id", "u"), "u").limit(min(SAMPLE_ROWS, per_shard)).select("vec_id", "q").toArrow()
+    first = Shard(sample.column(0).to_numpy(), matrix(sample.column(1).combine_chunks())) if sample.num_rows else None
+    queries = rows.where(query_condition).groupBy("vec_id").agg(F.min("q").alias("q"))
+    asked = materialize(with_floors(queries, first, k), "queries")
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(-(-count // per_shard), min(tasks, -(-count // SHARD_ROWS)), 1)
+    own = rows.select(F.pmod(F.xxhash64("u"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "q", F.lit(NONE).alias("floor"))
+    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.col("vec_id").alias("id"), "q", "floor")
+    streams = own.union(sent).repartition("shard").sortWithinPartitions("shard", "kind")
+    found = streams.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
