@@ -9,13 +9,18 @@ each hit is verified with Myers' bit-parallel distance of the item to the words
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldwright.llm.common import materialize
+
 #: Share of an item's words that may differ.
 ERRORS = 0.2
 WORD = re.compile(r"[^\W_]+")
@@ -123,47 +128,76 @@ class Items:
         return out
 
 
+def _passes(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The distinct items by pass, one pass at a time; a pass is bounded by ``PASS_ITEMS`` and ``PASS_BYTES`` on average."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+    count, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    passes = max(1, -(-count // PASS_ITEMS), -(-size // PASS_BYTES))
+    for number in range(passes):
+        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == number).collect()
+        yield sorted((r["item_id"], r["text"]) for r in some)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
     """Rows (doc_id, item_id, edits, end_word), one for each document row and item that stands in it.
 
     edits is the number of words to change, add or leave out; end_word where the first best part ends. Null
     and empty texts match nothing, nor do items without words; items of fewer than five words must
-    stand unchanged. Null item_ids are left out. Equal items each give a row, of rows with one
-    item_id each text counts and the best match is told. Repeated documents give repeated rows. No rows on either
+    stand unchanged. Null item_ids are left out. Equal items count once; of rows with one
+    item_id each text counts and the best match is told. Repeated documents give repeated rows, null doc_ids rows like
+    others. Very long texts are searched whole. Further columns, of whatever name, play no part. No rows on either
     side: no rows.
 
-    The items of a pass go to all tasks, bounded by ``PASS_ITEMS`` and ``PASS_BYTES``; a larger benchmark
-    is dealt by hash of item_id to as many passes as it needs.
+    The items of a pass go to all tasks; a larger benchmark is dealt by hash to as many passes as it needs. A
+    document row is told by its doc_id and a hash of its text, and copies are counted, so passes do not show.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    count, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    passes = max(1, -(-count // PASS_ITEMS), -(-size // PASS_BYTES))
-    out = None
-    for number in range(passes):
-        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == number).collect()
-        found = _one_pass(docs, sorted((r["item_id"], r["text"]) for r in some), errors)
-        out = found if out is None else out.union(found)
-    if passes > 1:
-        out = out.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "end_word")).alias("m")).select("doc_id", "item_id", "m.edits", "m.end_word")
-    return out
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    parts = [_one_pass(rows, items, errors).withColumn("pass", F.lit(number)) for number, items in enumerate(_passes(benchmark))]
+    best = F.min(F.struct("edits", "end_word")).alias("m")
+    key = ["doc_id", "h1", "h2", "item_id"]
+    of_pass = reduce(DataFrame.union, parts).groupBy(*key, "pass").agg(best, F.count(F.lit(1)).alias("n"))
+    found = of_pass.groupBy(*key).agg(F.min("m").alias("m"), F.max("n").alias("n"))
+    return found.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("doc_id", "item_id", "m.edits", "m.end_word")
 
 
-def _one_pass(docs: DataFrame, items: list[tuple[int, str]], errors: float) -> DataFrame:
+def _one_pass(rows: DataFrame, items: list[tuple[int, str]], errors: float) -> DataFrame:
     indexes: list[Items] = []
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not indexes:
             indexes.append(Items(items, errors))
         for batch in batches:
-            rows = [(d, item, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for item, m in indexes[0].matches(t).items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["doc_id", "item_id", "edits", "end_word"])
+            out = []
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if t and (matches := indexes[0].matches(t)):
+                    h1, h2 = struct.unpack("<qq", xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")))
+                    out += [(d, h1, h2, item, *m) for item, m in matches.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(6)], ["doc_id", "h1", "h2", "item_id", "edits", "end_word"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(of, "doc_id long, item_id long, edits long, end_word long")
+    return rows.mapInArrow(of, "doc_id long, h1 long, h2 long, item_id long, edits long, end_word long")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
-    """The documents in which no item stands. Rows with a null doc_id are told apart by their text alone."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))
-    keyed = docs.withColumn("_key", key)
-    leaks = contaminated(keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark, errors).select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(leaks, "_key", "left_anti").select(*docs.columns)
+    """The documents in which no item stands, with all their columns.
+
+    Each row is judged by its own text and nothing else, so null or repeated doc_ids and clashing names do not
+    matter; items and texts as in ``contaminated``. Rows are filtered where they are read; a benchmark of several
+    passes has the rows written between them. No documents: no rows; no items: all documents.
+    """
+
+    def clean(items: list[tuple[int, str]]):
+        indexes: list[Items] = []
+
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if not indexes:
+                indexes.append(Items(items, errors))
+            for batch in batches:
+                texts = batch.column(at).to_pylist()
+                yield batch.filter(pa.array([not (t and indexes[0].matches(str(t))) for t in texts], pa.bool_()))
+
+        return of
+
+    at = docs.columns.index("text")
+    for number, items in enumerate(_passes(benchmark)):
+        docs = (materialize(docs, "clean") if number else docs).mapInArrow(clean(items), docs.schema)
+    return docs
