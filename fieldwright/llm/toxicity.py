@@ -4,15 +4,17 @@ The chain predicts the label table's categories one after the other; each later
 earlier categories' probabilities. It is trained with out-of-fold predictions of these, so that it sees
 them as unsure as they will be on new documents.
 
-Features are the presence of words and of word beginnings, lower-cased. The labelled sample is bounded
-(``TRAIN_ROWS``); its features are made by the executors, and hashes alone come to the driver, where
-the small models are fitted. All documents are scored on the executors.
+Features are the presence of words and of word beginnings, lower-cased. The labelled sample is bounded in rows
+(``TRAIN_ROWS``), not in their texts: the features of whole texts are made and counted by class on the executors, and
+of each row only those come to the driver that some model selects, where the small models are fitted. Both classes
+of a category weigh the same, whatever their shares in the sample. All documents are scored on the executors.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,12 +23,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldwright.llm.common import by_batch
+from fieldwright.llm.common import by_batch, materialize, released
 
 #: At most so many labelled documents are learned from: of each category's two classes, those with the least hash of their doc_id.
 TRAIN_ROWS = 6000
-#: A learned document gives at most so many features, those with the least hash; what is scored has no bound.
-TRAIN_FEATURES = 4000
 FOLDS = 4
 SELECTED = 3000
 #: The least difference of a feature between the classes, in standard errors.
@@ -102,7 +102,7 @@ def fit(sample: Sample, y: np.ndarray, earlier: np.ndarray, use: np.ndarray) ->
     k = earlier.shape[1]
     w, e, b = np.zeros(len(chosen)), np.zeros(k), 0.0
     vw, ve, vb = np.zeros_like(w), np.zeros_like(e), 0.0
-    weight = use / max(1, int(use.sum()))
+    weight = use * np.where(y == 1, 0.5 / n1, 0.5 / n0)
     logit = lambda: np.bincount(row, weights=w[col] * value, minlength=sample.n) + earlier @ e + b
     for _ in range(STEPS):
         error = (sigmoid(logit()) - y) * weight
@@ -115,11 +115,10 @@ def fit(sample: Sample, y: np.ndarray, earlier: np.ndarray, use: np.ndarray) ->
     return Linear(sample.hashes[chosen], w, float(b), e), sigmoid(logit())
 
 
-def fit_chain(rows: list[np.ndarray], labels: np.ndarray, categories: list[str]) -> Chain:
-    """labels: a row per document, a column per category. Without rows or with one class only the bias decides."""
+def fit_chain(rows: list[np.ndarray], labels: np.ndarray, fold: np.ndarray, categories: list[str]) -> Chain:
+    """labels: a row per document, a column per category; fold: of each row. Without rows or with one class only the bias decides."""
     chain, sample = Chain(categories), Sample(rows)
     everything = np.ones(sample.n, bool)
-    fold = np.arange(sample.n) % FOLDS
     earlier = np.zeros((sample.n, 0))
     for j in range(len(categories)):
         y = labels[:, j].astype(float)
@@ -133,11 +132,37 @@ def fit_chain(rows: list[np.ndarray], labels: np.ndarray, categories: list[str])
     return chain
 
 
+def selected(features: DataFrame, names: list[str]) -> np.ndarray:
+    """Sorted hashes of the features that some model of the chain selects: of each category over all rows, and of all but the last over the rows outside each fold.
+
+    features: (fold, one column per category, features), a row per labelled document. The scores are those of ``fit``.
+    """
+    classes = [(name, y, f) for name in names for y in (1, 0) for f in range(FOLDS)]
+    column = {c: f"n{i}" for i, c in enumerate(classes)}
+    number = lambda c: F.sum(F.when((F.col(c[0]) == c[1]) & (F.col("fold") == c[2]), 1).otherwise(0)).alias(column[c])
+    totals = features.agg(*map(number, classes)).first()
+    counts = materialize(features.select("fold", *names, F.explode("features").alias("feature")).groupBy("feature").agg(*map(number, classes)), "counts")
+    found = []
+    for j, name in enumerate(names):
+        for left_out in [None, *range(FOLDS)] if j + 1 < len(names) else [None]:
+            used = [f for f in range(FOLDS) if f != left_out]
+            n1, n0 = (max(1, sum(totals[column[name, y, f]] or 0 for f in used)) for y in (1, 0))
+            with1, with0 = (reduce(lambda a, b: a + b, [F.col(column[name, y, f]) for f in used]) for y in (1, 0))
+            p1, p0 = with1 / n1, with0 / n0
+            score = F.abs(p1 - p0) / F.sqrt((p1 + p0) / 2 * (1 / n1 + 1 / n0) + 1e-9)
+            # a hair below fit's bound, as sums may differ in the last digit
+            sure = counts.where(with1 + with0 >= 2).select("feature", score.alias("score")).where(F.col("score") >= SURE - 1e-6)
+            found.append(np.array([r[0] for r in sure.orderBy(F.desc("score"), "feature").limit(SELECTED).collect()], np.int64))
+    released(counts)
+    return np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, str]]) -> Chain:
     """Fits the chain. categories: (name, SQL condition over labels), in the order of the chain.
 
     Labelled rows with a null in a condition or without a document are left out; of repeated ids the
-    row counts that is greatest in the order of its categories. No labelled row: all probabilities are 0.
+    row counts that is greatest in the order of its categories, and of several documents of an id the one with the least
+    text. No labelled row: all probabilities are 0.
     """
     names = [n for n, _ in categories]
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.expr(f"cast({c} as int)").alias(n) for n, c in categories]).dropna()
@@ -145,20 +170,29 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, str]])
     last = names[-1]
     # each class of the last category gets half of the bound; TakeOrdered, so that no task sorts all labels
     picked = [marks.where(F.col(last) == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS // 2) for v in (1, 0)]
-    picked = picked[0].union(picked[1])
+    picked = picked[0].union(picked[1]).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int"))
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists = [np.sort(np.unique(np.array([h for w in text_words(t) for h in word_features(w)], np.int64)))[:TRAIN_FEATURES] for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), *[batch.column(i) for i in range(2, batch.num_columns)], pa.array([x.tobytes() for x in lists], pa.binary())], ["doc_id", *names, "features"])
-
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "text", *names)
-    schema = "doc_id long, " + ", ".join(f"{n} int" for n in names) + ", features binary"
-    rows = sorted({r["doc_id"]: r for r in sample.mapInArrow(by_batch(hashed), schema).collect()}.values(), key=lambda r: (xxhash.xxh64_intdigest(str(r["doc_id"])), r["doc_id"]))
-    values = np.array([[r[n] for n in names] for r in rows], int).reshape(len(rows), len(names))
-    if not len(rows):
+        lists = [np.unique(np.array([h for w in text_words(t) for h in word_features(w)], np.int64)) for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), *[batch.column(i) for i in range(2, batch.num_columns)], pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "fold", *names, "features"])
+
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    sample = sample.groupBy("doc_id", "fold", *names).agg(F.min("text").alias("text")).select("doc_id", "text", "fold", *names)
+    schema = "doc_id long, fold int, " + ", ".join(f"{n} int" for n in names)
+    features = materialize(sample.mapInArrow(by_batch(hashed), schema + ", features array<long>"), "features")
+    chosen = selected(features, names)
+
+    def kept(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = [x[np.isin(x, chosen, assume_unique=True)].tobytes() for x in (np.asarray(v.values, np.int64) for v in batch.column(batch.num_columns - 1))]
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lists, pa.binary())], batch.schema.names)
+
+    rows = sorted(features.mapInArrow(by_batch(kept), schema + ", features binary").collect(), key=lambda r: r["doc_id"])
+    released(features)
+    if not rows:
         empty = np.zeros(0, np.int64)
         return Chain(names, [Linear(empty, np.zeros(0), -40.0, np.zeros(j)) for j in range(len(names))])
-    return fit_chain([np.frombuffer(r["features"], np.int64) for r in rows], values, names)
+    values = np.array([[r[n] for n in names] for r in rows], int)
+    return fit_chain([np.frombuffer(r["features"], np.int64) for r in rows], values, np.array([r["fold"] for r in rows]), names)
 
 
 class Scorer:
@@ -196,14 +230,8 @@ class Scorer:
 CATEGORIES = [("low_quality", "quality = 0"), ("toxic", "toxic = 1")]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, str]] = CATEGORIES) -> DataFrame:
-    """``docs`` with a column toxicity, a struct of each category's probability.
-
-    Trained on those of ``docs`` that ``labels`` covers. Null and empty texts have no features, so the
-    bias decides. Repeated rows are scored alike; null doc_ids are scored but not learned from. A
-    column of that name in the input is replaced, others stay. No documents: no rows.
-    """
-    chain = train(docs, labels, categories)
+def _scored(chain: Chain):
+    """The struct of a text's probabilities as a function of a column."""
     names = chain.categories
     scorers: list[Scorer] = []
 
@@ -213,9 +241,24 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, str
             scorers.append(Scorer(chain))
         return pd.DataFrame([scorers[0].score(t) for t in text], columns=names, dtype=float)
 
-    return docs.drop("toxicity").withColumn("toxicity", scored(F.col("text").cast("string")))
+    return scored
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, str]] = CATEGORIES) -> DataFrame:
+    """``docs`` with a column toxicity, a struct of each category's probability.
+
+    Trained on those of ``docs`` that ``labels`` covers. Null and empty texts have no features, so the
+    bias decides. Repeated rows are scored alike; null doc_ids are scored but not learned from. Very long texts are
+    learned from and scored whole. A column of that name in the input is replaced, others stay. No documents: no rows.
+    """
+    chain = train(docs, labels, categories)
+    return docs.drop("toxicity").withColumn("toxicity", _scored(chain)(F.col("text").cast("string")))
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents whose probability of the last category is below the threshold."""
-    return toxicity(docs, labels).where(F.col("toxicity")[CATEGORIES[-1][0]] < threshold).select(*docs.columns)
+    """The documents whose probability of the last category is below the threshold, with all their columns, of whatever name.
+
+    Nulls, repeated rows, empty and very long texts as in ``toxicity``. No documents: no rows; no labels: all documents.
+    """
+    chain = train(docs, labels, CATEGORIES)
+    return docs.where(_scored(chain)(F.col("text").cast("string")).getField(CATEGORIES[-1][0]) < threshold)
