@@ -150,14 +150,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     components = ids.groupBy("root").agg(F.min("least").alias("component_id"))
     labelled = ids.join(components, "root").select("fp", "component_id")
     return fps.join(labelled, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents less all but one of each near-duplicate component: that with the smallest doc_id.
-
-    Rows with null doc_id or of repeated doc_id follow their id: a null id stays only if its component
-    has no id; repeated rows of the id that stays are cut to one.
-    """
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = kept.withColumnRenamed("doc_id", "_kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])

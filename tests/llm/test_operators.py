@@ -139,12 +139,6 @@ def test_components_of_a_long_path_and_a_hub(spark):
     assert got == {i: 0 for i in range(1, 61)} | {1000 + i: 1000 for i in range(1, 80)}
 
 
-def test_keep_one_keeps_a_row_of_each_group(docs):
-    kept = [r["doc_id"] for r in simhash.keep_one(docs).collect()]
-    groups = {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
-    assert sorted(kept, key=str) == sorted(groups, key=str)
-
-
 def test_shards(docs, nothing):
     rows = shard.shard(docs).select("doc_id", "shard", "slot", "size").collect()
     assert len(rows) == len(fixture()) and {r["size"] for r in rows} == {"clash"}
