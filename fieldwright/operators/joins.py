@@ -41,12 +41,16 @@ def era_lookup(lookups: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def fallback_lookup(rows: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Canonical names by alias as it stands, with underscores for spaces, or with spaces for underscores; the first hit counts."""
+    """Canonical names by alias as it stands, with underscores for spaces, or with spaces for underscores; the first hit counts.
+
+    One row for each row of the input, repeated ones too; of several entries of an alias the least canonical name counts.
+    """
     name = F.col("name")
-    spelled = F.array(name, F.replace(name, F.lit(" "), F.lit("_")), F.replace(name, F.lit("_"), F.lit(" ")))
-    tries = rows.select("*", F.posexplode(spelled).alias("place", "alias"))
-    found = tries.join(aliases, "alias", "left")
-    return found.groupBy(*rows.columns).agg(F.min_by("canonical", F.when(F.col("canonical").isNotNull(), F.col("place"))).alias("canonical"))
+    known = aliases.groupBy("alias").agg(F.min("canonical").alias("c"))
+    out = rows
+    for place, spelled in enumerate((name, F.replace(name, F.lit(" "), F.lit("_")), F.replace(name, F.lit("_"), F.lit(" ")))):
+        out = out.join(known.toDF(f"_a{place}", f"_c{place}"), spelled == F.col(f"_a{place}"), "left")
+    return out.select(*rows.columns, F.coalesce("_c0", "_c1", "_c2").alias("canonical"))
 
 
 def longest_prefix(rows: DataFrame, terms: DataFrame) -> DataFrame:
@@ -72,3 +76,41 @@ def nearest_names(names: DataFrame, gazetteer: DataFrame, most: int = 2, ratio:
     near = pairs.withColumn("distance", F.levenshtein("read", "entry", most)).where("distance >= 0").where(F.col("distance") <= ratio * F.greatest(F.length("read"), F.length("entry")))
     order = Window.partitionBy("id").orderBy("distance", "entry")
     return near.withColumn("n", F.row_number().over(order)).where("n = 1").select("id", "read", "entry", "distance")
+
+
+def reviewed_differs(seen: DataFrame, sent: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, field, review_value, payload_value) where what a user reviewed is not what was sent; both blank is equal, no review is no check."""
+    both = seen.join(sent.select(key, *[F.col(f).alias(f"_{f}") for f in fields]), key)
+    said = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), said(f).alias("review_value"), said(f"_{f}").alias("payload_value")) for f in fields])).alias("p")
+    return both.select(key, pairs).select(key, "p.*").where("review_value <> payload_value")
+
+
+def with_provenance(fields: DataFrame, sidecar: DataFrame, keys: list[str], unknown: list[str]) -> DataFrame:
+    """Fields with what is known of their origin; where nothing is, the columns of ``unknown`` say so."""
+    return fields.join(sidecar, keys, "left").fillna("unknown", unknown)
+
+
+def final_text_audit(critical: DataFrame, draft: DataFrame, confirmed: DataFrame, final: DataFrame) -> DataFrame:
+    """Findings (doc, field, finding) on critical fields between draft, confirmed values and final text.
+
+    critical (doc, field); draft (doc, field, value, user_corrected); confirmed (doc, field, value); final (doc, text). A
+    field missing in the draft or in what was confirmed has no further finding.
+    """
+    d, c = draft.select("doc", "field", F.trim("value").alias("d"), "user_corrected"), confirmed.select("doc", "field", F.trim("value").alias("c"))
+    rows = critical.join(d, ["doc", "field"], "left").join(c, ["doc", "field"], "left").join(final, "doc", "left")
+    none = lambda x: F.coalesce(F.col(x), F.lit("")) == ""
+    found = F.when(none("d"), F.array(F.lit("critical_field_missing_in_draft"))).when(none("c"), F.array(F.lit("critical_field_missing_in_confirmed"))).otherwise(
+        F.array_compact(F.array(
+            F.when(~F.contains(F.coalesce("text", F.lit("")), F.col("c")), F.lit("critical_field_missing_in_final")),
+            F.when((F.col("c") != F.col("d")) & ~F.coalesce("user_corrected", F.lit(False)), F.lit("value_changed_after_confirm")),
+        ))
+    )
+    return rows.select("doc", "field", F.explode(found).alias("finding"))
+
+
+def key_index(registry: DataFrame) -> DataFrame:
+    """(category, key, ordinal, official): every spelling of a registry row as a key, lower-cased, white space as one space; each once a row."""
+    normal = lambda c: F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
+    spellings = F.array_distinct(F.filter(F.transform(F.concat(F.array("key_uk", "key_ru"), F.coalesce("aliases", F.array().cast("array<string>"))), normal), lambda k: k.isNotNull() & (k != "")))
+    return registry.select("category", F.explode(spellings).alias("key"), "ordinal", F.col("official_en").alias("official"))

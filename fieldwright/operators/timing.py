@@ -101,3 +101,48 @@ def budget_reason(planned: Column, cost: Column, today: Column, month: Column, r
     """The first cap that a request breaks, or ok."""
     bad = (planned < 0) | (cost < 0) | (today < 0) | (month < 0) | planned.isNull() | cost.isNull()
     return F.when(bad, "invalid_request").when(planned > run_docs, "per_run_doc_cap_exceeded").when(cost > run_cost, "per_run_cost_cap_exceeded").when(today + cost > day, "daily_cap_exceeded").when(month + cost > month_cap, "monthly_cap_exceeded").otherwise("ok")
+
+
+#: Older names of ticket statuses, and the steps that are allowed between statuses.
+TICKET_ALIASES = {"pending": "queued", "cancelled": "rejected"}
+TICKET_STEPS = {
+    "queued": ("assigned", "in_review", "rejected"), "assigned": ("in_review", "rejected"), "in_review": ("needs_user_clarification", "operator_completed", "rejected"), "needs_user_clarification": ("in_review", "rejected"),
+    "operator_completed": ("approved_for_render", "rejected"), "approved_for_render": ("completed",),
+}
+
+
+def ticket_audit(steps: DataFrame, key: str) -> DataFrame:
+    """Steps (key, ordinal, status) of tickets with valid: the step is allowed whatever names the statuses go by; a first one must be to queued."""
+    canonical = F.coalesce(*[F.when(F.col("status") == a, F.lit(s)) for a, s in TICKET_ALIASES.items()], F.col("status"))
+    rows = steps.withColumn("canonical", canonical).withColumn("before", F.lag("canonical").over(Window.partitionBy(key).orderBy("ordinal")))
+    allowed = F.concat("before", F.lit(">"), "canonical").isin([f"{a}>{b}" for a, steps in TICKET_STEPS.items() for b in steps])
+    return rows.withColumn("valid", F.coalesce(allowed, F.col("canonical") == "queued")).drop("before")
+
+
+def optimistic_appends(requests: DataFrame) -> DataFrame:
+    """Requests (key, ordinal, expected) to append a version: each with stored_version if it was stored, else null, a conflict.
+
+    A request is stored if it expects the version that is the newest at its turn. In order, the n-th version is stored by
+    the first request after that of version n - 1 that expects n - 1; a fold over sorted rows, so a key needs no memory for its rows.
+    """
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, newest = None, 0
+        for rows in batches:
+            stored = []
+            for k, expected in zip(rows["key"], rows["expected"]):
+                if k != key:
+                    key, newest = k, 0
+                fits = expected == newest
+                newest += fits
+                stored.append(newest if fits else None)
+            yield rows.assign(stored_version=pd.array(stored, dtype="Int64"))
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in requests.schema) + ", stored_version long"
+    return requests.repartition("key").sortWithinPartitions("key", "ordinal").mapInPandas(fold, schema)
+
+
+def draft_expired(saved: Column, now: Column, seconds: int) -> Column:
+    """Whether a draft is older than its life; one without a valid time is not."""
+    at = F.try_to_timestamp(saved)
+    return F.coalesce(F.unix_micros(now) - F.unix_micros(at) > seconds * 1_000_000, F.lit(False))
