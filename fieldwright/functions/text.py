@@ -20,16 +20,31 @@ PII = (
 )
 #: Signs of prompt injection; the first that fits names the text.
 INJECTION = (
-    (r"(?i)\bDAN\b.*mode", "jailbreak"),
-    (r"(?i)jailbreak", "jailbreak"),
-    (r"(?i)developer\s+mode", "jailbreak"),
-    (r"(?i)bypass\s+(your\s+)?(filter|restriction|safety|limit|guard)", "jailbreak"),
-    (r"(?i)no\s+(restrictions?|limits?|rules?|filters?|safety)", "jailbreak"),
-    (r"(?i)\[system\s*:", "format_injection"),
-    (r"(?i)</?system>", "format_injection"),
-    (r"(?i)###\s*system\s*:", "format_injection"),
-    (r"(?i)```\s*system", "format_injection"),
-    (r"(?i)\[INST\]", "format_injection"),
+    (r"ignore\s+(all\s+)?(previous|prior|above|system|original)\s+instructions?", "role_override"),
+    (r"forget\s+(everything|all\s+instructions?|prior|previous|your\s+instructions?)", "role_override"),
+    (r"disregard\s+(all\s+)?(previous|prior|system|above)\s+instructions?", "role_override"),
+    (r"from\s+now\s+on\s+(you\s+)?(will|must|should|are)\s+", "role_override"),
+    (r"your\s+(new\s+)?instructions?\s+(are|is)\s+", "role_override"),
+    (r"you\s+are\s+now\s+(a|an)\s+", "role_switch"),
+    (r"act\s+as\s+(a|an)?\s*(different|new|evil|unrestricted|admin|system|hacker|gpt)", "role_switch"),
+    (r"pretend\s+(you\s+are|to\s+be)\s+(a|an)\s+", "role_switch"),
+    (r"you\s+are\s+no\s+longer\s+", "role_switch"),
+    (r"roleplay\s+as\s+(a|an)\s+", "role_switch"),
+    (r"print\s+(your\s+)?(system\s+prompt|instructions?|initial\s+prompt)", "extraction"),
+    (r"reveal\s+(your\s+)?(system\s+prompt|instructions?|initial\s+prompt|context)", "extraction"),
+    (r"show\s+(me\s+)?(your\s+)?(system\s+prompt|hidden\s+instructions?|base\s+prompt)", "extraction"),
+    (r"what\s+(is|are|were)\s+your\s+(system\s+)?instructions?", "extraction"),
+    (r"repeat\s+(your\s+)?(system\s+prompt|original\s+instructions?)", "extraction"),
+    (r"\bDAN\b.*mode", "jailbreak"),
+    (r"jailbreak", "jailbreak"),
+    (r"developer\s+mode", "jailbreak"),
+    (r"bypass\s+(your\s+)?(filter|restriction|safety|limit|guard)", "jailbreak"),
+    (r"no\s+(restrictions?|limits?|rules?|filters?|safety)", "jailbreak"),
+    (r"\[system\s*:", "format_injection"),
+    (r"</?system>", "format_injection"),
+    (r"###\s*system\s*:", "format_injection"),
+    (r"```\s*system", "format_injection"),
+    (r"\[INST\]", "format_injection"),
 )
 
 #: Keys that are dropped from stored JSON at every depth, in any case of letters.
@@ -40,8 +55,8 @@ FORBIDDEN_KEYS = (
 
 
 def content_normal(text: Column) -> Column:
-    """White space collapsed and trimmed, lower case: what a content hash is made of."""
-    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+    """White space of whatever kind Unicode has collapsed and trimmed, lower case: what a content hash is made of."""
+    return F.lower(F.trim(F.regexp_replace(text, r"(?U)[\s\x{FEFF}]+", " ")))
 
 
 def content_hash(text: Column) -> Column:
@@ -49,17 +64,25 @@ def content_hash(text: Column) -> Column:
 
 
 def scrub_pii(text: Column) -> Column:
-    return reduce(lambda t, p: F.regexp_replace(t, p[1], p[2]), PII, text)
+    """The text with placeholders for personal data. Numbers are looked for only where three digits stand together, mail only where an @ does."""
+    numbers = F.when(text.rlike("[0-9]{3}"), reduce(lambda t, p: F.regexp_replace(t, p[1], p[2]), PII[:-1], text)).otherwise(text)
+    return F.when(text.contains("@"), F.regexp_replace(numbers, PII[-1][1], PII[-1][2])).otherwise(numbers)
+
+
+def has_pii(text: Column, kind: str) -> Column:
+    """Whether a text has one kind of personal data."""
+    pattern = {n: p for n, p, _ in PII}[kind]
+    return (text.contains("@") if kind == "EMAIL" else text.rlike("[0-9]{3}")) & text.rlike(pattern)
 
 
 def pii_types(text: Column) -> Column:
     """Names of the kinds of personal data in a text, in the fixed order."""
-    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p, _ in PII]))
+    return F.array_compact(F.array(*[F.when(has_pii(text, n), F.lit(n)) for n, _, _ in PII]))
 
 
 def injection_label(text: Column) -> Column:
-    """The first injection sign's label; null if there is none."""
-    return F.coalesce(*[F.when(text.rlike(p), F.lit(n)) for p, n in INJECTION])
+    """The first injection sign's label, in any case of letters; null if there is none."""
+    return F.coalesce(*[F.when(text.rlike("(?i)" + p), F.lit(n)) for p, n in INJECTION])
 
 
 def redact_value(value: Column) -> Column:

@@ -30,14 +30,17 @@ def era_lookup(lookups: DataFrame, registry: DataFrame) -> DataFrame:
     """Exact terms valid at a date, ends included, open ends unbounded; an unknown date fits any era.
 
     lookups (lookup_id, term, at); registry (term, official, valid_from, valid_until, ordinal). One row per
-    lookup: the first fitting entry by registry order, else the first entry of the term with status
-    era_mismatch, else unmatched.
+    lookup row: the first fitting entry by registry order, else the first entry of the term with status
+    era_mismatch, else unmatched. Lookups are asked once for each term and date, so repeated ones meet the registry once.
     """
-    rows = lookups.join(registry, "term", "left")
+    asked = lookups.select("term", "at").distinct()
+    rows = asked.join(registry, "term")
     fits = F.col("at").isNull() | ((F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("at"))) & (F.col("valid_until").isNull() | (F.col("at") <= F.col("valid_until"))))
-    best = rows.groupBy("lookup_id").agg(F.min_by(F.struct("official", fits.alias("fits"), F.col("ordinal").isNotNull().alias("known")), F.struct((~F.coalesce(fits, F.lit(False))).alias("a"), "ordinal")).alias("b"))
-    status = F.when(~F.col("b.known"), "unmatched").when(F.col("b.fits"), "matched").otherwise("era_mismatch")
-    return best.select("lookup_id", F.col("b.official").alias("official"), status.alias("status"))
+    best = rows.groupBy("term", "at").agg(F.min_by(F.struct("official", fits.alias("fits")), F.struct((~fits).alias("a"), "ordinal")).alias("b"))
+    found = best.select(F.col("term").alias("_t"), F.col("at").alias("_at"), "b")
+    out = lookups.join(found, (F.col("term") == F.col("_t")) & F.col("at").eqNullSafe(F.col("_at")), "left")
+    status = F.when(F.col("b").isNull(), "unmatched").when(F.col("b.fits"), "matched").otherwise("era_mismatch")
+    return out.select("lookup_id", F.col("b.official").alias("official"), status.alias("status"))
 
 
 def fallback_lookup(rows: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -60,22 +63,90 @@ def longest_prefix(rows: DataFrame, terms: DataFrame) -> DataFrame:
     return heads.join(terms, "term").groupBy("id").agg(F.max_by("term", "n").alias("term"), F.max("n").alias("n_words"))
 
 
-def nearest_names(names: DataFrame, gazetteer: DataFrame, most: int = 2, ratio: float = 0.34) -> DataFrame:
-    """For each (id, name) the nearest gazetteer entry within ``most`` edits and ``ratio`` of the longer; a suggestion, never a replacement.
+def within_edits(names: DataFrame, entries: DataFrame, most: int = 2) -> DataFrame:
+    """Pairs (name, entry, distance) of different strings within so many edits.
 
-    Names are compared with entries that share a deletion variant: two strings within d edits have a common
-    string after up to d deletions each, so none is lost and no all-pairs comparison is made.
+    Strings are compared that share a deletion variant: two strings within d edits have a common string after up
+    to d deletions each, so none is lost and no all-pairs comparison is made. Only distinct names make variants.
     """
+
     def variants(df: DataFrame, col: str) -> DataFrame:
-        out = df.withColumn("v", F.array(F.col(col)))
+        out = df.select(col).where(F.col(col).isNotNull()).distinct().withColumn("v", F.array(F.col(col)))
+        shorter = lambda s: F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(s.substr(F.lit(1), i - 1), s.substr(i + 1, F.length(s))))).otherwise(F.array().cast("array<string>"))
         for _ in range(most):
-            out = out.withColumn("v", F.array_distinct(F.flatten(F.transform("v", lambda s: F.concat(F.array(s), F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(s.substr(F.lit(1), i - 1), s.substr(i + 1, F.length(s))))).otherwise(F.array().cast("array<string>")))))))
+            out = out.withColumn("v", F.array_distinct(F.flatten(F.transform("v", lambda s: F.concat(F.array(s), shorter(s))))))
         return out.withColumn("v", F.explode("v"))
 
-    pairs = variants(names.withColumnRenamed("name", "read"), "read").join(variants(gazetteer, "entry"), "v").select("id", "read", "entry").distinct()
-    near = pairs.withColumn("distance", F.levenshtein("read", "entry", most)).where("distance >= 0").where(F.col("distance") <= ratio * F.greatest(F.length("read"), F.length("entry")))
-    order = Window.partitionBy("id").orderBy("distance", "entry")
-    return near.withColumn("n", F.row_number().over(order)).where("n = 1").select("id", "read", "entry", "distance")
+    pairs = variants(names, "name").join(variants(entries, "entry"), "v").where(F.abs(F.length("name") - F.length("entry")) <= most).select("name", "entry").distinct()
+    return pairs.withColumn("distance", F.levenshtein("name", "entry", most)).where("distance >= 0")
+
+
+def nearest_names(names: DataFrame, gazetteer: DataFrame, most: int = 2, ratio: float = 0.34) -> DataFrame:
+    """For each (id, name) the nearest gazetteer entry within ``most`` edits and ``ratio`` of the longer; a suggestion, never a replacement."""
+    near = within_edits(names, gazetteer, most).where(F.col("distance") <= ratio * F.greatest(F.length("name"), F.length("entry")))
+    best = near.groupBy("name").agg(F.min(F.struct("distance", "entry")).alias("b"))
+    return names.join(best, "name").select("id", F.col("name").alias("read"), "b.entry", "b.distance")
+
+
+def nearest_places(names: DataFrame, gazetteer: DataFrame, most: float = 2.0, ratio: float = 0.34) -> DataFrame:
+    """For each (id, name): exact, a suggestion at the least weighted distance, or unknown.
+
+    Letters that are taken for each other cost 0.4 (``places.confusion_distance``), so up to five such
+    letters and no other edit stay within the cap of 2; candidates are strings within five edits of equal length, or within two edits.
+    """
+    from fieldwright.functions.places import CONFUSABLE, confusion_distance
+
+    lower = lambda c: F.lower(F.trim(c))
+    asked, known = names.select(lower(F.col("name")).alias("name")).distinct(), gazetteer.select(lower(F.col("entry")).alias("entry"), F.col("entry").alias("official")).groupBy("entry").agg(F.min("official").alias("official"))
+    # letters that are taken for each other become one, so strings that differ in such letters alone become equal or near
+    groups: list[set[str]] = []
+    for a, b in CONFUSABLE:
+        merged = {a, b}.union(*[g for g in groups if g & {a, b}])
+        groups = [g for g in groups if not g & {a, b}] + [merged]
+    letters = {x: min(g) for g in groups for x in g}
+    folded = lambda c: F.translate(c, "".join(letters), "".join(letters.values()))
+    fa, fk = asked.withColumn("f", folded(F.col("name"))), known.withColumn("f", folded(F.col("entry")))
+    near = within_edits(fa.select(F.col("f").alias("name")), fk.select(F.col("f").alias("entry")), int(most))
+    pairs = near.toDF("f", "g", "d").join(fa, "f").join(fk.withColumnRenamed("f", "g"), "g").select("name", "entry", "official")
+    scored = pairs.withColumn("distance", confusion_distance("name", "entry")).where((F.col("distance") <= most) & (F.col("distance") <= ratio * F.greatest(F.length("name"), F.length("entry"))))
+    best = scored.groupBy("name").agg(F.min(F.struct("distance", "entry", "official")).alias("b"))
+    out = names.join(best.withColumnRenamed("name", "_n"), lower(F.col("name")) == F.col("_n"), "left")
+    reason = F.when(lower(F.col("name")) == "", "empty").when(F.col("b.distance") == 0, "exact").when(F.col("b").isNotNull(), "fuzzy_geography_match").otherwise("unknown_geography")
+    return out.select("id", "name", reason.alias("reason"), F.when(F.col("b.distance") > 0, F.col("b.official")).alias("suggested"), F.round("b.distance", 6).alias("distance"))
+
+
+def registry_lookup(lookups: DataFrame, registry: DataFrame) -> DataFrame:
+    """Lookups (lookup_id, category, term, at) in a registry by any of its spellings, with confidence and review.
+
+    registry: category, key_uk, key_ru, aliases, official_en, valid_from, valid_until, confidence_rule, review_rule, ordinal. An exact spelling
+    counts if its era fits, an era that does not fit is for review; what no spelling meets is unmatched and for review too.
+    """
+    keys = key_index(registry).select("category", "key", "ordinal")
+    rows = registry.select("category", "ordinal", "official_en", "valid_from", "valid_until", "confidence_rule", "review_rule").join(keys, ["category", "ordinal"])
+    wanted = F.trim(F.regexp_replace(F.lower("term"), r"(?U)\s+", " "))
+    fits = F.col("at").isNull() | ((F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("at"))) & (F.col("valid_until").isNull() | (F.col("at") <= F.col("valid_until"))))
+    asked = lookups.select("category", wanted.alias("key"), "at").distinct()
+    best = asked.join(rows, ["category", "key"]).groupBy("category", "key", "at").agg(F.min_by(F.struct("official_en", "confidence_rule", "review_rule", fits.alias("fits")), F.struct(~fits, "ordinal")).alias("b"))
+    found = best.select(F.col("category").alias("_c"), F.col("key").alias("_k"), F.col("at").alias("_at"), "b")
+    out = lookups.join(found, (F.col("category") == F.col("_c")) & (wanted == F.col("_k")) & F.col("at").eqNullSafe(F.col("_at")), "left")
+    forced = F.col("b.review_rule").isin("always_review", "historical_lock", "keep_type")
+    confidence = F.when(F.col("b").isNull(), 0.0).when(F.col("b.confidence_rule") == "high", 0.95).when(F.col("b.confidence_rule") == "low", 0.5).otherwise(0.75)
+    return out.select("lookup_id", F.col("b.official_en").alias("official"), confidence.alias("confidence"), (F.col("b").isNull() | ~F.col("b.fits") | F.coalesce(forced, F.lit(False))).alias("review"), F.col("b").isNotNull().alias("matched"))
+
+
+def fuzzy_registry(misses: DataFrame, registry: DataFrame, accept: float = 0.34) -> DataFrame:
+    """Lookups (lookup_id, category, term) that no spelling meets: the nearest spelling by weighted distance as a share of the longer, up to ``accept`` and without a cap; confidence falls with it.
+
+    A registry is small and goes to every task if Spark finds it small enough; each distinct miss is held against the spellings of its category.
+    """
+    from fieldwright.functions.places import confusion_distance
+
+    keys = key_index(registry)
+    asked = misses.select("category", F.trim(F.regexp_replace(F.lower("term"), r"(?U)\s+", " ")).alias("wanted")).distinct()
+    pairs = asked.join(keys, "category").withColumn("share", confusion_distance("wanted", "key") / F.greatest(F.length("wanted"), F.length("key"), F.lit(1)))
+    best = pairs.where(F.col("share") <= accept).groupBy("category", "wanted").agg(F.min(F.struct("share", "ordinal", "official")).alias("b"))
+    out = misses.withColumn("wanted", F.trim(F.regexp_replace(F.lower("term"), r"(?U)\s+", " "))).join(best, ["category", "wanted"], "left")
+    return out.select("lookup_id", F.col("b.official").alias("official"), F.round(F.greatest(F.lit(0.4), 0.9 - F.col("b.share")), 6).alias("confidence"), F.col("b").isNotNull().alias("matched"))
 
 
 def reviewed_differs(seen: DataFrame, sent: DataFrame, key: str, fields: list[str]) -> DataFrame:

@@ -157,17 +157,46 @@ def lease_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leases.requests_of(parquet(spark, sf_dir, "events"))
 
 
-@query()
+_GRANTED = "((r.op = 'acquire' AND (f.st IS NULL OR (f.st = 'in_flight' AND f.ends < r.t))) OR (r.op <> 'acquire' AND coalesce(f.st = 'in_flight' AND f.own = r.owner, false)))"
+_LEASES_SQL = f"""WITH RECURSIVE r AS (SELECT user_id AS key, event_id AS id, epoch_us(ts) AS t, (event_id % 3)::VARCHAR AS owner, CASE event_type WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'fail' ELSE 'acquire' END AS op, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT key, 0::BIGINT AS n, NULL::BIGINT AS id, NULL::VARCHAR AS op, NULL::VARCHAR AS st, NULL::VARCHAR AS own, 0::BIGINT AS ends, false AS ok FROM (SELECT DISTINCT key FROM r) UNION ALL
+  SELECT r.key, r.n, r.id, r.op, CASE WHEN {_GRANTED} THEN CASE r.op WHEN 'acquire' THEN 'in_flight' WHEN 'complete' THEN 'done' ELSE 'failed' END ELSE f.st END, CASE WHEN {_GRANTED} THEN r.owner ELSE f.own END,
+    CASE WHEN {_GRANTED} THEN CASE r.op WHEN 'acquire' THEN r.t + 600000000 WHEN 'fail' THEN r.t + 60000000 ELSE f.ends END ELSE f.ends END, {_GRANTED} FROM f JOIN r ON r.key = f.key AND r.n = f.n + 1)
+"""
+
+
+@query(_LEASES_SQL + "SELECT key, id, op, ok, coalesce(st, 'none') AS status FROM f WHERE n > 0")
 def lease_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leases.fold_batch(lease_requests(spark, sf_dir))
+    return leases.fold_batch(lease_requests(spark, sf_dir)).drop("limited_until")
 
 
-@query()
+@query(_LEASES_SQL + "SELECT key, id, op, ok, coalesce(st, 'none') AS status FROM f WHERE n > 0")
 def stream_lease_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same fold as a stream over the table's files; the state of a key lives in the state store."""
     return leases.run_stream(spark, f"{sf_dir}/events.parquet")
 
 
+@query(_LEASES_SQL + "SELECT key, id, ends AS limited_until FROM f WHERE n > 0 AND st = 'failed'")
+def lease_cooldowns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests on keys that cool down after a failure."""
+    return leases.fold_batch(lease_requests(spark, sf_dir)).where("limited_until is not null").select("key", "id", "limited_until")
+
+
+@query("""WITH RECURSIVE r AS (SELECT user_id AS key, event_id AS id, epoch_us(ts) // 3600 AS t, (value * 1000000)::BIGINT AS took, event_type <> 'error' AS good, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 3600, event_id) AS n FROM events),
+f AS (SELECT key, 0::BIGINT AS n, NULL::BIGINT AS id, NULL::BIGINT AS ends, false AS good, 0::BIGINT AS exp, NULL::VARCHAR AS outcome, NULL::BIGINT AS waited, NULL::VARCHAR AS error FROM (SELECT DISTINCT key FROM r) UNION ALL
+  SELECT r.key, r.n, r.id, CASE WHEN f.ends IS NULL OR (f.exp < r.t AND r.t < f.ends) THEN r.t + r.took ELSE f.ends END, CASE WHEN f.ends IS NULL OR (f.exp < r.t AND r.t < f.ends) THEN r.good ELSE f.good END, CASE WHEN f.ends IS NULL OR (f.exp < r.t AND r.t < f.ends) THEN r.t + 30000000 ELSE f.exp END,
+  CASE WHEN f.ends IS NULL OR (f.exp < r.t AND r.t < f.ends) THEN CASE WHEN r.good THEN 'provider_winner' ELSE 'unavailable' END WHEN f.ends <= r.t THEN CASE WHEN f.good THEN 'cache_hit' ELSE 'unavailable' END WHEN f.ends <= least(r.t + 8000000, f.exp) AND f.good THEN 'waited_cache_hit' ELSE 'unavailable' END,
+  CASE WHEN f.ends IS NULL OR (f.exp < r.t AND r.t < f.ends) OR f.ends <= r.t THEN NULL WHEN f.ends <= least(r.t + 8000000, f.exp) THEN f.ends - r.t WHEN f.exp < r.t + 8000000 THEN f.exp - r.t ELSE 8000000 END,
+  CASE WHEN f.ends IS NULL OR (f.exp < r.t AND r.t < f.ends) THEN CASE WHEN NOT r.good THEN 'rate_limited' END WHEN f.ends <= r.t OR f.ends <= least(r.t + 8000000, f.exp) THEN CASE WHEN NOT f.good THEN 'rate_limited' END WHEN f.exp < r.t + 8000000 THEN 'lease_expired' ELSE 'lease_wait_timeout' END FROM f JOIN r ON r.key = f.key AND r.n = f.n + 1)
+SELECT key, id, outcome, waited, error FROM f WHERE n > 0""")
+def single_flight_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests for one answer a user, an hour told as a second; errors are calls that fail."""
+    rows = parquet(spark, sf_dir, "events").select(
+        F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.expr("unix_micros(cast(ts as timestamp)) div 3600").alias("micros"), (F.col("value") * 1_000_000).cast("long").alias("took"), (F.col("event_type") != "error").alias("good"),
+    )
+    return leases.single_flight(rows)
+
+
 @query("""WITH e AS (SELECT user_id, epoch_us(ts) // 21600000000 - unnest([0, 1, 2, 3]) AS w FROM events) SELECT user_id, make_timestamp(w * 21600000000) AS window_start, count(*) AS n FROM e GROUP BY ALL""")
 def stream_rolling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.run_stream(spark, f"{sf_dir}/events.parquet")
