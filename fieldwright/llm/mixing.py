@@ -92,11 +92,12 @@ def decided(docs: DataFrame, quality: DataFrame | None, weights: Sequence[float]
 
 
 def _with_decisions(docs: DataFrame, plan: DataFrame, times: Column, out: list[Column]) -> DataFrame:
-    """One row of each group as often as ``times`` says; ``out`` may use the columns of plan, the row of docs as struct doc, and the number i from 1."""
+    """One row of each group as often as ``times`` says, with the columns of docs and ``out``, which may use those of plan and the number i from 1."""
     h1, h2 = row_hashes(docs)
-    one = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), h1.alias("h1"), h2.alias("h2")).dropDuplicates(["h1", "h2"])
+    # numbers for names, so that nothing clashes and columns that nobody asks for do not travel
+    one = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], h1.alias("h1"), h2.alias("h2")).dropDuplicates(["h1", "h2"])
     rows = one.join(plan.where(times > 0), ["h1", "h2"]).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), times)))
-    return rows.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns], *out)
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], *out)
 
 
 def mix(docs: DataFrame, quality: DataFrame | None = None, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
