@@ -121,3 +121,19 @@ def mrz_td1(one: Column, two: Column, three: Column, icao: bool = False) -> Colu
         _text(_at(two, 15, 3)).alias("nationality"), surname.alias("surname"), given.alias("given_names"), _date(_at(two, 0, 6), 30).alias("date_of_birth"), _sex(_at(two, 7, 1)).alias("sex"),
         _date(_at(two, 8, 6), 70).alias("date_of_expiry"), _text(_at(two, 18, 11)).alias("personal_number"), F.forall(F.array(*checks), lambda ok: ok).alias("checks_ok"),
     ))
+
+
+#: English names of the months.
+MONTHS_EN = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+
+
+def certificate_date(text: Column) -> Column:
+    """struct(value, review, reason): a certificate's date as day, English month and year; Russian months and what cannot be read are for review."""
+    t = F.trim(text)
+    made = F.split(form_date(t), "/")
+    month = F.get(F.array(*map(F.lit, MONTHS_EN)), F.get(made, 0).try_cast("int") - 1)
+    value = F.when(month.isNotNull(), F.concat_ws(" ", F.get(made, 1).try_cast("int").cast("string"), month, F.get(made, 2)))
+    russian = F.exists(F.array(*map(F.lit, MONTHS_RU)), lambda m: F.contains(F.lower(t), m))
+    cut = t.rlike(r"[\x{0400}-\x{04FF}]") & ~t.rlike(r"\d{4}")
+    reason = F.when(value.isNotNull(), F.when(russian, "russian_month_fallback")).when(cut, "partial_date_unreadable").otherwise("date_format_unrecognized")
+    return F.struct(value.alias("value"), reason.isNotNull().alias("review"), reason.alias("reason"))

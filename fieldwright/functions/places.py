@@ -101,6 +101,16 @@ def name_doubts(name: Column) -> Column:
     return F.array_compact(F.array(some(mixed_script, "mixed_script_token"), some(lookalike, "latin_lookalike_substitution_suspected"), some(odd_casing, "abnormal_casing_detected")))
 
 
+def folded(text: Column) -> Column:
+    """Letters that are taken for each other, also by way of a third, made one."""
+    groups: list[set[str]] = []
+    for a, b in CONFUSABLE:
+        merged = {a, b}.union(*[g for g in groups if g & {a, b}])
+        groups = [g for g in groups if not g & {a, b}] + [merged]
+    letters = {x: min(g) for g in groups for x in g}
+    return F.translate(text, "".join(letters), "".join(letters.values()))
+
+
 @F.pandas_udf("double")
 def confusion_distance(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Edit distance in which letters that are taken for each other cost 0.4; no built-in has weights."""
@@ -176,3 +186,75 @@ def machine_status(text: Column, valid: Column) -> Column:
     lines = F.transform(F.split(text, r"\r?\n"), F.trim)
     full = lambda n: F.size(F.filter(lines, lambda l: l.rlike("^[A-Z0-9<]{%d}$" % n)))
     return F.when(valid, "valid_mrz").when((full(44) >= 2) | (full(30) >= 3), "check_digit_failed").when((full(44) == 1) | full(30).isin(1, 2), "partial_mrz_lines").otherwise("no_mrz_lines")
+
+
+#: Signs of an authority in a text, the first that fits, and its key.
+AUTHORITY_SIGNS = (
+    (r"міліці[яії]", "MILITSIYA"), (r"дільничн.*інспект", "DILTNICHNYI"), (r"національн[аоіїє]\s*поліці", "NPU"), (r"поліці[яії]", "NPU"), (r"(загс|рацс|драцс|реєстрац.*цивільн)", "CIVIL_REGISTRY"),
+    (r"даі|автомобільн.*інспекці", "DAI"), (r"гумвс|головн.*управлінн.*мвс", "GUMVS"), (r"умвс|управлінн.*мвс", "UMVS"), (r"мвс|внутрішн.*справ", "MVS"), (r"міграційн.*служб", "DMS"), (r"прикордонн", "SBGSU"),
+    (r"виконав.*комітет|виконком", "VIKONKOM"), (r"обласн.*держав.*адмін|ода\b", "ODA"), (r"районн.*держав.*адмін|рда\b", "RDA"), (r"сільськ.*рад|сільрад", "SILRADA"), (r"міськ.*рад", "MISKRADA"),
+    (r"паспортний стіл|паспортн.*стол", "PASSPORT_OFFICE"), (r"нотаріальн.*контор|державн.*нотаріальн", "NOTARY"), (r"нотаріус", "NOTARY"), (r"закордонн.*справ", "MFA"), (r"юстиці", "MINJUST"),
+)
+#: English of authorities: formal, as forms have it, plain.
+AUTHORITIES = {
+    "MVS": ("Ministry of Internal Affairs of Ukraine", "Ministry of Internal Affairs of Ukraine", "Ukrainian Interior Ministry"),
+    "MFA": ("Ministry of Foreign Affairs of Ukraine", "Ministry of Foreign Affairs of Ukraine", "Ukrainian Foreign Ministry"),
+    "MINJUST": ("Ministry of Justice of Ukraine", "Ministry of Justice of Ukraine", "Ukrainian Justice Ministry"),
+    "DMS": ("State Migration Service of Ukraine", "State Migration Service of Ukraine", "Ukrainian Migration Service"),
+    "NPU": ("National Police of Ukraine", "National Police of Ukraine", "Ukrainian National Police"),
+    "MILITSIYA": ("Militsiya", "Militsiya", "militia police (historical)"),
+    "SBGSU": ("State Border Guard Service of Ukraine", "State Border Guard Service of Ukraine", "Ukrainian Border Guard"),
+    "CIVIL_REGISTRY": ("civil status registration authority", "Civil Registry Office (ZAHS)", "civil registry"),
+    "DAI": ("State Automobile Inspectorate", "State Automobile Inspectorate", "traffic police (historical)"),
+    "UMVS": ("Regional Department of the Ministry of Internal Affairs of Ukraine", "Regional Department of MIA", "regional MIA office"),
+    "GUMVS": ("Main Department of the Ministry of Internal Affairs of Ukraine", "Main Department of MIA", "main MIA directorate"),
+    "VIKONKOM": ("Executive Committee", "Executive Committee", "city or village executive committee"),
+    "RDA": ("District State Administration", "District State Administration", "district administration"),
+    "ODA": ("Regional State Administration", "Regional State Administration", "regional administration"),
+    "SILRADA": ("Village Council", "Village Council", "village council (silrada)"),
+    "MISKRADA": ("City Council", "City Council", "city council"),
+    "NOTARY": ("Notary Public", "Notary Public", "notary"),
+    "PASSPORT_OFFICE": ("Passport Office", "Passport Office", "passport office (historical pre-DMS)"),
+    "DILTNICHNYI": ("District Inspector", "District Inspector", "local beat officer (historical pre-2015)"),
+}
+
+
+def authority(text: Column, mode: int = 1) -> Column:
+    """struct(key, value, confidence, review): an authority in English, formal (0), as forms have it (1) or plain (2); unknown ones stay as they are, for review."""
+    key = F.coalesce(*[F.when(text.rlike("(?iu)" + p), F.lit(k)) for p, k in AUTHORITY_SIGNS])
+    value = F.coalesce(*[F.when(key == k, F.lit(names[mode])) for k, names in AUTHORITIES.items()])
+    return F.struct(key.alias("key"), F.coalesce(value, text).alias("value"), F.when(value.isNull(), 0.4).otherwise(0.92).alias("confidence"), value.isNull().alias("review"))
+
+
+#: Old spellings of cities and today's, and those of renamed cities with the old Ukrainian form.
+RESPELLED = {
+    "Kiev": "Kyiv", "Kharkov": "Kharkiv", "Odessa": "Odesa", "Lvov": "Lviv", "Zaporozhye": "Zaporizhzhia", "Vinnitsa": "Vinnytsia", "Vinnica": "Vinnytsia", "Zhitomir": "Zhytomyr", "Nikolaev": "Mykolaiv", "Chernigov": "Chernihiv",
+    "Lugansk": "Luhansk", "Ustinovka": "Ustynivka",
+}
+RENAMED = (("Dnepropetrovsk", "Dnipropetrovsk", "Dnipro"), ("Kirovograd", "Kirovohrad", "Kropyvnytskyi"))
+
+
+def place(text: Column, historical: Column) -> Column:
+    """struct(value, rule, confidence, review): a region by its nominative; else the Latin spelling, with old spellings of cities mended. Renamed cities stay as read, in today's documents for review."""
+    r, latin = region(text), ukrainian_latin(text)
+    low = F.lower(latin)
+    mended = F.coalesce(*[F.when(low == old.lower(), F.lit(new)) for old, new in RESPELLED.items()])
+    renamed = low.isin(*[x.lower() for old, kept, _ in RENAMED for x in (old, kept)])
+    rule = F.when(r.isNotNull(), "oblast_genitive_to_nominative").when(historical & renamed, "historical_preserve").when(~historical & mended.isNotNull(), "geo_correction").when(~historical & renamed, "geo_rename_review").otherwise("kmu55_transliteration")
+    value = F.when(r.isNotNull(), r["english"]).when(~historical & mended.isNotNull(), mended).otherwise(latin)
+    return F.struct(value.alias("value"), rule.alias("rule"), F.when(r.isNotNull(), 0.92).otherwise(0.88).alias("confidence"), (r.isNull() & ~historical & renamed).alias("review"))
+
+
+#: States by the office that takes their mail.
+CHICAGO = tuple("AL AK AS AZ AR CO CT DE DC FL GA GU HI ID IL IN IA KS KY LA ME MD MA NY OH".split())
+PHOENIX = tuple("CA MI MN MS MO MT NE NV NH NJ NM NC ND MP OK OR PA PR RI SC SD TN TX UT VT VI VA WA WV WI WY".split())
+
+
+def mail_office(state: Column) -> Column:
+    s = F.upper(F.trim(F.coalesce(state, F.lit(""))))
+    return F.when(s.isin(*CHICAGO), "chicago").when(s.isin(*PHOENIX), "phoenix").otherwise("unknown_state")
+
+
+def forms_with_fees(age: Column, work_permit: Column, waiver: Column) -> Column:
+    """Forms whose fees apply: the application, biometrics from 14 years or if the age is unknown, the work permit and the waiver if wanted."""
+    return F.array_compact(F.array(F.lit("I-821"), F.when(age.isNull() | (age >= 14), F.lit("biometrics")), F.when(work_permit, F.lit("I-765")), F.when(waiver, F.lit("I-912"))))

@@ -91,20 +91,13 @@ def nearest_names(names: DataFrame, gazetteer: DataFrame, most: int = 2, ratio:
 def nearest_places(names: DataFrame, gazetteer: DataFrame, most: float = 2.0, ratio: float = 0.34) -> DataFrame:
     """For each (id, name): exact, a suggestion at the least weighted distance, or unknown.
 
-    Letters that are taken for each other cost 0.4 (``places.confusion_distance``), so up to five such
-    letters and no other edit stay within the cap of 2; candidates are strings within five edits of equal length, or within two edits.
+    Letters that are taken for each other cost 0.4 (``places.confusion_distance``). With such letters made one, strings within the
+    cap are within as many plain edits, so candidates are found by deletion variants of those.
     """
-    from fieldwright.functions.places import CONFUSABLE, confusion_distance
+    from fieldwright.functions.places import confusion_distance, folded
 
     lower = lambda c: F.lower(F.trim(c))
     asked, known = names.select(lower(F.col("name")).alias("name")).distinct(), gazetteer.select(lower(F.col("entry")).alias("entry"), F.col("entry").alias("official")).groupBy("entry").agg(F.min("official").alias("official"))
-    # letters that are taken for each other become one, so strings that differ in such letters alone become equal or near
-    groups: list[set[str]] = []
-    for a, b in CONFUSABLE:
-        merged = {a, b}.union(*[g for g in groups if g & {a, b}])
-        groups = [g for g in groups if not g & {a, b}] + [merged]
-    letters = {x: min(g) for g in groups for x in g}
-    folded = lambda c: F.translate(c, "".join(letters), "".join(letters.values()))
     fa, fk = asked.withColumn("f", folded(F.col("name"))), known.withColumn("f", folded(F.col("entry")))
     near = within_edits(fa.select(F.col("f").alias("name")), fk.select(F.col("f").alias("entry")), int(most))
     pairs = near.toDF("f", "g", "d").join(fa, "f").join(fk.withColumnRenamed("f", "g"), "g").select("name", "entry", "official")
@@ -137,16 +130,21 @@ def registry_lookup(lookups: DataFrame, registry: DataFrame) -> DataFrame:
 def fuzzy_registry(misses: DataFrame, registry: DataFrame, accept: float = 0.34) -> DataFrame:
     """Lookups (lookup_id, category, term) that no spelling meets: the nearest spelling by weighted distance as a share of the longer, up to ``accept`` and without a cap; confidence falls with it.
 
-    A registry is small and goes to every task if Spark finds it small enough; each distinct miss is held against the spellings of its category.
+    A registry is a bounded table, which Spark sends to every task while it is small enough; each distinct miss is held once
+    against the distinct spellings of its category of about its length. Plain edits of the strings with letters that are taken for
+    each other made one are a lower bound of the weighted distance, so few pairs are weighed.
     """
-    from fieldwright.functions.places import confusion_distance
-
-    keys = key_index(registry)
-    asked = misses.select("category", F.trim(F.regexp_replace(F.lower("term"), r"(?U)\s+", " ")).alias("wanted")).distinct()
-    pairs = asked.join(keys, "category").withColumn("share", confusion_distance("wanted", "key") / F.greatest(F.length("wanted"), F.length("key"), F.lit(1)))
-    best = pairs.where(F.col("share") <= accept).groupBy("category", "wanted").agg(F.min(F.struct("share", "ordinal", "official")).alias("b"))
-    out = misses.withColumn("wanted", F.trim(F.regexp_replace(F.lower("term"), r"(?U)\s+", " "))).join(best, ["category", "wanted"], "left")
-    return out.select("lookup_id", F.col("b.official").alias("official"), F.round(F.greatest(F.lit(0.4), 0.9 - F.col("b.share")), 6).alias("confidence"), F.col("b").isNotNull().alias("matched"))
+    from fieldwright.functions.places import confusion_distance, folded
+
+    normal = lambda c: F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
+    longer = F.greatest(F.length("wanted"), F.length("key"), F.lit(1))
+    keys = key_index(registry).groupBy("category", "key").agg(F.min(F.struct("ordinal", "official")).alias("r"))
+    asked = misses.select("category", normal(F.col("term")).alias("wanted")).distinct()
+    near = asked.join(keys, "category").where(F.abs(F.length("wanted") - F.length("key")) <= accept * longer).where(F.levenshtein(folded(F.col("wanted")), folded(F.col("key"))) <= accept * longer)
+    scored = near.withColumn("share", confusion_distance("wanted", "key") / longer).where(F.col("share") <= accept)
+    best = scored.groupBy("category", "wanted").agg(F.min(F.struct("share", "r")).alias("b"))
+    out = misses.withColumn("wanted", normal(F.col("term"))).join(best, ["category", "wanted"], "left")
+    return out.select("lookup_id", F.col("b.r.official").alias("official"), F.round(F.greatest(F.lit(0.4), 0.9 - F.col("b.share")), 6).alias("confidence"), F.col("b").isNotNull().alias("matched"))
 
 
 def reviewed_differs(seen: DataFrame, sent: DataFrame, key: str, fields: list[str]) -> DataFrame:

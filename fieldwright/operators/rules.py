@@ -115,12 +115,71 @@ def machine_agrees(lines: tuple[str, ...], fields: tuple[str, ...]) -> Rule:
     return lambda get: [(tidy(parse(*[get(x)["value"] for x in lines])[f]) != tidy(get(f)["value"]), f"mrz_viz_mismatch_{f}") for f in fields]
 
 
+def registry_office(field: str, known: tuple[str, ...]) -> Rule:
+    """An office is told; old and new names of it do not stand together, and its abbreviations are known ones."""
+
+    def reasons(get: Get) -> list[tuple[Column, str]]:
+        value = F.coalesce(get(field)["value"], F.lit(""))
+        both = value.contains("ЗАГС") & value.contains("ДРАЦС")
+        unknown = F.exists(F.split(F.trim(value), r"\s+"), lambda t: t.rlike("^[А-ЯЁІЇЄҐ]{2,8}$") & ~t.isin(*known))
+        return [(get(field).isNull() | (value == ""), f"{field}_missing"), (both, "civil_registry_modernization_conflict"), (~both & unknown, "civil_registry_abbreviation_not_verified")]
+
+    return reasons
+
+
+def primary_layer(field: str) -> Rule:
+    """A value read from the Russian layer of a bilingual form is for review."""
+    return lambda get: [(F.coalesce(get(field)["zone"].contains("russian"), F.lit(False)) & ~_blank(get(field)), f"{field}_russian_fallback")]
+
+
+def original_latin(field: str) -> Rule:
+    """A Latin name comes from the Latin or machine-readable zone, not from a Cyrillic one, and is not spelled as if it had."""
+    return lambda get: [
+        (F.coalesce(get(field)["value"], F.lit("")).rlike(RESPELLED), f"{field}_likely_retransliterated"),
+        (F.exists(F.array(*map(F.lit, CYRILLIC_ZONES)), lambda z: F.contains(F.lower(get(field)["zone"]), z)), f"{field}_from_cyrillic_zone"),
+    ]
+
+
+#: Letters that Latin spellings of documents do not have, and names of zones in Cyrillic.
+RESPELLED = r"[ʹʺ'’]|shch'|[ěšžčř]"
+CYRILLIC_ZONES = ("cyrillic", "кирил", "ukr_text", "ukrainian_layer")
+
+
+def number_kinds(document: str, record: str) -> Rule:
+    """A card's document number has nine digits and its record number fourteen; each looks like itself."""
+    value = lambda get, f: F.trim(F.coalesce(get(f)["value"], F.lit("")))
+    return lambda get: [(value(get, document).rlike(r"^\d{14}"), f"{document}_appears_to_be_{record}"), (value(get, record).rlike(r"^\d{9}$"), f"{record}_appears_to_be_{document}")]
+
+
+def legal_basis(field: str, words: int = 30) -> Rule:
+    """A basis that is long, or names articles or cases, is for review."""
+    value = lambda get: F.trim(F.coalesce(get(field)["value"], F.lit("")))
+    legal = r"(?iu)ст\.\s*\d+|стаття\s+\d+|справа\s+№|article\s+\d+"
+    return lambda get: [*required(field)(get), (F.size(F.split(value(get), r"\s+")) > words, "complex_legal_basis"), (value(get).rlike(legal), "legal_text_reference_detected")]
+
+
+def surnames_kept(before: str, after: str) -> Rule:
+    """Surnames before and after the event: their zones are not each other's, and they are not one reading."""
+    return lambda get: [
+        (F.coalesce(get(before)["zone"].contains("після"), F.lit(False)) | F.coalesce(get(after)["zone"].contains("до"), F.lit(False)), "before_after_surname_label_mismatch"),
+        (~_blank(get(before)) & (F.trim(get(before)["value"]) == F.trim(get(after)["value"])) & get(before)["zone"].eqNullSafe(get(after)["zone"]), "before_after_surname_identical_in_same_zone"),
+    ]
+
+
+def mislabelled(labels: Column) -> Column:
+    """What is wrong with a certificate's labels (field -> label): numbers or patronymics that go by other names."""
+    of = lambda f: F.lower(F.coalesce(F.try_element_at(labels, F.lit(f)), F.lit("")))
+    return F.array_compact(F.array(F.when(of("act_record_number").contains("certificate number"), F.lit("act_record_number")), F.when(of("child_patronymic").contains("middle name"), F.lit("child_patronymic"))))
+
+
 _NUMBERS = ("certificate_number", "act_record_number")
+#: Abbreviations of offices that are known.
+OFFICES = ("ЗАГС", "РАЦС", "ДРАЦС", "МВС", "УМВС", "ГУМВС", "ДМС")
 #: Batteries by kind of document.
 BATTERIES: dict[str, tuple[Rule, ...]] = {
     "birth_certificate": (
         distinct_numbers(*_NUMBERS), required("act_record_date"), zone_lock("act_record_date", "act_record", ("date_of_birth", "date_of_issue")), required("date_of_issue"), zone_lock("date_of_issue", "issue"),
-        order_kept(("father_name",), ("mother_name",), "father", "mother"), in_nominative("father_name"), in_nominative("mother_name"), one_script("child_name"), required("issuing_authority"), evidence("child_name"),
+        order_kept(("father_name",), ("mother_name",), "father", "mother"), in_nominative("father_name"), in_nominative("mother_name"), one_script("child_name"), registry_office("issuing_authority", OFFICES), evidence("child_name"), primary_layer("child_name"),
     ),
     "marriage_certificate": (
         distinct_numbers(*_NUMBERS), required("act_record_number"), zone_lock("act_record_date", "act_record", ("date_of_marriage", "date_of_issue")), zone_lock("date_of_marriage", "event", ("date_of_issue",)),
@@ -128,15 +187,15 @@ BATTERIES: dict[str, tuple[Rule, ...]] = {
     ),
     "divorce_certificate": (
         distinct_numbers(*_NUMBERS), required("act_record_number"), zone_lock("act_record_date", "act_record", ("date_of_divorce", "date_of_issue")), zone_lock("date_of_divorce", "event", ("date_of_issue",)),
-        zone_lock("date_of_issue", "issue"), order_kept(("spouse_1_given_names",), ("spouse_2_given_names",), "spouse_1", "spouse_2"), required("basis_of_divorce"), evidence("court"),
+        zone_lock("date_of_issue", "issue"), order_kept(("spouse_1_given_names",), ("spouse_2_given_names",), "spouse_1", "spouse_2"), legal_basis("basis_of_divorce"), evidence("court"), surnames_kept("surname_before", "surname_after"),
     ),
     "international_passport": (
         machine_lines("mrz_1", "mrz_2"), machine_agrees(("mrz_1", "mrz_2"), ("surname", "given_names", "document_number", "date_of_birth", "date_of_expiry")), state_is("issuing_state", "UKR"),
-        sensitive("personal_number", r"^\d{10}$|^\d{8}-\d{5}$"), one_script("surname"), evidence("document_number"),
+        sensitive("personal_number", r"^\d{10}$|^\d{8}-\d{5}$"), one_script("surname"), original_latin("surname"), evidence("document_number"),
     ),
     "id_card": (
         machine_lines("mrz_1", "mrz_2", "mrz_3"), machine_agrees(("mrz_1", "mrz_2", "mrz_3"), ("surname", "given_names", "document_number", "date_of_birth")), distinct_numbers("document_number", "record_number"),
-        state_is("issuing_state", "UKR"), sensitive("personal_number", r"^\d{10}$"), one_script("surname"), evidence("document_number"),
+        number_kinds("document_number", "record_number"), state_is("issuing_state", "UKR"), sensitive("personal_number", r"^\d{10}$"), one_script("surname"), original_latin("surname"), evidence("document_number"),
     ),
 }
 

@@ -22,19 +22,23 @@ def registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def registry_violations(rows: DataFrame, categories: list[str]) -> DataFrame:
-    """Rows of the registry with the rules they break: unknown category, no source, or an interval that ends before it begins."""
+    """Rows of the registry with the rules they break: unknown category, no source, a date that is none or not of the shape YYYY-MM-DD, or an interval that ends before it begins."""
+    day = lambda c: F.col(c).try_cast("date")
+    bad = lambda c: F.col(c).isNotNull() & (F.col(c).cast("string") != "") & (~F.col(c).cast("string").rlike(r"^\d{4}-\d{2}-\d{2}$") | day(c).isNull())
     broken = F.array_compact(F.array(
         F.when(~F.col("category").isin(categories) | F.col("category").isNull(), F.lit("category")),
         F.when(F.trim(F.coalesce("source_url", F.lit(""))) == "", F.lit("source_url")),
-        F.when(F.col("valid_from") > F.col("valid_until"), F.lit("interval")),
+        F.when(bad("valid_from"), F.lit("valid_from")),
+        F.when(bad("valid_until"), F.lit("valid_until")),
+        F.when(day("valid_from") > day("valid_until"), F.lit("interval")),
     ))
     return rows.withColumn("violations", broken).where(F.size("violations") > 0)
 
 
-def page_links(pages: DataFrame, most: int = 50) -> DataFrame:
-    """Rows (page_id, position, link): a page's distinct links in order of first appearance, ``most`` of them at most."""
+def page_links(pages: DataFrame, most: int | None = 50) -> DataFrame:
+    """Rows (page_id, position, link): a page's distinct links in order of first appearance, ``most`` of them at most, all for None."""
     links = F.array_distinct(F.regexp_extract_all("html", F.lit(r'href="([^"#]+)"'), F.lit(1)))
-    return pages.select("page_id", F.posexplode(F.slice(links, 1, most)).alias("position", "link"))
+    return pages.select("page_id", F.posexplode(links if most is None else F.slice(links, 1, most)).alias("position", "link"))
 
 
 def append_new(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
@@ -43,6 +47,12 @@ def append_new(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return first.join(existing.select(key), key, "left_anti")
 
 
+def appended(rows: DataFrame, path: str) -> None:
+    """Adds rows to a table of files, which is never rewritten."""
+    rows.write.mode("append").parquet(path)
+
+
 def upserted(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Both tables' rows, the incoming one where a key is in both."""
-    return existing.join(incoming.select(key), key, "left_anti").unionByName(incoming)
+    """Both tables' rows, the incoming one where a key is in both; of an incoming key's rows the greatest by their columns counts."""
+    one = incoming.groupBy(key).agg(F.max(F.struct(*[c for c in incoming.columns if c != key])).alias("r")).select(key, "r.*").select(*incoming.columns)
+    return existing.join(one.select(key), key, "left_anti").unionByName(one)
