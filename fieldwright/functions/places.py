@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from fieldwright.functions.names import mixed_script, ukrainian_latin
 
@@ -111,7 +112,7 @@ def folded(text: Column) -> Column:
     return F.translate(text, "".join(letters), "".join(letters.values()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def confusion_distance(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Edit distance in which letters that are taken for each other cost 0.4; no built-in has weights."""
     cheap = {a + b for a, b in CONFUSABLE} | {b + a for a, b in CONFUSABLE}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldwright.functions import dates, places, text
@@ -13,16 +13,21 @@ from fieldwright.sources.tables import parquet
 
 KEYS = ("family_name", "date_of_birth", "sex", "passport_number", "nationality", "place_of_birth", "date_of_issue", "issuing_authority", "document_color")
 SOURCES = ("manual_user_entry", "ai_vision", "document_ocr", "driver_license", "ead", "i94", "gov_ua", "passport_visual", "mrz")
-K, V, KIND = F.get_json_object("props", "$.k").cast("int"), F.col("value"), F.col("event_type")
+
+
+def measured() -> tuple[Column, Column, Column]:
+    """What events tell: a number in their properties, a value, and their kind."""
+    return F.get_json_object("props", "$.k").cast("int"), F.col("value"), F.col("event_type")
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as candidates: a user's day is a document; field, source, confidence and flags follow from what was measured."""
-    said = F.concat(F.when(K % 3 == 0, F.upper(KIND)).otherwise(KIND), F.when(V > 50, " ").otherwise("  "), F.floor(V / 40).cast("string"))
+    k, v, kind = measured()
+    said = F.concat(F.when(k % 3 == 0, F.upper(kind)).otherwise(kind), F.when(v > 50, " ").otherwise("  "), F.floor(v / 40).cast("string"))
     return parquet(spark, sf_dir, "events").select(
-        F.concat_ws("-", "user_id", F.dayofmonth("ts").cast("string")).alias("doc"), pick(KEYS, K % 9).alias("key"), F.when(V >= 1, said).otherwise("\t ").alias("value"), pick(SOURCES, F.floor(V) % 9).alias("source"),
-        F.when(KIND != "view", F.least(V / 40, F.lit(1.0))).alias("confidence"), F.col("event_id").alias("ordinal"), (K % 2 == 0).alias("mrz_valid"), (KIND == "error").alias("fuzzy"), (KIND == "click").alias("review_required"),
-        F.when(V > 20, F.array(F.lit("blurred"), F.lit("low_confidence"))).alias("review_reasons"),
+        F.concat_ws("-", "user_id", F.dayofmonth("ts").cast("string")).alias("doc"), pick(KEYS, k % 9).alias("key"), F.when(v >= 1, said).otherwise("\t ").alias("value"), pick(SOURCES, F.floor(v) % 9).alias("source"),
+        F.when(kind != "view", F.least(v / 40, F.lit(1.0))).alias("confidence"), F.col("event_id").alias("ordinal"), (k % 2 == 0).alias("mrz_valid"), (kind == "error").alias("fuzzy"), (kind == "click").alias("review_required"),
+        F.when(v > 20, F.array(F.lit("blurred"), F.lit("low_confidence"))).alias("review_reasons"),
     )
 
 
@@ -85,10 +90,11 @@ l AS (SELECT *, field IN ('family_name','given_name') AND w.t = 'ocr_mrz' AS loc
 SELECT doc, field, w.value AS value, w.d AS source_doc, w.t AS source_type, locked, n_rejected > 0 AS conflict, field = 'city_of_birth' OR (n_rejected > 0 AND NOT locked) OR w.asked AS review, n_rejected,
   concat_ws('|', CASE WHEN NOT fp AND ap THEN 'plausibility_rejected' END, CASE WHEN locked THEN 'mrz_locked' END, CASE WHEN n_rejected > 0 THEN 'conflict_detected' END, CASE WHEN field = 'city_of_birth' THEN 'weak_field_review_required' END) AS notes FROM l""")
 def resolve_slotted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.when(V > 2, F.when(K % 5 == 0, F.concat(KIND, F.lit("7"))).otherwise(F.concat(F.lit(" "), F.initcap(KIND))))
+    k, v, kind = measured()
+    said = F.when(v > 2, F.when(k % 5 == 0, F.concat(kind, F.lit("7"))).otherwise(F.concat(F.lit(" "), F.initcap(kind))))
     rows = parquet(spark, sf_dir, "events").select(
-        F.col("user_id").alias("doc"), pick(_SLOT_FIELDS, K % 4).alias("field"), said.alias("value"), pick(_SLOT_DOCS, F.floor(V) % 5).alias("source_doc"), pick(_SLOT_TYPES, K % 5).alias("source_type"),
-        (KIND == "click").alias("review_required"), F.col("event_id").alias("ordinal"),
+        F.col("user_id").alias("doc"), pick(_SLOT_FIELDS, k % 4).alias("field"), said.alias("value"), pick(_SLOT_DOCS, F.floor(v) % 5).alias("source_doc"), pick(_SLOT_TYPES, k % 5).alias("source_type"),
+        (kind == "click").alias("review_required"), F.col("event_id").alias("ordinal"),
     )
     return canonical.resolve_fields(rows).withColumn("notes", F.array_join("notes", "|"))
 
@@ -101,9 +107,10 @@ SELECT doc, value, confidence, CASE WHEN value IS NULL THEN 'reject' WHEN anchor
   CASE WHEN value IS NULL THEN 'no_source' ELSE concat_ws('|', CASE WHEN dict IS NOT NULL THEN 'dictionary_review' END, CASE WHEN inv IS NOT NULL THEN 'validation_invalid' END, CASE WHEN cons = 'mismatch' THEN 'self_consistency_identity_mismatch' WHEN cons = 'incomplete' THEN 'self_consistency_unstable' END,
   CASE WHEN NOT anchored AND NOT signal AND low THEN CASE WHEN criticality = 'critical' THEN 'critical_low_confidence' ELSE 'below_auto_final_threshold' END END) END AS reasons FROM s""")
 def field_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, v, kind = measured()
     rows = parquet(spark, sf_dir, "events").select(
-        F.col("event_id").alias("doc"), KIND.alias("key"), pick(("critical", "high", "low"), K % 3).alias("criticality"), F.when(V > 3, KIND).alias("read_value"), (V / 40).alias("read_confidence"), F.when(K % 11 == 0, "anchor").alias("anchor_value"),
-        (V > 10).alias("anchor_valid"), F.when(K % 7 == 0, "gazetteer").alias("dictionary_review"), F.when(KIND == "error", "date_order").alias("invalid_rule"), pick(("agree", "mismatch", "incomplete"), F.floor(V) % 3).alias("consistency"),
+        F.col("event_id").alias("doc"), kind.alias("key"), pick(("critical", "high", "low"), k % 3).alias("criticality"), F.when(v > 3, kind).alias("read_value"), (v / 40).alias("read_confidence"), F.when(k % 11 == 0, "anchor").alias("anchor_value"),
+        (v > 10).alias("anchor_valid"), F.when(k % 7 == 0, "gazetteer").alias("dictionary_review"), F.when(kind == "error", "date_order").alias("invalid_rule"), pick(("agree", "mismatch", "incomplete"), F.floor(v) % 3).alias("consistency"),
     )
     return canonical.decide(rows).drop("key").withColumn("reasons", F.array_join("reasons", "|"))
 
@@ -179,9 +186,10 @@ f AS (SELECT packet, 0::BIGINT AS n, NULL::VARCHAR AS surname, -1 AS best, NULL:
   SELECT d.packet, d.n, CASE WHEN d.surname IS NOT NULL AND d.priority >= f.best THEN d.surname ELSE f.surname END, CASE WHEN d.surname IS NOT NULL THEN greatest(f.best, d.priority) ELSE f.best END, coalesce(f.born, d.born), f.nc OR coalesce(trim(d.surname) <> trim(f.surname), false), f.dc OR coalesce(d.born <> f.born, false), f.mm OR d.mm FROM f JOIN d ON d.packet = f.packet AND d.n = f.n + 1)
 SELECT packet, surname, born, nc AS name_conflict, dc AS date_conflict, mm AS mrz_mismatch, n AS n_documents FROM f QUALIFY row_number() OVER (PARTITION BY packet ORDER BY n DESC) = 1""")
 def packet_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, v, kind = measured()
     rows = parquet(spark, sf_dir, "events").select(
-        F.col("user_id").alias("packet"), F.col("event_id").alias("ordinal"), (K % 4).alias("priority"), F.when(V > 10, F.concat(F.upper(KIND), F.lit(" "))).alias("surname"),
-        F.when(K % 3 > 0, F.concat(F.lit("19"), (60 + F.floor(V) % 3).cast("string"))).alias("born"), (V > 95).alias("mrz_mismatch"),
+        F.col("user_id").alias("packet"), F.col("event_id").alias("ordinal"), (k % 4).alias("priority"), F.when(v > 10, F.concat(F.upper(kind), F.lit(" "))).alias("surname"),
+        F.when(k % 3 > 0, F.concat(F.lit("19"), (60 + F.floor(v) % 3).cast("string"))).alias("born"), (v > 95).alias("mrz_mismatch"),
     )
     return canonical.identity_fold(rows)
 
@@ -189,8 +197,9 @@ def packet_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH r AS (SELECT user_id AS doc, event_id AS run, CASE WHEN value > 1 THEN md5(CASE WHEN user_id % 3 = 0 THEN 'same' ELSE event_type END) END AS hash, floor(value)::BIGINT % 4 AS n FROM events), f AS (SELECT *, first({'h': hash, 'n': n}) OVER w AS f, row_number() OVER w > 1 AS later FROM r WINDOW w AS (PARTITION BY doc ORDER BY run))
 SELECT doc, CASE WHEN any_value(f.n) < 2 THEN 'insufficient_identity_fields' WHEN bool_or(later AND hash IS NULL) THEN 'incomplete' WHEN bool_or(coalesce(later AND hash <> f.h, false)) THEN 'mismatch' ELSE 'agree' END AS status FROM f GROUP BY doc""")
 def multi_run_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.when(F.col("user_id") % 3 == 0, "same").otherwise(KIND)
-    return canonical.agreement(parquet(spark, sf_dir, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("run"), F.when(V > 1, F.md5(said)).alias("hash"), (F.floor(V) % 4).alias("n_fields")))
+    _, v, kind = measured()
+    said = F.when(F.col("user_id") % 3 == 0, "same").otherwise(kind)
+    return canonical.agreement(parquet(spark, sf_dir, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("run"), F.when(v > 1, F.md5(said)).alias("hash"), (F.floor(v) % 4).alias("n_fields")))
 
 
 @query("""WITH d AS (SELECT event_id AS doc, (props->>'k')::INTEGER AS k, value AS v, event_type AS kind FROM events),
@@ -200,11 +209,12 @@ o AS (SELECT *, ['image_quality_failed','identity_conflict','missing_critical_fi
 SELECT doc, len(s) > 0 AS required, array_to_string(list_sort(s), '|') AS reasons, CASE WHEN len(s) > 0 AND (list_contains(s, 'identity_conflict') OR v > 90 OR (kind = 'purchase' AND v > 20)) THEN 'high' WHEN s = ['user_requested_human_help'] THEN 'low' ELSE 'normal' END AS priority,
   CASE WHEN len(s) = 0 THEN 'mr.not_required' ELSE 'mr.' || list_filter(told, lambda x: list_contains(s, x))[1] END AS message FROM o""")
 def manual_review_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signs = F.array_compact(F.array(F.when(K % 9 == 0, "military"), F.when(K % 10 == 0, "identity_conflict")))
+    k, v, kind = measured()
+    signs = F.array_compact(F.array(F.when(k % 9 == 0, "military"), F.when(k % 10 == 0, "identity_conflict")))
     rows = parquet(spark, sf_dir, "events").select(
-        F.col("event_id").alias("doc"), F.when(K % 13 == 0, " ").otherwise("passport").alias("document_type"), F.when(KIND == "view", "draft").otherwise("active").alias("module_status"), F.when(V < 8, 0.5).otherwise(0.9).alias("classifier_confidence"),
-        (KIND == "error").alias("image_failed"), (K % 5).alias("image_retries"), F.when(V > 60, 1).otherwise(0).alias("n_missing"), F.when(K % 7 == 0, 2).otherwise(0).alias("n_without_evidence"), F.when(V < 3, 0.2).alias("ocr_confidence"), F.when(K > 90, 1).otherwise(0).alias("n_hard_failures"),
-        signs.alias("signs"), F.when((KIND == "error") & (V > 30), 1).otherwise(0).alias("n_errors"), (K == 1).alias("asked_help"), (V > 90).alias("urgent"), ((KIND == "purchase") & (V > 20)).alias("paid"), F.lit(0).alias("ocr_failures"),
+        F.col("event_id").alias("doc"), F.when(k % 13 == 0, " ").otherwise("passport").alias("document_type"), F.when(kind == "view", "draft").otherwise("active").alias("module_status"), F.when(v < 8, 0.5).otherwise(0.9).alias("classifier_confidence"),
+        (kind == "error").alias("image_failed"), (k % 5).alias("image_retries"), F.when(v > 60, 1).otherwise(0).alias("n_missing"), F.when(k % 7 == 0, 2).otherwise(0).alias("n_without_evidence"), F.when(v < 3, 0.2).alias("ocr_confidence"), F.when(k > 90, 1).otherwise(0).alias("n_hard_failures"),
+        signs.alias("signs"), F.when((kind == "error") & (v > 30), 1).otherwise(0).alias("n_errors"), (k == 1).alias("asked_help"), (v > 90).alias("urgent"), ((kind == "purchase") & (v > 20)).alias("paid"), F.lit(0).alias("ocr_failures"),
     )
     return canonical.manual_review(rows).withColumn("reasons", F.array_join(F.array_sort("reasons"), "|"))
 
@@ -243,8 +253,9 @@ def image_quality_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 o AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc, key ORDER BY event_id DESC) = 1), v AS (SELECT *, CASE WHEN finalized THEN trim(final) ELSE coalesce(norm, raw) END AS value, CASE WHEN key LIKE 'family%' THEN 'family_name' ELSE 'i94_date_of_entry' END AS p, CASE key WHEN 'family_name' THEN 0 WHEN 'i94_date_of_entry' THEN 0 WHEN 'family_name_latin' THEN 1 WHEN 'last_entry_date' THEN 2 ELSE 3 END AS rank FROM o),
 b AS (SELECT doc, p, first({'v': value, 'k': key, 'r': review} ORDER BY value IS NULL, rank) AS b, bool_or(review) FILTER (rank = 0) AS own FROM v GROUP BY ALL) SELECT doc, p AS key, b.v AS value, CASE WHEN b.v IS NOT NULL THEN b.k END AS matched_key, CASE WHEN b.v IS NOT NULL THEN b.r ELSE coalesce(own, false) END AS review FROM b""")
 def value_with_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = F.struct(KIND.alias("raw"), F.when(V > 20, F.upper(KIND)).alias("normalized"), F.when(V > 30, F.concat(F.lit(" "), KIND, F.col("event_id").cast("string"), F.lit(" "))).alias("final"), (V > 10).alias("finalized"), (KIND == "click").alias("review"))
-    rows = parquet(spark, sf_dir, "events").groupBy(F.col("user_id").alias("doc"), pick(("family_name", "family_name_latin", "last_entry", "last_entry_date", "i94_date_of_entry"), K % 5).alias("key")).agg(F.max_by(row, "event_id").alias("r"))
+    k, v, kind = measured()
+    row = F.struct(kind.alias("raw"), F.when(v > 20, F.upper(kind)).alias("normalized"), F.when(v > 30, F.concat(F.lit(" "), kind, F.col("event_id").cast("string"), F.lit(" "))).alias("final"), (v > 10).alias("finalized"), (kind == "click").alias("review"))
+    rows = parquet(spark, sf_dir, "events").groupBy(F.col("user_id").alias("doc"), pick(("family_name", "family_name_latin", "last_entry", "last_entry_date", "i94_date_of_entry"), k % 5).alias("key")).agg(F.max_by(row, "event_id").alias("r"))
     return canonical.released_value(rows.select("doc", "key", "r.*"), {"family_name": ("family_name_latin",), "i94_date_of_entry": ("date_of_last_entry", "last_entry_date", "last_entry")})
 
 
@@ -354,7 +365,8 @@ def machine_lines_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH s AS (SELECT event_id AS id, user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, ['pending','queued','assigned','in_review','cancelled','rejected','completed'][floor(value)::BIGINT % 7 + 1] AS status FROM events), c AS (SELECT *, CASE status WHEN 'pending' THEN 'queued' WHEN 'cancelled' THEN 'rejected' ELSE status END AS c FROM s), l AS (SELECT *, lag(c) OVER (PARTITION BY key ORDER BY n) AS before FROM c)
 SELECT id, status, CASE WHEN before IS NULL THEN c = 'queued' ELSE before || '>' || c IN ('queued>assigned','queued>in_review','queued>rejected','assigned>in_review','assigned>rejected','in_review>rejected') END AS valid FROM l""")
 def ticket_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = parquet(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.col("event_id").alias("ordinal"), pick(("pending", "queued", "assigned", "in_review", "cancelled", "rejected", "completed"), F.floor(V) % 7).alias("status"))
+    _, v, _ = measured()
+    rows = parquet(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.col("event_id").alias("ordinal"), pick(("pending", "queued", "assigned", "in_review", "cancelled", "rejected", "completed"), F.floor(v) % 7).alias("status"))
     return timing.ticket_audit(rows, "key").select("id", "status", "valid")
 
 
@@ -363,13 +375,15 @@ f AS (SELECT key, 0::BIGINT AS n, NULL::BIGINT AS id, 0::BIGINT AS newest, NULL:
 SELECT id, stored AS stored_version FROM f WHERE n > 0""")
 def append_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests to append a version, of which some are out of date at their turn."""
+    _, v, _ = measured()
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    rows = parquet(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.col("event_id").alias("ordinal"), (F.floor((n - 1) / 2) + F.when(V > 90, 1).otherwise(0)).cast("long").alias("expected"))
+    rows = parquet(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.col("event_id").alias("ordinal"), (F.floor((n - 1) / 2) + F.when(v > 90, 1).otherwise(0)).cast("long").alias("expected"))
     return timing.optimistic_appends(rows).select("id", "stored_version")
 
 
 @query("""SELECT event_id AS id, CASE WHEN event_type = 'view' OR value < 1 THEN false ELSE epoch_us(TIMESTAMP '2024-02-01' - ts) > 20 * 86400000000 END AS expired FROM events""")
 def draft_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A draft without a valid time is kept."""
-    saved = F.when(KIND == "view", F.lit(None).cast("string")).when(V < 1, "soon").otherwise(F.col("ts").cast("string"))
+    _, v, kind = measured()
+    saved = F.when(kind == "view", F.lit(None).cast("string")).when(v < 1, "soon").otherwise(F.col("ts").cast("string"))
     return parquet(spark, sf_dir, "events").select(F.col("event_id").alias("id"), timing.draft_expired(saved, F.lit("2024-02-01 00:00:00").cast("timestamp"), 20 * 86400).alias("expired"))
