@@ -75,7 +75,7 @@ def ball(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _verified(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within the radius among fingerprints of equal keys; keys are sorted."""
+    """Pairs within the radius that connect all such fingerprints of equal keys; keys are sorted. A long list gives no more pairs than it has entries."""
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.append(starts, len(keys)))
     found_a, found_b = [], []
@@ -93,9 +93,17 @@ def _verified(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray
             break
         close(f[:-distance][same], f[distance:][same])
     for start, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
-        group = np.unique(fps[start : start + size])
-        for i in range(len(group) - 1):
-            close(np.broadcast_to(group[i], len(group) - i - 1), group[i + 1 :])
+        # each fingerprint is reached once, from one that is linked to it; what is reached is held against the rest alone
+        rest = np.unique(fps[start : start + size])
+        while len(rest):
+            reached, rest = [rest[0]], rest[1:]
+            while reached and len(rest):
+                x = reached.pop()
+                near = np.bitwise_count(rest ^ x) <= RADIUS
+                found_a.append(np.full(int(near.sum()), x, np.uint64))
+                found_b.append(rest[near])
+                reached.extend(rest[near])
+                rest = rest[~near]
     return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (fps[:0], fps[:0])
 
 
