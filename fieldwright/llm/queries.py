@@ -69,6 +69,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op2: sizes and targets."""
+    return op2_mixing(spark, sf_dir).select("doc_id", "size", "source_size", "target")
+
+
+def licence_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op4: words and the places of the base phrases."""
+    return op4_licences(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op10: host, path and rule."""
+    return op10_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_maxscore, op2_mixing, op3_repeated_windows, op4_licences, op5_rans, op6_decontamination, op7_simhash, op8_feistel_shards, op9_toxicity, op10_url_filter, pipeline)
+    own = (op1_maxscore, op2_mixing, op3_repeated_windows, op4_licences, op5_rans, op6_decontamination, op7_simhash, op8_feistel_shards, op9_toxicity, op10_url_filter, pipeline, mixing_targets, licence_base, url_rules)
     return {f.__name__: f for f in own}
 
 
@@ -115,5 +130,49 @@ FROM d LEFT JOIN kept k USING (doc_id)
 """
 
 
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS n, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source
+), r AS (
+  SELECT 0 AS step, source, n, w, NULL::DOUBLE AS target, 1.5 * (SELECT sum(n) FROM s) AS budget FROM s
+  UNION ALL
+  SELECT step + 1, source, n, w, CASE WHEN target IS NOT NULL THEN target WHEN budget * w / free > 2 * n THEN 2.0 * n END,
+    budget - coalesce(sum(CASE WHEN target IS NULL AND budget * w / free > 2 * n THEN 2.0 * n END) OVER (), 0)
+  FROM (SELECT *, sum(CASE WHEN target IS NULL THEN w END) OVER () AS free FROM r) WHERE step < (SELECT count(*) FROM s)
+), last AS (
+  SELECT *, sum(CASE WHEN target IS NULL THEN w END) OVER () AS free FROM r WHERE step = (SELECT max(step) FROM r)
+)
+SELECT doc_id, size, n AS source_size, coalesce(target, budget * w / free)::DOUBLE AS target FROM d JOIN last ON last.source IS NOT DISTINCT FROM d.source
+"""
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), p AS (
+  SELECT * FROM (VALUES (['mit', 'license'], 'mit'), (['apache', 'license'], 'apache'), (['general', 'public', 'license'], 'gpl')) AS t(phrase, label)
+), h AS (
+  SELECT doc_id, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(phrase)] = phrase)) AS place FROM d, p WHERE list_contains(w, 'license')
+), g AS (
+  SELECT doc_id, count(*) AS n, min(place) AS a, max(place) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM h GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, b::BIGINT AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN g USING (doc_id)
+"""
+
+OP10_SQL = """
+WITH u AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM u
+), p AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest[length(raw) + 1:], '^[^?#]*') AS path FROM h
+), r AS (
+  SELECT * FROM (VALUES ('com', '/'), ('example.com', '/en/'), ('www.example.com', '/en/'), ('net', '/es/'), ('net', '/fr/')) AS t(name, start)
+)
+SELECT page_id, host, path, (SELECT first(name || start ORDER BY length(name || start) DESC) FROM r WHERE ends_with('.' || host, '.' || name) AND starts_with(path, start)) AS rule FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_maxscore": OP1_SQL, "op3_repeated_windows": OP3_SQL}
+    return {"op1_maxscore": OP1_SQL, "op3_repeated_windows": OP3_SQL, "mixing_targets": OP2_SQL, "licence_base": OP4_SQL, "url_rules": OP10_SQL}
