@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -9,9 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder spark.checkpoint.dir; only where that is unset, as in tests, in a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder spark.checkpoint.dir; where that is unset a temporary one, on a local master only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: streams need a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, unless the session has ended."""
+    if spark.sparkContext._jsc is not None:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -31,4 +45,5 @@ def drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
         rows.write.mode("overwrite").parquet(f"{out}/rows/batch={batch}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    remove(spark, f"{out}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{out}/rows").select(*stream.columns)
