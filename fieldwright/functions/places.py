@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -44,14 +45,20 @@ CONFUSABLE = ("тп", "ин", "шт", "шщ", "еє", "ий", "ла", "ос", "
 CONFUSED = 0.4
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def looked_up(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*map(F.lit, chain.from_iterable(table.items()))), key)
+
+
 def region(text: Column) -> Column:
     """struct(nominative, english) of a region in any case of its name; null if it is none."""
     bare = F.trim(F.regexp_replace(F.lower(text), r"\s*(областей?|обл(?:асть|асті|\.?))\s*", ""))
-    adjective = F.regexp_replace(bare, "к(а|ої|ій|ою|у)$", "ка")
-    english = F.lit(None).cast("string")
-    for name, latin in REGIONS.items():
-        english = F.when(adjective == name, latin).otherwise(english)
-    return F.when(english.isNotNull(), F.struct(F.concat(adjective, F.lit(" область")).alias("nominative"), F.concat(english, F.lit(" Oblast")).alias("english")))
+    told = lambda adjective, english: F.when(english.isNotNull(), F.struct(F.concat(adjective, F.lit(" область")).alias("nominative"), F.concat(english, F.lit(" Oblast")).alias("english")))
+    return let(F.regexp_replace(bare, "к(а|ої|ій|ою|у)$", "ка"), lambda adjective: told(adjective, looked_up(REGIONS, adjective)))
 
 
 def designator(text: Column) -> Column:
@@ -67,10 +74,8 @@ def designator(text: Column) -> Column:
 
 def sex(text: Column) -> Column:
     """struct(value, confidence, review): Male or Female, else the text as it is, for review."""
-    t, value = F.lower(F.trim(text)), F.lit(None).cast("string")
-    for name, english in SEXES.items():
-        value = F.when(t == name, english).otherwise(value)
-    return F.struct(F.coalesce(value, text).alias("value"), F.when(value.isNull(), 0.5).otherwise(0.99).alias("confidence"), value.isNull().alias("review"))
+    told = lambda value: F.struct(F.coalesce(value, text).alias("value"), F.when(value.isNull(), 0.5).otherwise(0.99).alias("confidence"), value.isNull().alias("review"))
+    return let(looked_up(SEXES, F.lower(F.trim(text))), told)
 
 
 def personal_name(text: Column, controlling: Column) -> Column:
@@ -222,9 +227,13 @@ AUTHORITIES = {
 
 def authority(text: Column, mode: int = 1) -> Column:
     """struct(key, value, confidence, review): an authority in English, formal (0), as forms have it (1) or plain (2); unknown ones stay as they are, for review."""
-    key = F.coalesce(*[F.when(text.rlike("(?iu)" + p), F.lit(k)) for p, k in AUTHORITY_SIGNS])
-    value = F.coalesce(*[F.when(key == k, F.lit(names[mode])) for k, names in AUTHORITIES.items()])
-    return F.struct(key.alias("key"), F.coalesce(value, text).alias("value"), F.when(value.isNull(), 0.4).otherwise(0.92).alias("confidence"), value.isNull().alias("review"))
+    signs = F.coalesce(*[F.when(text.rlike("(?iu)" + p), F.lit(k)) for p, k in AUTHORITY_SIGNS])
+
+    def told(key: Column) -> Column:
+        value = looked_up({k: names[mode] for k, names in AUTHORITIES.items()}, key)
+        return F.struct(key.alias("key"), F.coalesce(value, text).alias("value"), F.when(value.isNull(), 0.4).otherwise(0.92).alias("confidence"), value.isNull().alias("review"))
+
+    return let(signs, told)
 
 
 #: Old spellings of cities and today's, and those of renamed cities with the old Ukrainian form.
@@ -237,13 +246,16 @@ RENAMED = (("Dnepropetrovsk", "Dnipropetrovsk", "Dnipro"), ("Kirovograd", "Kirov
 
 def place(text: Column, historical: Column) -> Column:
     """struct(value, rule, confidence, review): a region by its nominative; else the Latin spelling, with old spellings of cities mended. Renamed cities stay as read, in today's documents for review."""
-    r, latin = region(text), ukrainian_latin(text)
-    low = F.lower(latin)
-    mended = F.coalesce(*[F.when(low == old.lower(), F.lit(new)) for old, new in RESPELLED.items()])
-    renamed = low.isin(*[x.lower() for old, kept, _ in RENAMED for x in (old, kept)])
-    rule = F.when(r.isNotNull(), "oblast_genitive_to_nominative").when(historical & renamed, "historical_preserve").when(~historical & mended.isNotNull(), "geo_correction").when(~historical & renamed, "geo_rename_review").otherwise("kmu55_transliteration")
-    value = F.when(r.isNotNull(), r["english"]).when(~historical & mended.isNotNull(), mended).otherwise(latin)
-    return F.struct(value.alias("value"), rule.alias("rule"), F.when(r.isNotNull(), 0.92).otherwise(0.88).alias("confidence"), (r.isNull() & ~historical & renamed).alias("review"))
+    old = [x.lower() for wrong, kept, _ in RENAMED for x in (wrong, kept)]
+
+    def told(x: Column) -> Column:
+        r, latin, mended = x["r"], x["latin"], looked_up({k.lower(): v for k, v in RESPELLED.items()}, F.lower(x["latin"]))
+        renamed = F.lower(latin).isin(*old)
+        rule = F.when(r.isNotNull(), "oblast_genitive_to_nominative").when(historical & renamed, "historical_preserve").when(~historical & mended.isNotNull(), "geo_correction").when(~historical & renamed, "geo_rename_review").otherwise("kmu55_transliteration")
+        value = F.when(r.isNotNull(), r["english"]).when(~historical & mended.isNotNull(), mended).otherwise(latin)
+        return F.struct(value.alias("value"), rule.alias("rule"), F.when(r.isNotNull(), 0.92).otherwise(0.88).alias("confidence"), (r.isNull() & ~historical & renamed).alias("review"))
+
+    return let(F.struct(region(text).alias("r"), ukrainian_latin(text).alias("latin")), told)
 
 
 #: States by the office that takes their mail.

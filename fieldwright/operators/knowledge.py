@@ -23,25 +23,34 @@ def _decision(action: str, final: Column, candidate: Column, rule: str) -> Colum
     return F.struct(F.lit(action).alias("action"), (final if taken else none).alias("final"), (none if taken else candidate).alias("candidate"), F.lit(rule).alias("rule"))
 
 
-def knowledge_of(key: Column, value: Column, sex: Column, given: Column, historical: Column) -> Column:
-    """struct(action, final, candidate, rule) of a value by what its key is: accept and preserve give a final value; suggest, review and block at most a candidate."""
-    v, k = trimmed(value), F.lower(key)
-    cyrillic = v.rlike(r"[\x{0400}-\x{04FF}]")
+def aspects(value: Column, sex: Column, given: Column, historical: Column) -> Column:
+    """struct of what may matter of a value: v, the text; latin; told, the patronymic; spot, the place; office; said, the sex; form, the date; capital, the Latin name in its own casing."""
+    v = trimmed(value)
     latin = names.ukrainian_latin(v)
-    has = lambda *parts: F.lit(False) if not parts else k.rlike("|".join(parts))
     told = names.patronymic(v, given, sex)
+    return F.struct(
+        v.alias("v"), latin.alias("latin"), told.alias("told"), names.ukrainian_latin(told["value"]).alias("told_latin"), places.place(v, historical).alias("spot"), places.authority(v).alias("office"), places.sex(v).alias("said"),
+        dates.form_date(v).alias("form"), text.latin_name(v).alias("capital"), text.latin_name(latin).alias("capital_latin"), names.valid_patronymic(v, F.lit(None).cast("string")).alias("whole"),
+    )
+
+
+def knowledge_of(key: Column, sex: Column) -> Column:
+    """struct(action, final, candidate, rule) of a value by what its key is: accept and preserve give a final value; suggest, review and block at most a candidate. The value's aspects are columns."""
+    v, k, latin, told = F.col("v"), F.lower(key), F.col("latin"), F.col("told")
+    cyrillic = v.rlike(r"[\x{0400}-\x{04FF}]")
+    has = lambda *parts: k.rlike("|".join(parts))
     p = (
-        F.when(told["source"] == "read_valid", _decision("accept", names.ukrainian_latin(told["value"]), latin, "patronymic.read_valid"))
-        .when(told["value"] != "", _decision("suggest", latin, names.ukrainian_latin(told["value"]), "patronymic.generated")).otherwise(_decision("review", latin, F.lit(None).cast("string"), "patronymic.unresolved"))
+        F.when(told["source"] == "read_valid", _decision("accept", F.col("told_latin"), latin, "patronymic.read_valid"))
+        .when(told["value"] != "", _decision("suggest", latin, F.col("told_latin"), "patronymic.generated")).otherwise(_decision("review", latin, F.lit(None).cast("string"), "patronymic.unresolved"))
     )
-    unknown_sex = F.when(names.valid_patronymic(v, F.lit(None).cast("string")), _decision("accept", latin, latin, "patronymic.read_valid")).otherwise(_decision("review", latin, F.when(cyrillic, latin).otherwise(v), "patronymic.fragment"))
-    name = F.when(~cyrillic, _decision("preserve", text.latin_name(v), v, "name.latin_preserve")).when(v.rlike(RUSSIAN_ONLY), _decision("review", latin, latin, "name.russian_spelling_on_ua")).otherwise(_decision("accept", latin, latin, "name.kmu55"))
-    full = F.when(~cyrillic, _decision("preserve", text.latin_name(v), v, "fullname.latin_preserve")).when(v.rlike(RUSSIAN_ONLY), _decision("review", latin, text.latin_name(latin), "fullname.russian_spelling_on_ua")).otherwise(_decision("accept", text.latin_name(latin), latin, "fullname.transliterate"))
-    spot, office, said = places.place(v, historical), places.authority(v), places.sex(v)
+    unknown_sex = F.when(F.col("whole"), _decision("accept", latin, latin, "patronymic.read_valid")).otherwise(_decision("review", latin, F.when(cyrillic, latin).otherwise(v), "patronymic.fragment"))
+    name = F.when(~cyrillic, _decision("preserve", F.col("capital"), v, "name.latin_preserve")).when(v.rlike(RUSSIAN_ONLY), _decision("review", latin, latin, "name.russian_spelling_on_ua")).otherwise(_decision("accept", latin, latin, "name.kmu55"))
+    full = F.when(~cyrillic, _decision("preserve", F.col("capital"), v, "fullname.latin_preserve")).when(v.rlike(RUSSIAN_ONLY), _decision("review", latin, F.col("capital_latin"), "fullname.russian_spelling_on_ua")).otherwise(_decision("accept", F.col("capital_latin"), latin, "fullname.transliterate"))
+    spot, office, said = F.col("spot"), F.col("office"), F.col("said")
     place = F.when(spot["review"], _decision("review", latin, spot["value"], "place.rename")).otherwise(_decision("accept", spot["value"], latin, "place.normalize"))
     authority = F.when(office["review"], _decision("review", v, F.when(cyrillic, latin).otherwise(v), "authority.unknown")).otherwise(_decision("accept", office["value"], v, "authority.dictionary"))
     sex_of = F.when(said["review"], _decision("review", v, said["value"], "sex.uncertain")).otherwise(_decision("accept", said["value"], v, "sex.normalize"))
-    iso, form = r"^(\d{4})-(\d{2})-(\d{2})$", dates.form_date(v)
+    iso, form = r"^(\d{4})-(\d{2})-(\d{2})$", F.col("form")
     date = (
         F.when(v.rlike(r"^\d{2}/\d{2}/\d{4}$"), _decision("accept", v, v, "date.already")).when(v.rlike(iso), _decision("accept", F.regexp_replace(v, iso, "$2/$3/$1"), v, "date.iso"))
         .when(form.isNotNull(), _decision("accept", form, v, "date.form")).otherwise(_decision("review", v, F.lit(None).cast("string"), "date.unparsed"))
@@ -63,9 +72,10 @@ def with_siblings(fields: DataFrame) -> DataFrame:
 
 def enriched(fields: DataFrame, historical: bool = False) -> DataFrame:
     """Fields (doc, key, value) with normalized, suggested, review and rule: what is accepted is taken, anything else leaves the value and asks for review."""
-    # as rows of a generator each decision is made once; as a plain struct the optimizer would repeat it for each part
-    decision = F.inline(F.array(knowledge_of(F.col("key"), F.col("value"), F.col("sex"), F.col("given"), F.lit(historical))))
-    rows = with_siblings(fields).select("doc", "key", "value", decision)
+    # as rows of a generator each part is made once; as plain structs the optimizer would repeat it wherever it is used
+    rows = with_siblings(fields)
+    rows = rows.select("doc", "key", "value", "sex", F.inline(F.array(aspects(F.col("value"), F.col("sex"), F.col("given"), F.lit(historical)))))
+    rows = rows.select("doc", "key", "value", F.inline(F.array(knowledge_of(F.col("key"), F.col("sex")))))
     taken = F.col("action").isin("accept", "preserve")
     return rows.select("doc", "key", "value", F.when(taken, F.col("final")).otherwise(F.col("value")).alias("normalized"), F.when(~taken, F.col("candidate")).alias("suggested"), (~taken).alias("review"), "rule")
 

@@ -43,6 +43,8 @@ def reused_keys(facts: DataFrame, key: str, payload: str) -> DataFrame:
     return facts.groupBy(key).agg(F.count_distinct(payload).alias("n_payloads")).where("n_payloads > 1")
 
 
-def without_children(children: DataFrame, parents: DataFrame, key: str, prefix: str) -> DataFrame:
-    """Children less those whose parent's name begins with the prefix."""
+def without_children(children: DataFrame, parents: DataFrame, key: str, prefix: str, allowed: tuple[str, ...] | None = None) -> DataFrame:
+    """Children less those whose parent's name begins with the prefix. A prefix outside the ``allowed`` ones, if such are told, is refused."""
+    if allowed is not None and not prefix.startswith(allowed):
+        raise ValueError(f"rows under {prefix!r} must not be deleted")
     return children.join(parents.where(F.col("name").startswith(prefix)).select(key), key, "left_anti")

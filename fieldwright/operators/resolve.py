@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldwright.operators.shaping import blank
+
 #: Sources by authority, the least first.
 AUTHORITY = ("manual_user_entry", "ai_vision", "document_ocr", "driver_license", "ead", "i94", "gov_ua", "passport_visual", "mrz")
 #: Confidence below which a critical field goes to review.
@@ -22,7 +24,7 @@ def arbitrate(candidates: DataFrame) -> DataFrame:
     Blank values do not count. conflict: more than one distinct value but for case and outer white space;
     review: conflict, or a winner of low confidence.
     """
-    usable = candidates.where(F.trim(F.coalesce("value", F.lit(""))) != "")
+    usable = candidates.where(~blank(F.col("value")))
     rank = F.struct(authority(F.col("source")).alias("a"), F.coalesce("confidence", F.lit(0.0)).alias("c"), (-F.col("ordinal")).alias("o"))
     best = usable.groupBy("doc", "key").agg(
         F.max_by(F.struct("value", "source", "confidence"), rank).alias("w"),

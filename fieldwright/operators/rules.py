@@ -243,8 +243,10 @@ def type_gate(fields: DataFrame, least: float = 0.7) -> DataFrame:
     return fields.withColumn("review", F.coalesce("review", F.lit(False)) | unsure).withColumn("reason", F.when(unsure, "document_type_uncertain"))
 
 
-def consumer_verdicts(core: DataFrame, consumers: DataFrame) -> DataFrame:
-    """Core facts (doc, key, value, review) with what consumers (consumer, doc, key, value, review, applicable) show of them, tested in order."""
+def consumer_verdicts(core: DataFrame, consumers: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """Core facts (doc, key, value, review) with what consumers (consumer, doc, key, value, review, applicable) show of them, tested in order. aliases: consumers' names of keys and the core's."""
+    for name, own in (aliases or {}).items():
+        consumers = consumers.withColumn("key", F.when(F.col("key") == name, own).otherwise(F.col("key")))
     rows = consumers.withColumnRenamed("value", "shown").withColumnRenamed("review", "shown_review").join(core, ["doc", "key"], "left")
     none = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
     verdict = (

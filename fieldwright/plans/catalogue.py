@@ -152,7 +152,7 @@ def reused_key_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_name LIKE 'Customer#00000001%')""")
 def prefix_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     parents = parquet(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("name"))
-    return ledger.without_children(parquet(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), parents, "o_custkey", "Customer#00000001")
+    return ledger.without_children(parquet(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), parents, "o_custkey", "Customer#00000001", allowed=("Customer#",))
 
 
 @query("""SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW) AS n,
