@@ -92,11 +92,11 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     local = free_name(df, "local")
     parts = df.repartitionByRange(*order, F.rand(7)).sortWithinPartitions(*order).withColumn(local, F.monotonically_increasing_id())
     placed = materialize(parts, "numbered")
-    part = F.shiftright(F.col(local), 33).alias("part")
-    counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    rows = placed.join(F.broadcast(before), F.shiftright(placed[local], 33) == before["part"])
-    return rows.withColumn(name, F.col("before") + F.col(local).bitwiseAND(F.lit((1 << 33) - 1))).select(*[placed[c] for c in df.columns], name)
+    part, before = free_name(placed, "part"), free_name(placed, "before")
+    counts = placed.groupBy(F.shiftright(F.col(local), 33).alias(part)).agg(F.count(F.lit(1)).alias("n"))
+    sums = counts.select(part, (F.sum("n").over(Window.orderBy(part)) - F.col("n")).alias(before))
+    rows = placed.join(F.broadcast(sums), F.shiftright(placed[local], 33) == sums[part])
+    return rows.withColumn(name, F.col(before) + F.col(local).bitwiseAND(F.lit((1 << 33) - 1))).select(*[placed[c] for c in df.columns], name)
 
 
 def by_batch(function: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
