@@ -99,13 +99,17 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return rows.withColumn(name, F.col(before) + F.col(local).bitwiseAND(F.lit((1 << 33) - 1))).select(*[placed[c] for c in df.columns], name)
 
 
+#: Rows that a function of a batch sees at a time; what it makes of them is held in a worker's memory.
+SLICE_ROWS = 1024
+
+
 def by_batch(function: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function of one Arrow batch as one for ``mapInArrow``."""
+    """A function of one Arrow batch as one for ``mapInArrow``, called on slices of the batches."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield function(batch)
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                yield function(batch.slice(start, SLICE_ROWS))
 
     return over
 

@@ -211,7 +211,7 @@ class Scorer:
     def features(self, word: str) -> tuple[int, ...]:
         found = self.known.get(word)
         if found is None:
-            if len(self.known) > 500_000:
+            if len(self.known) > 250_000:
                 self.known.clear()
             found = self.known[word] = tuple(self.place[h] for h in word_features(word) if h in self.place)
         return found
