@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldwright.functions.text import content_hash
@@ -33,6 +33,21 @@ def editions(snapshots: DataFrame) -> DataFrame:
     return changed.withColumn("edition", F.row_number().over(order).cast("long")).withColumn("valid_until", F.lead("at").over(order)).withColumn("is_current", F.col("valid_until").isNull()).drop("before")
 
 
+def changes(snapshots: DataFrame, slot: Column) -> DataFrame:
+    """Snapshots (source, at, ordinal, hash) whose hash is not that of the one before, with first_seen: there is none before.
+
+    slot is a rising function of ``at``. Rows are ordered within a slot; the last hash of a slot goes to the first row of the next
+    that has rows, so one source with most of the snapshots is spread over as many tasks as it has slots.
+    """
+    rows = snapshots.withColumn("_slot", slot)
+    ends = rows.groupBy("source", "_slot").agg(F.max_by("hash", F.struct("at", "ordinal")).alias("last"))
+    carried = ends.select(F.col("source").alias("_source"), F.col("_slot").alias("_s"), F.lag("last").over(Window.partitionBy("source").orderBy("_slot")).alias("_carried"))
+    before = F.lag("hash").over(Window.partitionBy("source", "_slot").orderBy("at", "ordinal"))
+    out = rows.withColumn("_before", before).join(carried, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_slot") == F.col("_s")))
+    known = F.coalesce("_before", "_carried")
+    return out.where(known.isNull() | (known != F.col("hash"))).select(*snapshots.columns, known.isNull().alias("first_seen"))
+
+
 def content_groups(docs: DataFrame) -> DataFrame:
     """(hash): documents of equal normalized content, the first of them and their number."""
     return docs.groupBy(content_hash(F.col("text")).alias("hash")).agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n_docs"))

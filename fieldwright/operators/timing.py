@@ -68,10 +68,19 @@ def transition_audit(steps: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("valid", F.coalesce(allowed, F.col("status") == "queued"))
 
 
-def claim_order(items: DataFrame, queue: str) -> DataFrame:
-    """Due items of each queue in the order in which workers would claim them: by due time, then age. Locks are the store's matter."""
-    order = Window.partitionBy(queue).orderBy(F.col("due_at").asc_nulls_first(), "created_at", "id")
-    return items.withColumn("claim_no", F.row_number().over(order).cast("long"))
+def claim_order(items: DataFrame, queue: str, grain: str = "hour") -> DataFrame:
+    """Due items of each queue in the order in which workers would claim them: by due time, then age. Locks are the store's matter.
+
+    Items are ordered within a slot of due time, and slots are counted before, so one queue with most of the items is
+    spread over as many tasks as it has slots.
+    """
+    slot = F.date_trunc(grain, "due_at")
+    slots = items.groupBy(F.col(queue).alias("_queue"), slot.alias("_slot")).agg(F.count(F.lit(1)).alias("n"))
+    before = (F.sum("n").over(Window.partitionBy("_queue").orderBy(F.col("_slot").asc_nulls_first())) - F.col("n")).alias("_before")
+    inside = Window.partitionBy(queue, slot).orderBy(F.col("due_at").asc_nulls_first(), "created_at", "id")
+    rows = items.withColumn("_at", F.row_number().over(inside))
+    out = rows.join(slots.select("_queue", "_slot", before), F.col(queue).eqNullSafe(F.col("_queue")) & slot.eqNullSafe(F.col("_slot")))
+    return out.select(*items.columns, (F.col("_before") + F.col("_at")).alias("claim_no"))
 
 
 def call_cost(provider: Column, model: Column) -> Column:

@@ -141,7 +141,7 @@ def content_hash_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH s AS (SELECT doc_id, source, md5(text) AS hash, lag(md5(text)) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM documents) SELECT source, doc_id, before IS NULL AS first_seen FROM s WHERE before IS NULL OR before <> hash""")
 def change_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     shots = parquet(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("at"), F.col("doc_id").alias("ordinal"), F.md5("text").alias("hash"))
-    return ledger.editions(shots).select("source", F.col("at").alias("doc_id"), (F.col("edition") == 1).alias("first_seen"))
+    return ledger.changes(shots, F.floor(F.col("at") / 4096)).select("source", F.col("at").alias("doc_id"), "first_seen")
 
 
 @query("""SELECT user_id, count(DISTINCT event_type) AS n_payloads FROM events GROUP BY 1 HAVING count(DISTINCT event_type) > 1""")
