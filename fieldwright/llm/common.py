@@ -60,7 +60,7 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
 
 
 def released(*tables: DataFrame) -> None:
-    """Deletes scratch tables that nothing reads any more."""
+    """Deletes scratch tables that nothing reads any more; other tables stay."""
     for t in tables:
         _, path = _SCRATCH.pop(id(t), (None, None))
         if path:
