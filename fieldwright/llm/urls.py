@@ -83,7 +83,7 @@ def train(spark: SparkSession) -> LogisticRegressionModel:
     values = ", ".join([f"('http://{u}', 1D, {1 / len(UNWANTED)}D)" for u in UNWANTED] + [f"('http://{u}', 0D, {1 / len(WANTED)}D)" for u in WANTED])
     table = spark.sql(f"SELECT * FROM VALUES {values} AS t(url, label, weight)").coalesce(1)
     rows = features(table.select("label", "weight", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")))
-    return LogisticRegression(featuresCol="_features", labelCol="label", weightCol="weight", regParam=0.005, maxIter=60, standardization=False).fit(rows)
+    return LogisticRegression(featuresCol="_features", labelCol="label", weightCol="weight", regParam=0.02, maxIter=60, standardization=False).fit(rows)
 
 
 def judge(pages: DataFrame, model: LogisticRegressionModel | None = None) -> DataFrame:
