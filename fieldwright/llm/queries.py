@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldwright.llm import decontaminate, licences, mixing, rans, shard, simhash, topk, toxicity, urls, windows
+from fieldwright.llm import align, clusters, decontaminate, exact, licences, mixing, rans, shard, simhash, topk, toxicity, urls, windows
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +70,23 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = exact.deduplicate(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op12_va_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
+    if path_a is None or path_b is None:
+        import public_tokenizers
+
+        path_a, path_b = path_a or public_tokenizers.path(TOKENIZER), path_b or public_tokenizers.path(PIECES)
+    return align.align(table(spark, sf_dir, "documents"), path_a, path_b)
+
+
 def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can tell of op2: sizes and targets."""
     return op2_mixing(spark, sf_dir).select("doc_id", "size", "source_size", "target")
@@ -91,7 +109,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_maxscore, op2_mixing, op3_repeated_windows, op4_licences, op5_rans, op6_decontamination, op7_simhash, op8_feistel_shards, op9_toxicity, op10_url_filter, pipeline, mixing_targets, licence_base, url_rules)
+    own = (op1_maxscore, op2_mixing, op3_repeated_windows, op4_licences, op5_rans, op6_decontamination, op7_simhash, op8_feistel_shards, op9_toxicity, op10_url_filter, op11_exact_dedup, op12_va_clusters, op13_tokenizer_alignment, pipeline, mixing_targets, licence_base, url_rules)
     return {f.__name__: f for f in own}
 
 
@@ -173,6 +191,45 @@ WITH u AS (
 SELECT page_id, host, path, (SELECT first(name || start ORDER BY length(name || start) DESC) FROM r WHERE ends_with('.' || host, '.' || name) AND starts_with(path, start)) AS rule FROM p
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, h AS text_sha256
+FROM d WINDOW w AS (PARTITION BY h)
+"""
+
+
+def op12_sql(centroids: int = clusters.CENTROIDS, rounds: int = clusters.ROUNDS, width: int = clusters.WIDTH) -> str:
+    """Each round as an assignment of all vectors to all centroids and a floor of sums; c0 holds the first centroids."""
+
+    def assigned(c: str) -> str:
+        return f"""
+  SELECT vec_id, q, k, distance FROM (
+    SELECT vec_id, q, k, list_sum(list_transform(range(1, {width + 1}), lambda i: (q[i] - c[i]) * (q[i] - c[i])))::BIGINT AS distance FROM v, {c}
+  ) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, k) = 1"""
+
+    def moved(round_: int) -> str:
+        return f"""a{round_} AS MATERIALIZED ({assigned(f"c{round_}")}
+), c{round_ + 1} AS MATERIALIZED (
+  SELECT o.k, coalesce(n.c, o.c) AS c FROM c{round_} o LEFT JOIN (
+    SELECT k, list(x ORDER BY d) AS c FROM (
+      SELECT k, d, ((s - ((s % n + n) % n)) // n)::BIGINT AS x FROM (SELECT k, d, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT k, unnest(q) AS x, generate_subscripts(q, 1) AS d FROM a{round_}) GROUP BY k, d)
+    ) GROUP BY k
+  ) n USING (k)
+), """
+
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS k, q AS c FROM v QUALIFY k < {centroids}
+), {"".join(moved(r) for r in range(rounds))}last AS ({assigned(f"c{rounds}")}
+)
+SELECT vec_id, k::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM last JOIN c{rounds} USING (k)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_maxscore": OP1_SQL, "op3_repeated_windows": OP3_SQL, "mixing_targets": OP2_SQL, "licence_base": OP4_SQL, "url_rules": OP10_SQL}
+    return {"op1_maxscore": OP1_SQL, "op3_repeated_windows": OP3_SQL, "mixing_targets": OP2_SQL, "licence_base": OP4_SQL, "url_rules": OP10_SQL, "op11_exact_dedup": OP11_SQL, "op12_va_clusters": op12_sql()}
