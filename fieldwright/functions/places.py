@@ -41,7 +41,10 @@ BLOCKED = ("Ministry of Interior of Ukraine", "Militia", "Middle Name")
 LOOKALIKES = "ABCEHIKMOPTXYaceiopxy"
 ABBREVIATIONS = ("MVS", "MIA", "SBU", "ID", "USA", "USSR", "UKR", "UAH", "USCIS", "DHS", "DOJ", "ICE", "I-94", "I-130", "I-485", "EAD", "RFE", "DACA", "TPS", "U4U", "DMS", "РНОКПП")
 #: Letters that are taken for each other, and the cost of that.
-CONFUSABLE = ("тп", "ин", "шт", "шщ", "еє", "ий", "ла", "ос", "рг", "цщ", "вб", "мш", "нп", "іи", "її", "уч", "дл", "кн")
+CONFUSABLE = (
+    ("т", "п"), ("и", "н"), ("ш", "т"), ("ш", "щ"), ("е", "є"), ("и", "й"), ("л", "а"), ("о", "с"), ("р", "г"),
+    ("ц", "щ"), ("в", "б"), ("м", "ш"), ("н", "п"), ("і", "и"), ("ї", "і"), ("у", "ч"), ("д", "л"), ("к", "н"),
+)
 CONFUSED = 0.4
 
 
@@ -259,8 +262,10 @@ def place(text: Column, historical: Column) -> Column:
 
 
 #: States by the office that takes their mail.
-CHICAGO = tuple("AL AK AS AZ AR CO CT DE DC FL GA GU HI ID IL IN IA KS KY LA ME MD MA NY OH".split())
-PHOENIX = tuple("CA MI MN MS MO MT NE NV NH NJ NM NC ND MP OK OR PA PR RI SC SD TN TX UT VT VI VA WA WV WI WY".split())
+CHICAGO = ("AL", "AK", "AS", "AZ", "AR", "CO", "CT", "DE", "DC", "FL", "GA", "GU", "HI", "ID", "IL", "IN", "IA", "KS", "KY", "LA", "ME", "MD", "MA", "NY", "OH")
+PHOENIX = (
+    "CA", "MI", "MN", "MS", "MO", "MT", "NE", "NV", "NH", "NJ", "NM", "NC", "ND", "MP", "OK", "OR", "PA", "PR", "RI", "SC", "SD", "TN", "TX", "UT", "VT", "VI", "VA", "WA", "WV", "WI", "WY",
+)
 
 
 def mail_office(state: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -114,8 +114,7 @@ def registry_lookup(lookups: DataFrame, registry: DataFrame) -> DataFrame:
     registry: category, key_uk, key_ru, aliases, official_en, valid_from, valid_until, confidence_rule, review_rule, ordinal. An exact spelling
     counts if its era fits, an era that does not fit is for review; what no spelling meets is unmatched and for review too.
     """
-    keys = key_index(registry).select("category", "key", "ordinal")
-    rows = registry.select("category", "ordinal", "official_en", "valid_from", "valid_until", "confidence_rule", "review_rule").join(keys, ["category", "ordinal"])
+    rows = registry.select("category", F.explode(spellings()).alias("key"), "ordinal", "official_en", "valid_from", "valid_until", "confidence_rule", "review_rule")
     wanted = F.trim(F.regexp_replace(F.lower("term"), r"(?U)\s+", " "))
     fits = F.col("at").isNull() | ((F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("at"))) & (F.col("valid_until").isNull() | (F.col("at") <= F.col("valid_until"))))
     asked = lookups.select("category", wanted.alias("key"), "at").distinct()
@@ -127,26 +126,6 @@ def registry_lookup(lookups: DataFrame, registry: DataFrame) -> DataFrame:
     return out.select("lookup_id", F.col("b.official_en").alias("official"), confidence.alias("confidence"), (F.col("b").isNull() | ~F.col("b.fits") | F.coalesce(forced, F.lit(False))).alias("review"), F.col("b").isNotNull().alias("matched"))
 
 
-def fuzzy_registry(misses: DataFrame, registry: DataFrame, accept: float = 0.34) -> DataFrame:
-    """Lookups (lookup_id, category, term) that no spelling meets: the nearest spelling by weighted distance as a share of the longer, up to ``accept`` and without a cap; confidence falls with it.
-
-    A registry is a bounded table, which Spark sends to every task while it is small enough; each distinct miss is held once
-    against the distinct spellings of its category of about its length. Plain edits of the strings with letters that are taken for
-    each other made one are a lower bound of the weighted distance, so few pairs are weighed.
-    """
-    from fieldwright.functions.places import confusion_distance, folded
-
-    normal = lambda c: F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
-    longer = F.greatest(F.length("wanted"), F.length("key"), F.lit(1))
-    keys = key_index(registry).groupBy("category", "key").agg(F.min(F.struct("ordinal", "official")).alias("r"))
-    asked = misses.select("category", normal(F.col("term")).alias("wanted")).distinct()
-    near = asked.join(keys, "category").where(F.abs(F.length("wanted") - F.length("key")) <= accept * longer).where(F.levenshtein(folded(F.col("wanted")), folded(F.col("key"))) <= accept * longer)
-    scored = near.withColumn("share", confusion_distance("wanted", "key") / longer).where(F.col("share") <= accept)
-    best = scored.groupBy("category", "wanted").agg(F.min(F.struct("share", "r")).alias("b"))
-    out = misses.withColumn("wanted", normal(F.col("term"))).join(best, ["category", "wanted"], "left")
-    return out.select("lookup_id", F.col("b.r.official").alias("official"), F.round(F.greatest(F.lit(0.4), 0.9 - F.col("b.share")), 6).alias("confidence"), F.col("b").isNotNull().alias("matched"))
-
-
 def reviewed_differs(seen: DataFrame, sent: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, field, review_value, payload_value) where what a user reviewed is not what was sent; both blank is equal, no review is no check."""
     both = seen.join(sent.select(key, *[F.col(f).alias(f"_{f}") for f in fields]), key)
@@ -178,8 +157,12 @@ def final_text_audit(critical: DataFrame, draft: DataFrame, confirmed: DataFrame
     return rows.select("doc", "field", F.explode(found).alias("finding"))
 
 
-def key_index(registry: DataFrame) -> DataFrame:
-    """(category, key, ordinal, official): every spelling of a registry row as a key, lower-cased, white space as one space; each once a row."""
+def spellings() -> Column:
+    """Distinct spellings of a registry row (key_uk, key_ru, aliases): lower-cased, white space as one space."""
     normal = lambda c: F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
-    spellings = F.array_distinct(F.filter(F.transform(F.concat(F.array("key_uk", "key_ru"), F.coalesce("aliases", F.array().cast("array<string>"))), normal), lambda k: k.isNotNull() & (k != "")))
-    return registry.select("category", F.explode(spellings).alias("key"), "ordinal", F.col("official_en").alias("official"))
+    return F.array_distinct(F.filter(F.transform(F.concat(F.array("key_uk", "key_ru"), F.coalesce("aliases", F.array().cast("array<string>"))), normal), lambda k: k.isNotNull() & (k != "")))
+
+
+def key_index(registry: DataFrame) -> DataFrame:
+    """(category, key, ordinal, official): every spelling of a registry row as a key; each once a row."""
+    return registry.select("category", F.explode(spellings()).alias("key"), "ordinal", F.col("official_en").alias("official"))

@@ -210,20 +210,67 @@ def findings(fields: DataFrame, battery: tuple[Rule, ...]) -> DataFrame:
 
 
 def confirmed_value_problem(value: Column, critical: Column, is_date: Column) -> Column:
-    """Why a value that a user confirmed is not taken: empty_critical, contains_cyrillic, too_long, control_characters, date_shape; null if it is."""
-    v = F.coalesce(value, F.lit(""))
+    """Why a value that a user confirmed is not taken, tested without the white space around it: empty_critical, contains_cyrillic, too_long, control_characters, date_shape; null if it is."""
+    v = F.regexp_replace(F.coalesce(value, F.lit("")), r"(?U)^\s+|\s+$", "")
     return (
-        F.when(critical & (F.trim(v) == ""), "empty_critical")
+        F.when(critical & (v == ""), "empty_critical")
         .when(v.rlike(r"[\x{0400}-\x{04FF}]"), "contains_cyrillic")
         .when(F.length(v) > 200, "too_long")
         .when(v.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"), "control_characters")
-        .when(is_date & (F.trim(v) != "") & ~F.trim(v).rlike(r"^(\d{2}/\d{2}/\d{4}|\d{4}-\d{2}-\d{2})$"), "date_shape")
+        .when(is_date & (v != "") & ~v.rlike(r"^(\d{2}/\d{2}/\d{4}|\d{4}-\d{2}-\d{2})$"), "date_shape")
     )
 
 
-def safety_verdict(hard: Column, soft: Column, critical: Column, foreign: Column) -> Column:
-    """What may be done with a reading: hard and soft count its unsafe signs, foreign tells that source or session differ."""
-    return F.when(~critical, F.when(foreign, "manual").otherwise("accept")).when((hard > 0) | foreign, "block").when(soft > 0, "candidate_only").otherwise("accept")
+#: Classes of documents whose critical fields are for a person whatever is read, and the least confidence of a reading.
+HARD_CLASSES = ("birth_certificate_soviet_bilingual", "birth_certificate_handwritten", "ua_birth_certificate", "unknown_document")
+CONFIDENCE_FLOOR = 0.70
+
+
+def safe_reading(fields: DataFrame) -> DataFrame:
+    """Fields with what may be done with their reading: decision, final_allowed, candidate_allowed, review, manual, blocked and the reasons.
+
+    fields: criticality (critical_identity, critical_document, admin, optional), document_class, source_type, expected_type, source_session,
+    session, confidence, and the flags value_present, candidate_present, review_required, manual_required, zero_usable, classifier_conflict,
+    hard_case, legacy_reader, strong_anchor; null flags count as false, a null type or session as not told. The value itself plays no part. Of a critical
+    field a hard sign blocks where nothing usable is there, else it is for a person; a soft sign leaves a candidate where there is one.
+    Other fields pass unless source or session differ. Flags that came in are never taken back.
+    """
+    flag = lambda name: F.coalesce(F.col(name), F.lit(False))
+    critical = F.coalesce(F.col("criticality").isin("critical_identity", "critical_document"), F.lit(False))
+    told = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("")) != ""
+    mismatch = told("expected_type") & told("source_type") & (F.col("source_type") != F.col("expected_type"))
+    stale = told("source_session") & told("session") & (F.col("source_session") != F.col("session"))
+    kind = F.coalesce("document_class", F.lit(""))
+    unknown = kind == "unknown_document"
+    hard = flag("zero_usable") | mismatch | stale | flag("classifier_conflict") | unknown
+    hard_case, low = flag("hard_case") | kind.isin(*HARD_CLASSES), F.coalesce(F.col("confidence") < CONFIDENCE_FLOOR, F.lit(False))
+    legacy = flag("legacy_reader") & ~flag("strong_anchor")
+    soft = hard_case | legacy | ~flag("strong_anchor") | low
+    empty = ~flag("value_present")
+    decision = (
+        F.when(critical & hard, F.when(flag("zero_usable") | empty, "block").otherwise("manual_required"))
+        .when(critical & soft, F.when(~empty | flag("candidate_present"), "candidate_only").otherwise("manual_required"))
+        .when(~critical, F.when(mismatch | stale, "manual_required").otherwise("accept_final"))
+        .otherwise(F.when(empty, "manual_required").otherwise("accept_final"))
+    )
+    nothing = critical & ~hard & ~soft & empty
+    signs = [
+        (flag("zero_usable"), "zero_usable_recognition"), (mismatch, "source_doc_type_mismatch"), (stale, "stale_or_ambiguous_session"), (flag("classifier_conflict"), "classifier_conflict"),
+        (critical & hard_case, "hard_case_manual_required"), (critical & legacy, "legacy_reader_untrusted"), (critical & ~flag("strong_anchor"), "no_strong_source_anchor"), (critical & low, "low_confidence"),
+        (critical & unknown, "unknown_document_class"), (nothing, "zero_usable_recognition"),
+    ]
+    rows = fields.withColumns({"decision": decision, "reasons": F.array_compact(F.array(*[F.when(on, F.lit(name)) for on, name in signs]))})
+    final = F.col("decision") == "accept_final"
+    return rows.withColumns({
+        "final_allowed": final, "candidate_allowed": (F.col("decision") == "candidate_only") | (~final & flag("candidate_present")), "review": flag("review_required") | ~final, "manual": flag("manual_required") | ~final, "blocked": ~final,
+    })
+
+
+def unresolved_critical(fields: DataFrame) -> DataFrame:
+    """(doc): whether some critical field that is for review or for a person has not been confirmed, which holds back the output."""
+    flag = lambda name: F.coalesce(F.col(name), F.lit(False))
+    critical = F.coalesce(F.col("criticality").isin("critical_identity", "critical_document"), F.lit(False))
+    return fields.groupBy("doc").agg(F.bool_or(critical & (flag("review") | flag("manual")) & ~flag("confirmed")).alias("held_back"))
 
 
 def gates_pass(gates: DataFrame) -> DataFrame:

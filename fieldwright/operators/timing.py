@@ -106,10 +106,15 @@ def coordination(calls: DataFrame, key: str) -> DataFrame:
     )
 
 
-def budget_reason(planned: Column, cost: Column, today: Column, month: Column, run_docs: int, run_cost: float, day: float, month_cap: float) -> Column:
-    """The first cap that a request breaks, or ok."""
-    bad = (planned < 0) | (cost < 0) | (today < 0) | (month < 0) | planned.isNull() | cost.isNull()
-    return F.when(bad, "invalid_request").when(planned > run_docs, "per_run_doc_cap_exceeded").when(cost > run_cost, "per_run_cost_cap_exceeded").when(today + cost > day, "daily_cap_exceeded").when(month + cost > month_cap, "monthly_cap_exceeded").otherwise("ok")
+def budget_reason(enabled: Column, planned: Column, cost: Column, today: Column, month: Column, run_docs: float, run_cost: float, day: float, month_cap: float) -> Column:
+    """Why a run of paid calls is denied, or ok: paid calls must be on, all amounts finite and not negative, and every cap kept, in this order."""
+    off = ~F.coalesce(enabled, F.lit(False))
+    unusable = lambda c: c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == float("inf")) | (c < 0)
+    bad = unusable(planned) | unusable(cost) | unusable(today) | unusable(month)
+    return (
+        F.when(off, "paid_calls_disabled").when(bad, "invalid_request").when(planned > run_docs, "per_run_doc_cap_exceeded").when(cost > run_cost, "per_run_cost_cap_exceeded")
+        .when(today + cost > day, "daily_cap_exceeded").when(month + cost > month_cap, "monthly_cap_exceeded").otherwise("ok")
+    )
 
 
 #: Older names of ticket statuses, and the steps that are allowed between statuses.

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldwright.functions import text
 from fieldwright.operators import joins, ledger, metrics, resolve, timing
-from fieldwright.plans import decisions, documents, kernels, packets, rules, shapes
+from fieldwright.plans import decisions, documents, kernels, lookups, packets, rules, shapes
 from fieldwright.plans.adapters import CALLS_SQL, CANDIDATES_SQL, STATUSES, VERDICTS_SQL, calls, candidates, overrides, pick, truth_and_produced
 from fieldwright.plans.register import oracle_sql, queries, query
 from fieldwright.sources import tables
 from fieldwright.sources.tables import parquet
 
-__all__ = ["FLAGSHIP", "decisions", "documents", "kernels", "oracle_sql", "packets", "queries", "rules", "shapes"]
+__all__ = ["FLAGSHIP", "decisions", "documents", "kernels", "lookups", "oracle_sql", "packets", "queries", "rules", "shapes"]
 FLAGSHIP = "arbitrate_best_candidate"
 #: The moment as of which ages are told.
 AS_OF = "2024-02-01 00:00:00"
@@ -222,10 +222,28 @@ def budget_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timing.daily_spend(calls(spark, sf_dir), 100_000).select("id", "provider", "spent", "within")
 
 
-@query("""SELECT event_id AS id, CASE WHEN event_id % 40 > 30 THEN 'per_run_doc_cap_exceeded' WHEN event_id % 7 > 5 THEN 'per_run_cost_cap_exceeded' WHEN event_id % 50 + event_id % 7 > 45 THEN 'daily_cap_exceeded' WHEN event_id % 300 + event_id % 7 > 290 THEN 'monthly_cap_exceeded' ELSE 'ok' END AS reason FROM events""")
+@query("""
+WITH l AS (
+  SELECT l_orderkey, count(*) AS planned FROM lineitem GROUP BY 1
+), r AS (
+  SELECT o_orderkey AS id, o_orderstatus <> 'P' AS enabled, planned, o_totalprice / 1000 AS cost,
+    sum(o_totalprice / 1000) OVER (PARTITION BY o_orderdate ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS today,
+    coalesce(sum(o_totalprice / 1000) OVER (PARTITION BY date_trunc('month', o_orderdate) ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS month
+  FROM orders LEFT JOIN l ON l_orderkey = o_orderkey
+)
+SELECT id, CASE WHEN NOT enabled THEN 'paid_calls_disabled' WHEN planned IS NULL OR today IS NULL THEN 'invalid_request' WHEN planned > 6 THEN 'per_run_doc_cap_exceeded' WHEN cost > 400 THEN 'per_run_cost_cap_exceeded'
+  WHEN today + cost > 1200 THEN 'daily_cap_exceeded' WHEN month + cost > 30000 THEN 'monthly_cap_exceeded' ELSE 'ok' END AS reason
+FROM r
+""")
 def budget_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("event_id")
-    return parquet(spark, sf_dir, "events").select(i.alias("id"), timing.budget_reason(i % 40, i % 7, i % 50, i % 300, 30, 5, 45, 290).alias("reason"))
+    """Orders as runs of paid calls: as many documents as they have lines, and what was spent before on their day and in their month; the first of a day has no sum yet."""
+    lines = parquet(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("planned"))
+    rows = parquet(spark, sf_dir, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left").withColumn("cost", F.col("o_totalprice") / 1000)
+    before = lambda key, *order: Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    today = F.sum("cost").over(before(F.col("o_orderdate"), "o_orderkey"))
+    month = F.coalesce(F.sum("cost").over(before(F.date_trunc("month", "o_orderdate"), "o_orderdate", "o_orderkey")), F.lit(0.0))
+    reason = timing.budget_reason(F.col("o_orderstatus") != "P", F.col("planned"), F.col("cost"), F.col("today"), F.col("month"), 6, 400, 1200, 30000)
+    return rows.withColumns({"today": today, "month": month}).select(F.col("o_orderkey").alias("id"), reason.alias("reason"))
 
 
 @query(r"""SELECT doc_id, regexp_matches(text, '\b\d{3}-\d{2}-\d{4}\b') AS has_ssn, regexp_matches(text, '[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}') AS has_email,

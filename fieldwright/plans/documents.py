@@ -154,28 +154,6 @@ def registry_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.registry_lookup(lookups, _registry(spark, sf_dir))
 
 
-@query(f"""WITH {_REGISTRY_SQL}, m AS (SELECT c_custkey AS lookup_id, p_type AS category, CASE WHEN c_custkey % 4 = 0 THEN p_name[2:] WHEN c_custkey % 4 = 1 THEN p_name || 'qqqqqqqqqq' ELSE p_name[1:2] || p_name[4:] END AS term FROM customer JOIN part ON p_partkey = c_custkey),
-q AS (SELECT DISTINCT category, term FROM m), keys AS (SELECT category, key, min(ordinal) AS ordinal, arg_min(official, ordinal) AS official FROM reg GROUP BY ALL), s AS (SELECT q.category, q.term, levenshtein(q.term, key) / greatest(length(q.term), length(key)) AS share, ordinal, official FROM q JOIN keys USING (category)),
-b AS (SELECT * FROM s WHERE share <= 0.34 QUALIFY row_number() OVER (PARTITION BY category, term ORDER BY share, ordinal) = 1)
-SELECT lookup_id, official, round(greatest(0.4, 0.9 - share), 6)::DOUBLE AS confidence, official IS NOT NULL AS matched FROM m LEFT JOIN b USING (category, term)""")
-def fuzzy_registry_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name, i = F.col("p_name"), F.col("c_custkey")
-    damaged = F.when(i % 4 == 0, F.expr("substring(p_name, 2)")).when(i % 4 == 1, F.concat(name, F.lit("q" * 10))).otherwise(F.concat(F.substring(name, 1, 2), F.expr("substring(p_name, 4)")))
-    rows = parquet(spark, sf_dir, "customer").join(parquet(spark, sf_dir, "part"), F.col("p_partkey") == i)
-    return joins.fuzzy_registry(rows.select(i.alias("lookup_id"), F.col("p_type").alias("category"), damaged.alias("term")), _registry(spark, sf_dir))
-
-
-@query("""WITH n AS (SELECT c_custkey AS id, CASE c_nationkey % 3 WHEN 0 THEN n_name WHEN 1 THEN n_name[2:] ELSE n_name || 'abcdef' END AS name FROM customer JOIN nation ON c_nationkey = n_nationkey), p AS (SELECT id, name, n_name AS entry, levenshtein(lower(name), lower(n_name)) AS d FROM n, nation),
-b AS (SELECT * FROM p WHERE d <= 2 AND d <= 0.34 * greatest(length(name), length(entry)) QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, lower(entry)) = 1)
-SELECT n.id, n.name, CASE WHEN d = 0 THEN 'exact' WHEN d IS NOT NULL THEN 'fuzzy_geography_match' ELSE 'unknown_geography' END AS reason, CASE WHEN d > 0 THEN entry END AS suggested, d::DOUBLE AS distance FROM n LEFT JOIN b USING (id)""")
-def weighted_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = parquet(spark, sf_dir, "nation")
-    k = F.col("c_nationkey") % 3
-    read = F.when(k == 0, F.col("n_name")).when(k == 1, F.expr("substring(n_name, 2)")).otherwise(F.concat("n_name", F.lit("abcdef")))
-    names = parquet(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), read.alias("name"))
-    return joins.nearest_places(names, nation.select(F.col("n_name").alias("entry")))
-
-
 @query("""WITH a AS (SELECT c_custkey AS id, ['Шевченківський РАЦС','відділ міліції','Національна поліція','УМВС України','ДМС','міграційна служба','Вінницька міська рада'][c_nationkey % 7 + 1] AS t, ['CIVIL_REGISTRY','MILITSIYA','NPU','UMVS',NULL,'DMS','MISKRADA'][c_nationkey % 7 + 1] AS key, ['Civil Registry Office (ZAHS)','Militsiya','National Police of Ukraine','Regional Department of MIA',NULL,'State Migration Service of Ukraine','City Council'][c_nationkey % 7 + 1] AS v FROM customer)
 SELECT id, key, coalesce(v, t) AS value, CASE WHEN v IS NULL THEN 0.4 ELSE 0.92 END::DOUBLE AS confidence, v IS NULL AS review FROM a""")
 def authorities(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,17 +49,97 @@ def validators_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.findings(_marriage_fields(spark, sf_dir), rules.BATTERIES["marriage_certificate"])
 
 
-@query("""SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN 'empty_critical' WHEN 1 THEN 'contains_cyrillic' WHEN 2 THEN 'too_long' WHEN 3 THEN 'control_characters' WHEN 4 THEN 'date_shape' END AS problem FROM customer""")
+_CYRILLIC = ("abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувшхиз")
+
+
+@query(r"""
+WITH v AS (
+  SELECT 'line' AS kind, conv_id * 1000 + turn AS id, CASE WHEN role = 'assistant' THEN translate(l, '{latin}', '{cyrillic}') ELSE l END AS value, role = 'user' AS critical, false AS dated
+  FROM (SELECT *, regexp_extract(text, '[^\n]*$') AS l FROM conversations)
+  UNION ALL
+  SELECT 'date', o_orderkey, CASE o_orderstatus WHEN 'F' THEN ' ' || strftime(o_orderdate, '%m/%d/%Y') WHEN 'O' THEN strftime(o_orderdate, '%Y-%m-%d') ELSE o_orderpriority END, o_totalprice > 250000, true FROM orders
+), t AS (
+  SELECT *, trim(value, E' \t\n\v\f\r') AS v FROM v
+)
+SELECT kind, id, CASE
+  WHEN v = '' THEN CASE WHEN critical THEN 'empty_critical' END
+  WHEN regexp_matches(v, '[\x{0400}-\x{04FF}]') THEN 'contains_cyrillic'
+  WHEN length(v) > 200 THEN 'too_long'
+  WHEN regexp_matches(v, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]') THEN 'control_characters'
+  WHEN dated AND NOT regexp_full_match(v, '\d{2}/\d{2}/\d{4}|\d{4}-\d{2}-\d{2}') THEN 'date_shape' END AS problem
+FROM t
+""".replace("{latin}", _CYRILLIC[0]).replace("{cyrillic}", _CYRILLIC[1]))
 def confirmed_value_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("c_custkey")
-    value = F.when(i % 6 == 0, " ").when(i % 6 == 1, "Іван").when(i % 6 == 2, F.repeat("c_name", 20)).when(i % 6 == 3, "a\x07b").when(i % 6 == 4, "1990").otherwise(F.col("c_name"))
-    return parquet(spark, sf_dir, "customer").select(i.alias("id"), rules.confirmed_value_problem(value, F.lit(True), i % 6 == 4).alias("problem"))
+    """Last lines of turns, an assistant's in Cyrillic letters, and dates of orders as values that a user confirmed."""
+    line = F.regexp_extract("text", r"[^\n]*\z", 0)
+    lines = parquet(spark, sf_dir, "conversations").select(
+        F.lit("line").alias("kind"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.when(F.col("role") == "assistant", F.translate(line, *_CYRILLIC)).otherwise(line).alias("value"), (F.col("role") == "user").alias("critical"), F.lit(False).alias("dated")
+    )
+    day, status = F.col("o_orderdate"), F.col("o_orderstatus")
+    said = F.when(status == "F", F.concat(F.lit(" "), F.date_format(day, "MM/dd/yyyy"))).when(status == "O", F.date_format(day, "yyyy-MM-dd")).otherwise(F.col("o_orderpriority"))
+    days = parquet(spark, sf_dir, "orders").select(F.lit("date").alias("kind"), F.col("o_orderkey").alias("id"), said.alias("value"), (F.col("o_totalprice") > 250000).alias("critical"), F.lit(True).alias("dated"))
+    return lines.union(days).select("kind", "id", rules.confirmed_value_problem(F.col("value"), F.col("critical"), F.col("dated")).alias("problem"))
+
+
+_CLASSES = ("passport", "ua_birth_certificate", "unknown_document", "id_card", "birth_certificate_handwritten", "work_permit", "arrival_record")
+
+
+def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as fields of an order's document, with what is known of their reading."""
+    c = F.col
+    rows = parquet(spark, sf_dir, "lineitem").join(parquet(spark, sf_dir, "orders"), c("o_orderkey") == c("l_orderkey"))
+    return rows.select(
+        c("l_orderkey").alias("doc"), c("l_linenumber").alias("n"),
+        F.when(c("l_returnflag") == "R", "critical_identity").when(c("l_returnflag") == "A", "critical_document").when(c("l_linestatus") == "F", "admin").otherwise("optional").alias("criticality"),
+        pick(_CLASSES, F.month("o_orderdate") % 7).alias("document_class"), c("o_orderpriority").alias("source_type"), F.when(c("l_discount") < 0.1, c("o_orderpriority")).when(c("l_tax") > 0.01, "2-HIGH").alias("expected_type"),
+        c("o_custkey").alias("source_session"), F.when(c("l_tax") < 0.08, c("o_custkey")).otherwise(c("l_suppkey")).alias("session"), F.when(c("l_partkey") > 20, c("l_quantity") / 50).alias("confidence"),
+        (c("l_discount") > 0.01).alias("value_present"), (c("l_tax") > 0.02).alias("candidate_present"), (c("o_orderstatus") == "P").alias("review_required"), (c("o_totalprice") > 400000).alias("manual_required"),
+        (c("l_quantity") == 1).alias("zero_usable"), (c("l_quantity") == 49).alias("classifier_conflict"), (c("l_extendedprice") > 90000).alias("hard_case"), (c("l_linestatus") == "O").alias("legacy_reader"),
+        F.when(c("l_suppkey") > 3, c("l_discount") < 0.08).alias("strong_anchor"), (c("l_tax") == 0.05).alias("confirmed"),
+    )
 
 
-@query("""SELECT event_id AS id, CASE WHEN event_id % 5 = 0 THEN CASE WHEN event_id % 7 = 0 THEN 'manual' ELSE 'accept' END WHEN event_id % 3 > 1 OR event_id % 7 = 0 THEN 'block' WHEN event_id % 4 > 1 THEN 'candidate_only' ELSE 'accept' END AS verdict FROM events""")
+_READINGS_SQL = f"""
+r AS (
+  SELECT l_orderkey AS doc, l_linenumber AS n, l_returnflag IN ('R', 'A') AS critical, {list(_CLASSES)}[month(o_orderdate) % 7 + 1] AS class,
+    CASE WHEN l_discount < 0.1 THEN false ELSE l_tax > 0.01 AND o_orderpriority <> '2-HIGH' END AS mismatch, l_tax >= 0.08 AND o_custkey <> l_suppkey AS stale,
+    l_partkey > 20 AND l_quantity / 50 < 0.7 AS low, l_discount > 0.01 AS present, l_tax > 0.02 AS candidate, o_orderstatus = 'P' AS review0, o_totalprice > 400000 AS manual0,
+    l_quantity = 1 AS nothing, l_quantity = 49 AS conflict, l_extendedprice > 90000 AS hard_case, l_linestatus = 'O' AS legacy, l_suppkey > 3 AND l_discount < 0.08 AS anchor, l_tax = 0.05 AS confirmed
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+), s AS (
+  SELECT *, hard_case OR class IN ('birth_certificate_soviet_bilingual', 'birth_certificate_handwritten', 'ua_birth_certificate', 'unknown_document') AS hard,
+    nothing OR mismatch OR stale OR conflict OR class = 'unknown_document' AS unsafe
+  FROM r
+), d AS (
+  SELECT *, CASE
+    WHEN critical AND unsafe THEN CASE WHEN nothing OR NOT present THEN 'block' ELSE 'manual_required' END
+    WHEN critical AND (hard OR NOT anchor OR low) THEN CASE WHEN present OR candidate THEN 'candidate_only' ELSE 'manual_required' END
+    WHEN NOT critical THEN CASE WHEN mismatch OR stale THEN 'manual_required' ELSE 'accept_final' END
+    WHEN present THEN 'accept_final' ELSE 'manual_required' END AS decision
+  FROM s
+)"""
+
+
+@query(f"""
+WITH {_READINGS_SQL}
+SELECT doc, n, decision, decision = 'candidate_only' OR decision <> 'accept_final' AND candidate AS candidate_allowed, review0 OR decision <> 'accept_final' AS review, manual0 OR decision <> 'accept_final' AS manual,
+  concat_ws(',', CASE WHEN nothing THEN 'zero_usable_recognition' END, CASE WHEN mismatch THEN 'source_doc_type_mismatch' END, CASE WHEN stale THEN 'stale_or_ambiguous_session' END, CASE WHEN conflict THEN 'classifier_conflict' END,
+    CASE WHEN critical AND hard THEN 'hard_case_manual_required' END, CASE WHEN critical AND legacy AND NOT anchor THEN 'legacy_reader_untrusted' END, CASE WHEN critical AND NOT anchor THEN 'no_strong_source_anchor' END,
+    CASE WHEN critical AND low THEN 'low_confidence' END, CASE WHEN critical AND class = 'unknown_document' THEN 'unknown_document_class' END,
+    CASE WHEN critical AND NOT unsafe AND NOT hard AND anchor AND NOT low AND NOT present THEN 'zero_usable_recognition' END) AS reasons
+FROM d
+""")
 def safety_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("event_id")
-    return parquet(spark, sf_dir, "events").select(i.alias("id"), rules.safety_verdict(F.floor(i % 3 / 2), F.floor(i % 4 / 2), i % 5 != 0, i % 7 == 0).alias("verdict"))
+    rows = rules.safe_reading(_readings(spark, sf_dir))
+    return rows.select("doc", "n", "decision", "candidate_allowed", "review", "manual", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(f"""
+WITH {_READINGS_SQL}
+SELECT doc, bool_or(critical AND (review0 OR manual0 OR decision <> 'accept_final') AND NOT confirmed) AS held_back FROM d GROUP BY doc
+""")
+def output_held_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.unresolved_critical(rules.safe_reading(_readings(spark, sf_dir)))
 
 
 @query("""SELECT l_orderkey AS subject, count(*) AS n_gates, bool_and(l_returnflag <> 'R') AS passes FROM lineitem GROUP BY 1""")
