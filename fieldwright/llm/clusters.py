@@ -159,21 +159,22 @@ def fetched(rows: DataFrame, full: DataFrame, centroids: np.ndarray) -> DataFram
     return wanted.select("row", "cells", "norm", "cluster", "left", "q").mapInArrow(of, "row long, cells binary, norm long, cluster int, change binary")
 
 
+#: Groups in which the tasks' changes are summed before they come to the driver.
+SUMS = 64
+
+
 def changes(rows: DataFrame, count: int, width: int) -> np.ndarray:
-    """The changes of all tasks together, [centroid, 1 + dimension]; (1 + width) x count rows come to the driver."""
+    """The changes of all tasks together, [centroid, 1 + dimension]; at most SUMS rows come to the driver."""
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                values = np.frombuffer(data, "<i8")
-                used = np.flatnonzero(values)
-                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(values[used])], ["at", "value"])
+    def summed(key: tuple, found: pa.Table) -> pa.Table:
+        total = np.zeros(count * (1 + width), np.int64)
+        for data in found.column("change").to_pylist():
+            total += np.frombuffer(data, "<i8")
+        return pa.table({"change": pa.array([total.tobytes()], pa.binary())})
 
-    sums = rows.where("change is not null").select("change").mapInArrow(of, "at long, value long").groupBy("at").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value"))
-    out = np.zeros(count * (1 + width), object)
-    for at, value in sums.collect():
-        out[at] = int(value)
-    return out.reshape(count, 1 + width)
+    told = rows.where("change is not null").select("change", F.pmod(F.xxhash64("change"), F.lit(SUMS)).alias("part"))
+    parts = told.groupBy("part").applyInArrow(summed, "change binary").collect()
+    return sum((np.frombuffer(r.change, "<i8").astype(object) for r in parts), np.zeros(count * (1 + width), object)).reshape(count, 1 + width)
 
 
 def seed_hash(vec_id: Column, seed: int = 2) -> Column:
@@ -187,7 +188,7 @@ def cluster(vectors: DataFrame, centroids: int = CENTROIDS, rounds: int = ROUNDS
     vectors with the smallest hash of their vec_id, ties to the least vector; fewer vectors: fewer centroids. Vectors without vec_id
     are assigned like others but are no first centroids; without any vec_id there are no centroids and no rows. Repeated
     rows and vec_ids count each. A centroid without vectors stays as it is. Further columns play no part. No vectors: no rows.
-    Components of 2^27 or more in absolute value after scaling raise ValueError, as distances might not fit 64 bits.
+    Components of 2^27 or more in absolute value after scaling raise ValueError, as distances might not fit 64 bits; sums do for up to 2^36 vectors.
     """
     spark = vectors.sparkSession
     rows = quantized(vectors, width)
