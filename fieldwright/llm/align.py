@@ -3,7 +3,8 @@
 A is a byte-level BPE of the tokenizers library and gets a space before the text; B is a sentencepiece model, which adds that space
 itself. The character offsets of A and the spans of sentencepiece's proto (in this version its ``offset_mapping``) are coarse
 cuts. They do not tell apart the tokens of one multibyte character nor byte-fallback tokens, whose spans repeat or are empty; there the
-ends follow from the lengths of the decoded bytes. Decoded bytes also tell whether the tokens say the text.
+ends follow from the lengths of the decoded bytes. Decoded bytes also tell whether the tokens say the text. In ASCII a character is a byte, so spans say what
+lengths say and are not asked for.
 
 Both tokenizers are asked once for each distinct unit: texts are cut where neither can join what lies on both sides (``Aligner``).
 Where they are read, texts become groups and links; a chunk of some million links has a dictionary of its distinct id pairs, and a
@@ -17,6 +18,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +28,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldwright.llm.common import materialize
-from fieldwright.llm.rans import CLOSED, CUT, slices
+from fieldwright.llm.rans import CUT, slices
 
 #: Links after which a chunk is closed, at the end of the slice that brings them.
 CHUNK_LINKS = 1 << 21
 #: Units kept by a worker, and the longest of them.
 KEPT, LONGEST = 400_000, 48
+#: Units that the tokenizers are asked for at a time, and bytes of text aligned in one array operation.
+ASKED, SLICE = 4096, 4 << 20
+#: Stands at cuts inside a unit; texts that hold it are cut one by one.
+BREAK = "\x1f"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Inside a unit: before a mark, digit or line break that follows a letter, and after a single line break before a letter.
 INSIDE = re.compile(rf"(?<=[{LETTERS}])(?=[\n!-@\[-`{{-~])|(?<=[!-~{LETTERS}]\n)(?=[{LETTERS}])")
-NOTHING = hashlib.sha256(b"").hexdigest()
+#: The same cuts as patterns with a group on either side; one that overlaps another may be left out.
+CUTS = (rf"([{LETTERS}])([\n!-@\[-`{{-~])", rf"([!-~{LETTERS}]{BREAK}?\n)([{LETTERS}])")
 
 
 def byte_of_char() -> dict[str, int]:
@@ -45,13 +52,17 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+#: The result of a unit that the tokens do not say.
+UNSAID = (-1, -1, b"", "")
+
+
 class Aligner:
     """Aligned tokens of texts.
 
     A text is cut before each space that follows a letter, digit or mark, and inside these units at ``INSIDE``: A's splitting pattern has a
     boundary there whatever stands around, and B can have no token across as none of its pieces has the two characters in sequence. If
     B's pieces or A's file break that, texts are taken whole. A unit's result is (tokens of A, tokens of B, links as
-    32-bit numbers a x 65536 + b, groups as text, whether the tokens say the unit).
+    32-bit numbers a x 65536 + b, groups as text), or UNSAID.
     """
 
     def __init__(self, path_a: str, path_b: str) -> None:
@@ -82,109 +93,137 @@ class Aligner:
 
     def asked(self, units: list[str], whole: bool = False) -> list[tuple]:
         """Results of units, each with its leading space if it has one. whole: units are texts with a space before them, B adds its own."""
+        out: list[tuple] = [()] * len(units)
+        for plain in (True, False):
+            own = [i for i, u in enumerate(units) if u.isascii() == plain]
+            for start in range(0, len(own), ASKED):
+                at = own[start : start + ASKED]
+                for i, result in zip(at, self._asked([units[i] for i in at], whole, plain)):
+                    out[i] = result
+        return out
+
+    def _asked(self, units: list[str], whole: bool, plain: bool) -> list[tuple]:
         found_a = self.a.encode_batch(units, add_special_tokens=False)
         lead, skip = ("", 0) if whole else ("\n", 2)
-        found_b = self.b.encode([lead + (u[1:] if whole else u) for u in units], return_type="offset_mapping", num_threads=1)
-        n_a, n_b = np.array([len(e.ids) for e in found_a], np.int64), np.array([len(e["ids"]) - skip for e in found_b], np.int64)
-        ids_a = np.array([i for e in found_a for i in e.ids], np.int64)
-        ids_b = np.array([i for e in found_b for i in e["ids"][skip:]], np.int64)
-        spans_a = np.array([s for e in found_a for s in e.offsets], np.int64).reshape(-1, 2)
-        spans_b = np.array([s for e in found_b for s in e["offsets"][skip:]], np.int64).reshape(-1, 2) + (1 if whole else -1)
+        found_b = self.b.encode([lead + (u[1:] if whole else u) for u in units], return_type=int if plain else "offset_mapping", num_threads=1)
+        of_a, of_b = [e.ids for e in found_a], [b[skip:] if plain else b["ids"][skip:] for b in found_b]
+        n_a, n_b = np.array([len(x) for x in of_a], np.int64), np.array([len(x) for x in of_b], np.int64)
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((of_a, n_a), (of_b, n_b)))
         data = "".join(units).encode("utf-8", "surrogatepass")
-        byte_at = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) & 0xC0 != 0x80), len(data))  # of each character
         chars = np.array([len(u) for u in units], np.int64)
         first = np.cumsum(chars) - chars
+        byte_at = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) & 0xC0 != 0x80), len(data))  # of each character
         starts, stops = byte_at[first], byte_at[first + chars]
-        # a token of A shares a character with the next if that begins before it ends; of B if its own span is empty
-        last_a = np.zeros(len(ids_a), bool)
-        last_a[np.cumsum(n_a)[n_a > 0] - 1] = True
-        settled_a = last_a | (spans_a[:, 1] <= np.append(spans_a[1:, 0], 0))
-        settled_b = spans_b[:, 1] > spans_b[:, 0]
         sides = []
-        for n, ids, spans, settled, sizes, of in ((n_a, ids_a, spans_a, settled_a, self.sizes_a, self.bytes_a), (n_b, ids_b, spans_b, settled_b, self.sizes_b, self.bytes_b)):
+        for n, ids, sizes, of in ((n_a, ids_a, self.sizes_a, self.bytes_a), (n_b, ids_b, self.sizes_b, self.bytes_b)):
             owner = np.repeat(np.arange(len(units)), n)
             run = np.cumsum(sizes[ids])
             before = np.concatenate([[0], run])[np.cumsum(n) - n]
-            fine = run - before[owner] + starts[owner]
-            coarse = byte_at[np.clip(spans[:, 1] + first[owner], 0, len(byte_at) - 1)]
-            decoded = list(map(of.__getitem__, ids.tolist()))
+            ends = run - before[owner] + starts[owner]
             says = np.ones(len(units), bool)
+            decoded = list(map(of.__getitem__, ids.tolist()))
             if b"".join(decoded) != data:
                 at = np.cumsum(n)
                 says = np.array([b"".join(decoded[e - k : e]) == data[s:t] for e, k, s, t in zip(at.tolist(), n.tolist(), starts.tolist(), stops.tolist())], bool)
-            sides.append((np.where(settled, coarse, fine), says, owner))
+            sides.append((ends, says, owner))
         (ends_a, says_a, owner_a), (ends_b, says_b, owner_b) = sides
+        if not plain:
+            spans_a = np.fromiter(chain.from_iterable(chain.from_iterable(e.offsets for e in found_a)), np.int64, 2 * len(ids_a)).reshape(-1, 2)
+            spans_b = np.fromiter(chain.from_iterable(chain.from_iterable(b["offsets"][skip:] for b in found_b)), np.int64, 2 * len(ids_b)).reshape(-1, 2) + (1 if whole else -1)
+            # a token of A shares a character with the next if that begins before it ends; of B if its own span is empty
+            last_a = np.zeros(len(ids_a), bool)
+            last_a[np.cumsum(n_a)[n_a > 0] - 1] = True
+            settled_a = last_a | (spans_a[:, 1] <= np.append(spans_a[1:, 0], 0))
+            coarse = lambda spans, owner: byte_at[np.clip(spans[:, 1] + first[owner], 0, len(byte_at) - 1)]
+            ends_a = np.where(settled_a, coarse(spans_a, owner_a), ends_a)
+            ends_b = np.where(spans_b[:, 1] > spans_b[:, 0], coarse(spans_b, owner_b), ends_b)
         says = says_a & says_b
         use_a, use_b = np.flatnonzero(says[owner_a]), np.flatnonzero(says[owner_b])
         _, at_a, at_b = np.intersect1d(ends_a[use_a], ends_b[use_b], assume_unique=True, return_indices=True)
         at_a, at_b = use_a[at_a], use_b[at_b]
         pairs = (ids_a[at_a] << 16 | ids_b[at_b]).astype("<u4")
         groups = np.bincount(owner_a[at_a], minlength=len(units))
-        return self._results(units, says, (n_a, n_b), [list(map(str, x.tolist())) for x in (ids_a, ids_b)], (at_a.tolist(), at_b.tolist()), pairs, groups)
+        return self._results(says, (n_a, n_b), [list(map(str, x.tolist())) for x in (ids_a, ids_b)], (at_a.tolist(), at_b.tolist()), pairs.tobytes(), groups)
 
     @staticmethod
-    def _results(units: list[str], says: np.ndarray, n: tuple, names: list, at: tuple, pairs: np.ndarray, groups: np.ndarray) -> list[tuple]:
+    def _results(says: np.ndarray, n: tuple, names: list, at: tuple, pairs: bytes, groups: np.ndarray) -> list[tuple]:
         (a, b), (at_a, at_b), out = names, at, []
         i = x = y = 0
         for ok, n_a, n_b, k in zip(says.tolist(), n[0].tolist(), n[1].tolist(), groups.tolist()):
-            if ok:
+            if not ok:
+                out.append(UNSAID)
+            elif k == 1:
+                out.append((n_a, n_b, pairs[4 * i : 4 * i + 4], f"{','.join(a[x : x + n_a])}|{','.join(b[y : y + n_b])}"))
+            else:
                 parts, p, q = [], x, y
                 for j in range(i, i + k):
-                    parts.append(f"{','.join(a[p : at_a[j] + 1])}|{','.join(b[q : at_b[j] + 1])}")
-                    p, q = at_a[j] + 1, at_b[j] + 1
-                out.append((n_a, n_b, pairs[i : i + k].tobytes(), ";".join(parts), True))
-            else:
-                out.append((0, 0, b"", "", False))
+                    s, t = at_a[j] + 1, at_b[j] + 1
+                    parts.append((a[p] if s == p + 1 else ",".join(a[p:s])) + "|" + (b[q] if t == q + 1 else ",".join(b[q:t])))
+                    p, q = s, t
+                out.append((n_a, n_b, pairs[4 * i : 4 * (i + k)], ";".join(parts)))
             i, x, y = i + k, x + n_a, y + n_b
         return out
 
-    def results(self, texts: list[list[str]]) -> list[tuple]:
-        """Results of texts that are given as their units."""
-        fresh = list({u for units in texts for u in units if u not in self.known})
-        now = dict(zip(fresh, self.asked(fresh))) if fresh else {}
-        for u in fresh:
-            if len(self.known) >= KEPT:
-                break
+    def results(self, units: list[str]) -> list[tuple]:
+        """Results of distinct units; a worker keeps the first that it meets."""
+        fresh = [u for u in units if u not in self.known]
+        now = dict(zip(fresh, self.asked(fresh)))
+        for u in fresh[: max(0, KEPT - len(self.known))]:
             if len(u) <= LONGEST:
                 self.known[u] = now[u]
-        take = lambda u: now[u] if u in now else self.known[u]
-        out = []
-        for units in texts:
-            if len(units) == 1:
-                out.append(take(units[0]))
-                continue
-            each = [take(u) for u in units]
-            out.append((sum(e[0] for e in each), sum(e[1] for e in each), b"".join([e[2] for e in each]), ";".join([e[3] for e in each]), all(e[4] for e in each)))
-        return out
+        return [now[u] if u in now else self.known[u] for u in units]
+
+    def units(self, words: pa.StringArray) -> tuple[np.ndarray, pa.StringArray]:
+        """Words with a space before each, cut: how many units each has, and the units of all in sequence."""
+        led = pc.binary_join_element_wise("", words, " ")
+        for pattern in CUTS:
+            led = pc.replace_substring_regex(led, pattern, rf"\1{BREAK}\2")
+        parts = pc.split_pattern(led, BREAK)
+        return pc.list_value_length(parts).to_numpy().astype(np.int64), parts.flatten()
 
     def of_texts(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
         """For each text its numbers of tokens (A, B) and of links and the digest of its groups; the links of all texts in sequence."""
         texts = texts.fill_null("")
-        pieces = pc.split_pattern(texts, " ")
-        counts = pc.list_value_length(pieces).to_numpy().astype(np.int64)
-        words = pieces.flatten().dictionary_encode()
-        codes, spelled = words.indices.to_numpy(), words.dictionary.to_pylist()
-        ends = np.cumsum(counts)
-        firsts = ends - counts
-        # texts in which a space follows anything but a letter, digit or mark are cut one by one
-        closed = np.array([CLOSED.search(u) is not None for u in spelled], bool)[codes]
-        closed[ends - 1] = True
         empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-        alone = ~empty & ~(np.logical_and.reduceat(closed, firsts) if len(firsts) else empty) if self.divisible else ~empty
-        used = np.flatnonzero(np.bincount(codes[np.repeat(~alone & ~empty, counts)], minlength=len(spelled)))
-        parts = self.results([INSIDE.split(" " + spelled[u]) for u in used.tolist()])
-        place = np.zeros(len(spelled), np.int64)
-        place[used] = np.arange(len(used))
-        odd = [" " + texts[i].as_py() for i in np.flatnonzero(alone).tolist()]
-        parts += self.results([[v for u in CUT.split(t) for v in INSIDE.split(u)] for t in odd]) if self.divisible else [r for t in odd for r in self.asked([t], whole=True)]
-        # each text as the numbers of its parts: its words', or one of its own
-        size = np.where(empty, 0, np.where(alone, 1, counts))
+        if self.divisible:
+            pieces = pc.split_pattern(texts, " ")
+            counts = pc.list_value_length(pieces).to_numpy().astype(np.int64)
+            words = pieces.flatten().dictionary_encode()
+            codes, spelled = words.indices.to_numpy(), words.dictionary
+            ends = np.cumsum(counts)
+            # texts in which a space follows anything but a letter, digit or mark are cut one by one
+            closed = pc.match_substring_regex(spelled, r"[!-~\pL\pN]\z").to_numpy(zero_copy_only=False)[codes]
+            closed[ends - 1] = True
+            alone = ~np.logical_and.reduceat(closed, ends - counts) if len(counts) else empty
+            alone = ~empty & (alone | pc.match_substring(texts, BREAK).to_numpy(zero_copy_only=False))
+            usual = np.repeat(~alone & ~empty, counts)
+            used = np.flatnonzero(np.bincount(codes[usual], minlength=len(spelled)))
+            per_word, parts = self.units(spelled.take(pa.array(used)))
+            parts = parts.dictionary_encode()
+            numbers, names = parts.indices.to_numpy().astype(np.int64), parts.dictionary.to_pylist()
+            begin = np.cumsum(per_word) - per_word
+            at = np.full(len(spelled), -1, np.int64)
+            at[used] = np.arange(len(used))
+            word = at[codes[usual]]
+            n = per_word[word]
+            sequence = numbers[np.repeat(begin[word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            size = np.bincount(np.repeat(np.arange(len(texts)), counts)[usual], weights=n, minlength=len(texts)).astype(np.int64)
+            known = {u: i for i, u in enumerate(names)}
+            odd = [[known.setdefault(v, len(known)) for u in CUT.split(" " + texts[i].as_py()) for v in INSIDE.split(u)] for i in np.flatnonzero(alone).tolist()]
+            parts = self.results(list(known))
+        else:
+            alone = ~empty
+            size, sequence = np.zeros(len(texts), np.int64), np.zeros(0, np.int64)
+            parts = self.asked([" " + texts[i].as_py() for i in np.flatnonzero(alone).tolist()], whole=True)
+            odd = [[i] for i in range(len(parts))]
+        # each text as the numbers of its units
+        size[alone] = [len(o) for o in odd]
         stop = np.cumsum(size)
         owner = np.repeat(np.arange(len(size)), size)
         order = np.empty(int(size.sum()), np.int64)
-        order[~alone[owner]] = place[codes[np.repeat(~alone & ~empty, counts)]]
-        order[stop[alone] - 1] = len(used) + np.arange(len(odd))
-        ok = np.array([p[4] for p in parts], bool)
+        order[~alone[owner]] = sequence
+        order[alone[owner]] = np.fromiter(chain.from_iterable(odd), np.int64, int(size[alone].sum()))
+        ok = np.array([p is not UNSAID for p in parts], bool)
         good = np.bincount(owner[~ok[order]], minlength=len(size)) == 0 if len(order) else ~empty
         n_a, n_b, links = (np.array([f(p) for p in parts], np.int64) for f in (lambda p: p[0], lambda p: p[1], lambda p: len(p[2]) // 4))
         of_text = lambda x: np.where(good, np.bincount(owner, weights=x[order], minlength=len(size)), 0).astype(np.int64)
@@ -230,7 +269,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, chunk_links: int = CHUNK_
             return pa.RecordBatch.from_arrays([pa.array([chunk]), *nothing, pa.array([keys], pa.binary()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], names)
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SLICE):
                 n_a, n_b, n, sha, flat = work.of_texts(part.column(1))
                 keys, at = np.unique(flat, return_inverse=True)
                 own = np.array([known.setdefault(k, len(known)) for k in keys.tolist()], np.int64)
