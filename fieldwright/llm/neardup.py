@@ -8,19 +8,21 @@ collides is held against 128 bits of both fingerprints, and what is near there i
 themselves. Texts of equal sets are one set here, however many.
 
 Ball hashing over bands finds nearly all such pairs, not all: see ``RECALL`` in the README. Within a variant each
-set is linked to the first ``LINKS`` earlier sets that are near, which keeps a family of near copies together without
-listing all its pairs.
+set is first held against ``LINKS`` earlier sets that are near, which keeps a family of near copies together without
+listing all its pairs. Sets for which more were near go through a second, exact search among themselves (``rest_links``): two sets
+that are similar have one of their rarest shingles in common, in a place that leaves enough others behind it. There only sets that no link
+has brought together yet are compared, at last without a limit, so a family of texts on one template loses no link.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldwright.llm.common import by_batch, connected_components, free_name, materialize, released, row_hashes
@@ -105,25 +107,15 @@ def ball(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(variants.ravel().astype(np.int32)), spread(0), spread(1), spread(2)], ["variant", "s", "f1", "f2"])
 
 
-def nearest_before(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs (i, j) those with one of the LINKS smallest i of their j."""
-    order = np.lexsort((i, j))
-    i, j = i[order], j[order]
-    keep = np.ones(len(j), bool)
-    keep[LINKS:] = j[LINKS:] != j[:-LINKS]
-    return i[keep], j[keep]
-
-
-def near_pairs(keys: np.ndarray, f1: np.ndarray, f2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j), i < j, of near fingerprints under one key; keys are sorted.
+def near_pairs(keys: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (i, j), i < j, of entries under one key for which ``near(i, j)``, of each j those with the ``most`` smallest i (None: all); keys are sorted.
 
-    In a long list each entry is held against all others only until it has its links: entries near to the first few
-    leave the list with these, so a family of near copies costs a few passes over it.
+    Third, the places of entries that may be near to more than that. In a long list each entry is held against all others only until it has
+    its pairs: entries near to the first few leave the list with these, so a family of near copies costs a few passes over it.
     """
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.append(starts, len(keys)))
-    apart = lambda i, j: np.bitwise_count(f1[i] ^ f1[j]).astype(np.int64) + np.bitwise_count(f2[i] ^ f2[j])
-    found_i, found_j = [starts[:0]], [starts[:0]]
+    found_i, found_j, more = [starts[:0]], [starts[:0]], [starts[:0]]
     usual = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SMALL), sizes))
     for distance in range(1, SMALL):
         i, j = usual[:-distance], usual[distance:]
@@ -131,43 +123,126 @@ def near_pairs(keys: np.ndarray, f1: np.ndarray, f2: np.ndarray) -> tuple[np.nda
         if not same.any():
             break
         i, j = i[same], j[same]
-        near = apart(i, j) <= NEAR
-        found_i.append(i[near])
-        found_j.append(j[near])
+        close = near(i, j)
+        found_i.append(i[close])
+        found_j.append(j[close])
     for start, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
         left, links = np.arange(start, start + size), np.zeros(size, np.int64)
+        early = False
         while len(left) > 1:
-            first, left, links = left[0], left[1:], links[1:]
-            near = apart(first, left) <= NEAR
-            found_i.append(np.full(int(near.sum()), first))
-            found_j.append(left[near])
-            links = links + near
-            left, links = left[links < LINKS], links[links < LINKS]
-    return nearest_before(np.concatenate(found_i), np.concatenate(found_j))
+            first, left, links = left[:1], left[1:], links[1:]
+            close = near(first, left)
+            found_i.append(np.full(int(close.sum()), first[0]))
+            found_j.append(left[close])
+            links = links + close
+            if most is not None and (links >= most).any():
+                stay, early = links < most, True
+                left, links = left[stay], links[stay]
+        if early:
+            more.append(np.arange(start, start + size))
+    i, j = np.concatenate(found_i), np.concatenate(found_j)
+    order = np.lexsort((i, j))
+    i, j = i[order], j[order]
+    keep = np.ones(len(j), bool)
+    if most is not None:
+        keep[most:] = j[most:] != j[:-most]
+    return i[keep], j[keep], np.unique(np.concatenate([*more, i[~keep], j[~keep]]))
 
 
-def links_within_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of near sets that share a variant; the input (variant, s, f1, f2) is sorted by variant and s.
+def by_key(function: Callable[..., Iterator[pa.RecordBatch]], kinds: list) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of all rows of some keys, columns of ``kinds``, as one for ``mapInArrow`` over rows sorted by the first column, the key.
 
-    The last variant of a batch waits for the next, as it may go on there.
+    The last key of a batch waits for the next, as it may go on there.
     """
 
-    def paired(k: np.ndarray, s: np.ndarray, f1: np.ndarray, f2: np.ndarray) -> Iterator[pa.RecordBatch]:
-        i, j = near_pairs(k, f1.view(np.uint64), f2.view(np.uint64))
-        if len(i):
-            yield pa.RecordBatch.from_arrays([pa.array(s[i]), pa.array(s[j])], ["a", "b"])
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wait = [np.zeros(0, k) for k in kinds]
+        for batch in batches:
+            now = [np.concatenate([w, batch.column(i).to_numpy()]) for i, w in enumerate(wait)]
+            if not len(now[0]):
+                continue
+            cut = int(np.searchsorted(now[0], now[0][-1], side="left"))
+            wait = [x[cut:] for x in now]
+            if cut:
+                yield from function(*[x[:cut] for x in now])
+        if len(wait[0]):
+            yield from function(*wait)
+
+    return over
+
 
-    wait = [np.zeros(0, np.int32), *[np.zeros(0, np.int64)] * 3]
-    for batch in batches:
-        now = [np.concatenate([w, batch.column(i).to_numpy()]) for i, w in enumerate(wait)]
-        if not len(now[0]):
-            continue
-        cut = int(np.searchsorted(now[0], now[0][-1], side="left"))
-        wait = [x[cut:] for x in now]
-        if cut:
-            yield from paired(*[x[:cut] for x in now])
-    if len(wait[0]):
-        yield from paired(*wait)
+def links_within_variants(k: np.ndarray, s: np.ndarray, f1: np.ndarray, f2: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of near sets that share a variant, and rows (a, null) of sets that may be near to more; sorted by variant and s."""
+    x, y = f1.view(np.uint64), f2.view(np.uint64)
+    near = lambda i, j: np.bitwise_count(x[i] ^ x[j]).astype(np.int64) + np.bitwise_count(y[i] ^ y[j]) <= NEAR
+    i, j, more = near_pairs(k, near, LINKS)
+    if len(i) or len(more):
+        more = np.unique(s[more])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s[i], more])), pa.array(s[j].tolist() + [None] * len(more), pa.int64())], ["a", "b"])
+
+
+def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a similarity of 0.8 or more; members: (s, members)."""
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        near = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            near.append(bool(similar(len(np.intersect1d(x, y)), len(x), len(y))))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    both = pairs.join(members.toDF("a", "x"), "a").join(members.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(by_batch(of), "a long, b long")
+
+
+def rarest(members: DataFrame) -> DataFrame:
+    """Rows (token, s, n, p): the shingles that a similar set must share one of, each with its place p among the set's n, rarest first.
+
+    Shingles are counted over these sets; those of one set alone come first and can be shared with none, so they only move the places of the others.
+    """
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.frombuffer(x, np.uint32) for x in batch.column(1).to_pylist()]
+        unique = [np.unique(x) for x in sets]
+        sizes = [len(u) for u in unique]
+        flat = np.concatenate([np.zeros(0, np.uint32), *unique]).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(flat), pa.array(np.repeat([len(x) for x in sets], sizes).astype(np.int64))], ["s", "token", "n"])
+
+    rows = materialize(members.mapInArrow(by_batch(of), "s long, token long, n long"), "shingles")
+    counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own = Window.partitionBy("s")
+    shared = rows.join(counts, "token").withColumn("p", F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("df", "token")) - 1)
+    return shared.where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * 4 / 5)).select("token", "s", "n", "p")
+
+
+#: Pairs of a set under a token in the rounds of the second search; the last has no limit.
+ROUNDS = (4, 64, None)
+
+
+def rest_links(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``links`` with all those of a similarity of 0.8 or more between these sets, up to connectivity; members: (s, members)."""
+    places = materialize(rarest(members), "places")
+    for most in ROUNDS:
+
+        def paired(token: np.ndarray, n: np.ndarray, s: np.ndarray, p: np.ndarray, root: np.ndarray, most: int | None = most) -> Iterator[pa.RecordBatch]:
+            def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                enough = 9 * np.minimum(n[i] - p[i], n[j] - p[j]) >= 4 * (n[i] + n[j])
+                return enough & (root[i] != root[j])
+
+            i, j, _ = near_pairs(token, near, most)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s[i], s[j])), pa.array(np.maximum(s[i], s[j]))], ["a", "b"])
+
+        roots = connected_components(links).withColumnRenamed("node", "s")
+        rows = places.join(roots, "s", "left").select("token", "n", "s", "p", F.coalesce("root", "s").alias("root"))
+        met = rows.repartition("token").sortWithinPartitions("token", "n", "s").mapInArrow(by_key(paired, [np.int64] * 5), "a long, b long")
+        pairs = materialize(met.distinct(), "pairs")
+        if pairs.isEmpty():
+            break
+        before, links = links, materialize(links.unionByName(verified(pairs, members)), "links")
+        released(before, pairs)
+    released(places)
+    return links
 
 
 def set_links(sets: DataFrame, rows: DataFrame) -> DataFrame:
@@ -175,9 +250,10 @@ def set_links(sets: DataFrame, rows: DataFrame) -> DataFrame:
     distinct = sets.where("n > 0").select("s", "f1", "f2", "f3", "f4").dropDuplicates(["s"])
     spread = distinct.repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s")
     variants = spread.mapInArrow(by_batch(ball), "variant int, s long, f1 long, f2 long")
-    met = variants.repartition("variant").sortWithinPartitions("variant", "s").mapInArrow(links_within_variants, "a long, b long")
-    pairs = materialize(met.distinct(), "pairs")
-    named = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct()
+    met = variants.repartition("variant").sortWithinPartitions("variant", "s").mapInArrow(by_key(links_within_variants, [np.int32, *[np.int64] * 3]), "a long, b long")
+    found = materialize(met.distinct(), "pairs")
+    pairs, more = found.where("b is not null"), found.where("b is null").select(F.col("a").alias("s"))
+    named = found.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct()
     # of equal sets one row is enough
     one = sets.join(named, "s", "left_semi").groupBy("s").agg(F.min(F.struct("h1", "h2")).alias("row")).select("s", "row.h1", "row.h2")
 
@@ -186,17 +262,10 @@ def set_links(sets: DataFrame, rows: DataFrame) -> DataFrame:
 
     texts = rows.join(one, ["h1", "h2"]).select("s", "text")
     members = materialize(texts.mapInArrow(by_batch(full), "s long, members binary").dropDuplicates(["s"]), "members")
-
-    def verified(batch: pa.RecordBatch) -> pa.RecordBatch:
-        near = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-            near.append(bool(similar(len(np.intersect1d(x, y)), len(x), len(y))))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    both = pairs.join(members.toDF("a", "x"), "a").join(members.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    links = materialize(both.mapInArrow(by_batch(verified), "a long, b long"), "verified")
-    released(pairs, members)
+    links = materialize(verified(pairs, members), "verified")
+    if not more.isEmpty():
+        links = rest_links(members.join(more, "s", "left_semi"), links)
+    released(found, members)
     return links
 
 
