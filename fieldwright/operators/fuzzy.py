@@ -131,7 +131,7 @@ def fuzzy_registry(misses: DataFrame, registry: DataFrame, accept: float = 0.34,
 
     The nearest spelling by weighted distance as a share of the longer one counts if it is at most ``accept``; confidence falls
     with it, and such a find is always for review. Its candidates are the official names of all spellings up to ``near``, nearest first. Only in ``categories``
-    (None: in all), and never if strict. Repeated lookups give a row each; what is not found has nulls and no candidates.
+    (None: in all), and never if strict. Repeated lookups give a row each; what is not found has no name, confidence 0 and no candidates.
     """
     from fieldwright.operators.joins import key_index
 
@@ -145,7 +145,7 @@ def fuzzy_registry(misses: DataFrame, registry: DataFrame, accept: float = 0.34,
     each = scored.groupBy("category", "wanted", "row.official").agg(F.min(F.struct("share", "row.ordinal")).alias("b"))
     best = each.groupBy("category", "wanted").agg(F.min(F.struct("b", "official")).alias("first"), F.array_sort(F.collect_list(F.struct("b", "official"))).alias("all")).where(F.col("first.b.share") <= accept + 1e-9)
     out = misses.withColumn("wanted", spelled(F.col("term"))).join(best, ["category", "wanted"], "left")
-    confidence = F.round(F.greatest(F.lit(0.4), 0.9 - F.col("first.b.share")), 6)
+    confidence = F.when(F.col("first").isNull(), 0.0).otherwise(F.round(F.greatest(F.lit(0.4), 0.9 - F.col("first.b.share")), 6))
     candidates = F.coalesce(F.transform("all", lambda x: x["official"]), F.array().cast("array<string>"))
     return out.select("lookup_id", F.col("first.official").alias("official"), confidence.alias("confidence"), F.col("first").isNotNull().alias("matched"), candidates.alias("candidates"))
 

@@ -67,7 +67,7 @@ WITH {_TABLES_SQL}, misses AS (
   SELECT category, term, min(share) AS share, first(latin ORDER BY share, ordinal, latin) AS official, string_agg(latin, ',' ORDER BY share, ordinal, latin) AS candidates
   FROM s WHERE share <= 0.5 + 1e-9 GROUP BY ALL HAVING min(share) <= 0.34 + 1e-9
 )
-SELECT lookup_id, official, round(greatest(0.4, 0.9 - share), 6)::DOUBLE AS confidence, official IS NOT NULL AS matched, coalesce(candidates, '') AS candidates FROM misses LEFT JOIN b USING (category, term)
+SELECT lookup_id, official, CASE WHEN official IS NULL THEN 0 ELSE round(greatest(0.4, 0.9 - share), 6) END::DOUBLE AS confidence, official IS NOT NULL AS matched, coalesce(candidates, '') AS candidates FROM misses LEFT JOIN b USING (category, term)
 """)
 def fuzzy_registry_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     category = F.when(F.col("role") == "user", "settlement").when(F.col("n") < 150, "authority").otherwise("oblast")
