@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldwright.functions.dates import MONTHS_UA
-from fieldwright.operators import booklet
+from fieldwright.operators import booklet, cards
 from fieldwright.plans.adapters import pick
 from fieldwright.plans.register import query
 from fieldwright.sources.tables import parquet
@@ -48,3 +48,32 @@ def booklet_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     below = lines(head, surname, s, given, g, birth, said)
     text = F.when(n % 4 == 0, above).when(n % 4 == 1, behind).when(n % 4 == 2, below).otherwise(F.concat(F.lit("page of "), F.col("c_name")))
     return booklet.booklet_fields(parquet(spark, sf_dir, "customer").select(i.alias("doc"), text.alias("text")), TODAY).select("doc", "field", "normalized")
+
+
+@query("""
+WITH c AS (
+  SELECT o_orderkey AS doc, o_orderkey % 4 AS layout, c_custkey::VARCHAR AS house, upper(split_part(p_name, ' ', 1)) AS road, upper(split_part(p_name, ' ', 2)) AS town, CASE WHEN c_nationkey % 2 = 0 THEN 'CA' ELSE 'NY' END AS state,
+    lpad(o_orderkey::VARCHAR, 5, '0')[-5:] AS code, strftime(o_orderdate, '%Y-%m-%d') AS dob, c_mktsegment AS surname
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = c_custkey
+), f AS (
+  SELECT doc, 'family_name' AS field, surname[1] || lower(surname[2:]) AS normalized FROM c
+  UNION ALL SELECT doc, 'dob', dob FROM c
+  UNION ALL SELECT doc, 'us_address_street', house || ' ' || road[1] || lower(road[2:]) || ' Ave' || CASE WHEN layout = 1 THEN ' 111' ELSE '' END FROM c WHERE layout < 3
+  UNION ALL SELECT doc, 'us_address_city', town[1] || lower(town[2:]) FROM c
+  UNION ALL SELECT doc, 'us_address_state', state FROM c
+  UNION ALL SELECT doc, 'us_address_zip', code FROM c
+)
+SELECT * FROM f
+""")
+def licence_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' customers as cards: the address in one line, with commas or without, in two lines, or without a street."""
+    c = F.col
+    rows = parquet(spark, sf_dir, "orders").join(parquet(spark, sf_dir, "customer"), c("c_custkey") == c("o_custkey")).join(parquet(spark, sf_dir, "part"), c("p_partkey") == c("c_custkey"))
+    words = F.split(F.upper("p_name"), " ")
+    street, town = F.concat_ws(" ", c("c_custkey").cast("string"), words[0], F.lit("AVE")), words[1]
+    end = F.concat(F.when(c("c_nationkey") % 2 == 0, "CA").otherwise("NY"), F.lit(" "), F.right(F.lpad(c("o_orderkey").cast("string"), F.greatest(F.lit(5), F.length(c("o_orderkey").cast("string"))), F.lit("0")), F.lit(5)))
+    k = c("o_orderkey") % 4
+    tail = F.concat(town, F.lit(", "), end)
+    address = F.when(k == 0, F.concat(street, F.lit(", "), tail)).when(k == 1, F.concat_ws(" ", street, F.lit("111"), town, end)).when(k == 2, F.concat(street, F.lit("\n"), tail)).otherwise(tail)
+    text = F.concat(F.lit("LN "), c("c_mktsegment"), F.lit("\n"), F.lit("DOB "), F.date_format("o_orderdate", "MM/dd/yyyy"), F.lit("\n"), address)
+    return cards.licence_cards(rows.select(c("o_orderkey").alias("doc"), text.alias("text"))).select("doc", F.inline("fields")).select("doc", "field", "normalized")
