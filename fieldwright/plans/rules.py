@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldwright.operators import extract, joins, rules
-from fieldwright.plans.adapters import pick
+from fieldwright.plans.adapters import STATUSES, pick
 from fieldwright.plans.register import query
 from fieldwright.sources.tables import parquet
-from fieldwright.streaming import leases, rolling
+from fieldwright.streaming import keyed, leases, rolling
+from fieldwright.streaming.common import file_stream
 
 _FIELDS = ("certificate_number", "act_record_number", "act_record_date", "date_of_marriage", "date_of_issue", "spouse_1_given_names", "spouse_2_given_names")
 _ZONES = ("act_record", "event", "issue", "spouse_1", "spouse_2")
@@ -280,3 +281,66 @@ def single_flight_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH e AS (SELECT user_id, epoch_us(ts) // 21600000000 - unnest([0, 1, 2, 3]) AS w FROM events) SELECT user_id, make_timestamp(w * 21600000000) AS window_start, count(*) AS n FROM e GROUP BY ALL""")
 def stream_rolling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.run_stream(spark, f"{sf_dir}/events.parquet")
+
+
+@query("""
+WITH RECURSIVE r AS (
+  SELECT user_id AS key, event_id AS id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events
+), f AS (
+  SELECT key, id, n, t AS start, 1::BIGINT AS place FROM r WHERE n = 1
+  UNION ALL
+  SELECT r.key, r.id, r.n, CASE WHEN r.t - f.start > 86400000000 THEN r.t ELSE f.start END, CASE WHEN r.t - f.start > 86400000000 THEN 1 ELSE f.place + 1 END FROM f JOIN r ON r.key = f.key AND r.n = f.n + 1
+)
+SELECT key, id, place, place <= 3 AS allowed, greatest(0, 3 - place)::BIGINT AS remaining, start + 86400000000 AS reset_micros FROM f
+""")
+def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three requests a user and day, as a stream; a timer takes idle users out of the state."""
+    return keyed.run_limiter(spark, f"{sf_dir}/events.parquet", 3, 86_400)
+
+
+def _order_steps(events: DataFrame) -> DataFrame:
+    """Events as steps of their users' orders."""
+    k, kind, v = F.get_json_object("props", "$.k").cast("int"), F.col("event_type"), F.floor("value").cast("int")
+    return events.select(
+        F.col("user_id").alias("order_id"), F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), F.when((kind == "purchase") & (v < 5), " ").otherwise(F.concat(F.lit("op "), kind)).alias("actor"),
+        F.when(kind == "error", pick(STATUSES, v % len(STATUSES))).alias("expected_status"), F.when(kind == "signup", v % 4 + 1).cast("long").alias("expected_version"), F.when(k < 8, "created").otherwise(pick(STATUSES, k % len(STATUSES))).alias("to_status"),
+    )
+
+
+_STEPS_SQL = f"""
+WITH RECURSIVE s AS (
+  SELECT user_id AS order_id, event_id AS id, epoch_us(ts) AS t, event_type = 'purchase' AND floor(value) < 5 AS no_actor, event_type AS kind, CASE WHEN event_type = 'error' THEN {list(STATUSES)}[floor(value)::INTEGER % {len(STATUSES)} + 1] END AS es,
+    CASE WHEN event_type = 'signup' THEN floor(value)::INTEGER % 4 + 1 END AS ev, CASE WHEN (props->>'k')::INTEGER < 8 THEN 'created' ELSE {list(STATUSES)}[(props->>'k')::INTEGER % {len(STATUSES)} + 1] END AS go,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
+  FROM events
+), f AS (
+  SELECT order_id, 0::BIGINT AS n, NULL::BIGINT AS id, NULL::VARCHAR AS outcome, NULL::VARCHAR AS st, 0::BIGINT AS v, NULL::BIGINT AS paid, NULL::BIGINT AS done, NULL::VARCHAR AS old, NULL::BIGINT AS t, NULL::VARCHAR AS kind FROM (SELECT DISTINCT order_id FROM s)
+  UNION ALL
+  SELECT order_id, n, id, outcome, CASE WHEN outcome <> 'applied' THEN st WHEN go = 'created' THEN 'queued' ELSE go END, CASE WHEN outcome = 'applied' THEN v + 1 ELSE v END, CASE WHEN outcome = 'applied' AND go = 'assigned' AND paid IS NULL THEN t ELSE paid END, CASE WHEN outcome = 'applied' AND go = 'delivered' THEN t ELSE done END, st, t, kind
+  FROM (
+    SELECT s.order_id, s.n, s.id, s.go, s.t, s.kind, f.st, f.v, f.paid, f.done, CASE
+      WHEN no_actor THEN 'actor_required' WHEN go = 'created' THEN CASE WHEN st IS NULL THEN 'applied' ELSE 'exists_already' END WHEN st IS NULL THEN 'not_found'
+      WHEN es IS NOT NULL AND es <> st THEN 'state_conflict' WHEN ev IS NOT NULL AND ev <> v THEN 'version_conflict'
+      WHEN st || '>' || go NOT IN ('queued>assigned', 'queued>cancelled', 'assigned>in_review', 'assigned>queued', 'assigned>cancelled', 'in_review>needs_user_clarification', 'in_review>approved_for_render', 'in_review>cancelled',
+        'needs_user_clarification>in_review', 'needs_user_clarification>cancelled', 'approved_for_render>artifact_generated', 'approved_for_render>in_review', 'artifact_generated>delivery_pending', 'delivery_pending>delivered',
+        'delivery_pending>delivery_failed', 'delivery_failed>delivery_pending', 'delivery_failed>cancelled') THEN 'invalid_transition' ELSE 'applied' END AS outcome
+    FROM f JOIN s ON s.order_id = f.order_id AND s.n = f.n + 1
+  )
+)
+"""
+
+
+@query(_STEPS_SQL + "SELECT order_id, id, outcome FROM f WHERE n > 0")
+def stream_order_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed.order_tables(_order_steps(file_stream(spark, f"{sf_dir}/events.parquet", maxBytesPerTrigger=keyed.BATCH)))[2]
+
+
+@query(_STEPS_SQL + "SELECT order_id, old AS from_status, st AS status, v AS version, 'op ' || kind AS actor, t AS micros, id FROM f WHERE outcome = 'applied'")
+def stream_order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The append-only log of steps that moved an order."""
+    return keyed.order_tables(_order_steps(file_stream(spark, f"{sf_dir}/events.parquet", maxBytesPerTrigger=keyed.BATCH)))[1]
+
+
+@query(_STEPS_SQL + "SELECT order_id, st AS status, v AS version, paid, done AS completed FROM f WHERE st IS NOT NULL QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY n DESC) = 1")
+def stream_orders_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed.order_tables(_order_steps(file_stream(spark, f"{sf_dir}/events.parquet", maxBytesPerTrigger=keyed.BATCH)))[0]

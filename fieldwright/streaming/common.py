@@ -28,10 +28,15 @@ def remove(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def file_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A table, one file or a folder of them, as a stream of its files."""
-    stem, _, suffix = path.rpartition(".")
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{stem}*.{suffix}")
+def file_stream(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """A table, one file or a folder of them, as a stream of its files and of no others."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).options(**options)
+    if folder:
+        return reader.parquet(path)
+    above, _, name = path.rpartition("/")
+    return reader.option("pathGlobFilter", name).parquet(above)
 
 
 def drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
