@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldwright.functions.dates import MONTHS_UA
-from fieldwright.operators import booklet, cards
+from fieldwright.operators import booklet, cards, extracted
 from fieldwright.plans.adapters import pick
 from fieldwright.plans.register import query
 from fieldwright.sources.tables import parquet
@@ -77,3 +77,31 @@ def licence_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     address = F.when(k == 0, F.concat(street, F.lit(", "), tail)).when(k == 1, F.concat_ws(" ", street, F.lit("111"), town, end)).when(k == 2, F.concat(street, F.lit("\n"), tail)).otherwise(tail)
     text = F.concat(F.lit("LN "), c("c_mktsegment"), F.lit("\n"), F.lit("DOB "), F.date_format("o_orderdate", "MM/dd/yyyy"), F.lit("\n"), address)
     return cards.licence_cards(rows.select(c("o_orderkey").alias("doc"), text.alias("text"))).select("doc", F.inline("fields")).select("doc", "field", "normalized")
+
+
+@query("""
+WITH r AS (
+  SELECT o_orderkey AS doc, o_orderdate AS d, o_orderstatus AS st, o_totalprice > 200000 AS rich, c_mktsegment AS seg, c_nationkey AS n, p_name AS name, p_size % 4 AS k FROM orders JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = c_custkey
+), f AS (
+  SELECT doc, 'dob' AS field, 'passed' AS status, 'no_knowledge_rule_for_field' AS reason, strftime(d, '%Y-%m-%d') AS value FROM r
+  UNION ALL SELECT doc, 'family_name', CASE st WHEN 'F' THEN 'normalized' WHEN 'O' THEN 'passed' ELSE 'rejected' END, CASE st WHEN 'F' THEN 'latin_titlecase' WHEN 'O' THEN 'latin_passthrough' ELSE 'family_name_garbage' END,
+    CASE WHEN st <> 'P' THEN seg[1] || lower(seg[2:]) END FROM r
+  UNION ALL SELECT doc, 'patronymic', CASE WHEN rich THEN 'normalized' ELSE 'rejected' END, CASE WHEN rich THEN 'latin_passthrough' ELSE 'patronymic_garbage' END, CASE WHEN rich THEN lower(seg) || 'ovych' END FROM r
+  UNION ALL SELECT doc, 'country_of_birth', CASE WHEN n < 10 THEN 'passed' ELSE 'rejected' END, CASE WHEN n < 10 THEN 'no_knowledge_rule_for_field' ELSE 'country_not_recognized' END, CASE WHEN n < 5 THEN 'Ukraine' WHEN n < 10 THEN ' POLAND ' END FROM r
+  UNION ALL SELECT doc, 'city_of_birth', CASE WHEN k < 2 THEN 'normalized' ELSE 'rejected' END, CASE k WHEN 2 THEN 'contains_year_fragment' WHEN 3 THEN 'contains_label_noise' ELSE 'kmu55_transliteration' END, CASE WHEN k < 2 THEN name END FROM r
+)
+SELECT * FROM f
+""")
+def form_ready_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' customers as extracted fields."""
+    c = F.col
+    rows = parquet(spark, sf_dir, "orders").join(parquet(spark, sf_dir, "customer"), c("c_custkey") == c("o_custkey")).join(parquet(spark, sf_dir, "part"), c("p_partkey") == c("c_custkey"))
+    segment, k, n = c("c_mktsegment"), c("p_size") % 4, c("c_nationkey")
+    said = {
+        "dob": F.date_format("o_orderdate", "M/d/yyyy"), "family_name": F.when(c("o_orderstatus") == "F", segment).when(c("o_orderstatus") == "O", F.initcap(segment)).otherwise(F.concat(F.lit("x"), segment)),
+        "patronymic": F.concat(F.lower(segment), F.when(c("o_totalprice") > 200000, "ovych").otherwise("ski")), "country_of_birth": F.when(n < 5, "Ukraine").when(n < 10, " POLAND ").otherwise(F.concat(F.lit("NATION_"), n.cast("string"))),
+        "city_of_birth": F.when(k == 0, F.concat(F.lit("смт. "), c("p_name"))).when(k == 1, F.concat(F.lit("м. "), c("p_name"))).when(k == 2, F.concat(c("p_name"), F.lit(" 1999"))).otherwise(F.concat(F.lit("Place of birth "), c("p_name"))),
+    }
+    fields = rows.select(c("o_orderkey").alias("doc"), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), v.alias("normalized")) for f, v in said.items()])))
+    told = fields.select("doc", "field", F.col("normalized").alias("raw"), "normalized", F.lit("vision").alias("source"), F.lit(0.9).alias("confidence"))
+    return extracted.ready_for_forms(told).select("doc", "field", "status", "reason", "value")
