@@ -36,7 +36,7 @@ REMIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 STIR = 0xD6E8FEB86659FD93
 #: Of the 128 bits that travel with a variant so many may differ: four standard deviations over the mean at similarity 0.8.
 NEAR = 36
-LINKS = 2
+LINKS = 1
 #: Up to this many sets of a variant are compared in one array operation for each distance in the list.
 SMALL = 48
 
