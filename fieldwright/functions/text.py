@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import unicodedata
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -121,14 +123,30 @@ def plausible_name(name: Column) -> Column:
     return F.length(name).between(2, 50) & name.rlike("(?i)[aeiouyаеєиіїоуюяыэё]") & ~name.rlike("[0-9]") & ~name.rlike(r"\p{Ll}\p{Lu}")
 
 
+#: Characters outside these may change in NFC: composition begins with the combining marks.
+STABLE = r"^[\x{0000}-\x{02FF}\x{0400}-\x{0482}\x{048A}-\x{04FF}\x{2010}-\x{2027}\x{2116}]*$"
+
+
+@F.pandas_udf(StringType())
+def _composed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in texts:
+        yield s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
+def composed(text: Column) -> Column:
+    """The text in NFC. Spark has no such function; only texts with characters that may change are sent to Python, the others go there as nulls."""
+    return F.coalesce(_composed(F.when(~text.rlike(STABLE), text)), text)
+
+
 def materially_different(a: Column, b: Column) -> Column:
-    """Whether two readings differ in more than white space, light punctuation and case; an empty side never does. Input in NFC."""
-    base = lambda c: F.lower(F.regexp_replace(c, "[\\s.,;:'\"`-]+", ""))
+    """Whether two readings differ, in NFC, in more than white space, light punctuation and case; an empty side never does."""
+    base = lambda c: F.lower(F.regexp_replace(composed(c), "[\\s.,;:'\"`-]+", ""))
     return (F.coalesce(a, F.lit("")) != "") & (F.coalesce(b, F.lit("")) != "") & (base(a) != base(b))
 
 
 def error_rate(read: Column, truth: Column) -> Column:
-    """Edit distance as a share of the longer string; 0 if both are empty."""
+    """Edit distance, in NFC, as a share of the longer string; 0 if both are empty."""
+    read, truth = composed(read), composed(truth)
     longer = F.greatest(F.length(read), F.length(truth))
     return F.when(longer == 0, 0.0).otherwise(F.levenshtein(read, truth) / longer)
 

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldwright.functions.text import materially_different, plausible_name
+from fieldwright.functions.names import russian_latin, ukrainian_latin
+from fieldwright.functions.text import composed, error_rate, materially_different, name_script, plausible_name
 from fieldwright.operators.resolve import LOW_CONFIDENCE, authority
 from fieldwright.operators.shaping import blank, trimmed, united_reasons
 
@@ -31,8 +32,20 @@ def criticality(key: Column) -> Column:
 
 
 def same_reading(value: Column) -> Column:
-    """What is left when white space and case do not count. Input in NFC."""
-    return F.lower(F.regexp_replace(value, r"(?U)\s+", ""))
+    """What is left, in NFC, when white space and case do not count."""
+    return F.lower(F.regexp_replace(composed(value), r"(?U)\s+", ""))
+
+
+#: What a key of a name has in it, in small letters.
+NAME_KEYS = "(?i)name|surname|patronymic|given|spouse|father|mother|child|deceased"
+
+
+def wrong_transliteration(key: Column, got: Column, raw: Column, controlling: Column) -> Column:
+    """Whether a Latin name is not what its controlling spelling, or else its Cyrillic source by the rules of its script, says. Only of names; an empty value is none, and without a source nothing can be told."""
+    russian = name_script(raw) == "ru"
+    expected = F.when(russian, russian_latin(raw)).otherwise(ukrainian_latin(raw))
+    differs = F.when(~blank(controlling), same_reading(got) != same_reading(controlling)).when(~blank(raw), same_reading(got) != same_reading(expected)).otherwise(False)
+    return F.coalesce(~blank(got) & key.cast("string").rlike(NAME_KEYS) & differs, F.lit(False))
 
 
 def none() -> Column:
@@ -219,11 +232,13 @@ def against_invention(fields: DataFrame) -> DataFrame:
 
 
 def acceptance_scores(truth: DataFrame, produced: DataFrame) -> DataFrame:
-    """(doc_type, doc): nine counts of a document's critical fields, and coverage.
+    """(doc_type, doc): eight counts of a document's critical fields, the mean error rate, and coverage.
 
-    truth (doc_type, doc, key, value, critical); produced (doc, key, value, review, final_value, controlling). A value that
+    truth (doc_type, doc, key, value, critical); produced (doc, key, value, review, final_value, controlling and, if it is there, raw, the Cyrillic source). A value that
     is wrong and not under review counts as fabricated, and so does one where the document has none.
     """
+    if "raw" not in produced.columns:
+        produced = produced.withColumn("raw", F.lit(None).cast("string"))
     rows = truth.join(produced.withColumnRenamed("value", "got"), ["doc", "key"], "left")
     got, real = ~blank(F.col("got")), ~blank(F.col("value"))
     same = lambda a, b: same_reading(F.coalesce(a, F.lit(""))) == same_reading(F.coalesce(b, F.lit("")))
@@ -231,18 +246,18 @@ def acceptance_scores(truth: DataFrame, produced: DataFrame) -> DataFrame:
     verdict = F.when(~real, F.when(got, "FABRICATED").otherwise("NA")).when(~got, "EMPTY").when(exact, "EXACT").when(flagged, "REVIEW").otherwise("WRONG")
     against_control = got & ~blank(F.col("controlling")) & ~same(F.col("got"), F.col("controlling"))
     released_wrong = ~blank(F.col("final_value")) & ~same(F.col("final_value"), F.col("value"))
-    rate = F.when(real & got, F.levenshtein("got", "value") / F.greatest(F.length("got"), F.length("value")))
+    rate = F.when(real & got, error_rate(F.col("got"), F.col("value")))
     of = lambda c: F.count_if(F.col("critical") & c)
     return rows.groupBy("doc_type", "doc").agg(
         of(F.lit(True)).alias("critical_total"), of(verdict == "EXACT").alias("exact"), of(verdict == "EMPTY").alias("empty"), of(verdict.isin("WRONG", "FABRICATED")).alias("fabricated"), of(flagged).alias("reviewed"),
-        of(against_control).alias("mrz_conflicts"), of(released_wrong).alias("false_final"), F.coalesce(F.avg(F.when(F.col("critical"), rate)), F.lit(0.0)).alias("error_rate"),
+        of(against_control).alias("mrz_conflicts"), of(released_wrong).alias("false_final"), of(wrong_transliteration(F.col("key"), F.col("got"), F.col("raw"), F.col("controlling"))).alias("wrong_transliteration"), F.coalesce(F.avg(F.when(F.col("critical"), rate)), F.lit(0.0)).alias("error_rate"),
         (F.count_if(got) / F.count(F.lit(1))).alias("coverage"),
     )
 
 
 def acceptance_by_type(scores: DataFrame, least: float = 0.95) -> DataFrame:
     """(doc_type): documents, sums of their counts, and whether the type may go to production. Counts are carried, so no rate is turned back into one."""
-    rows = scores.groupBy("doc_type").agg(F.count(F.lit(1)).alias("documents"), *[F.sum(c).alias(c) for c in ("critical_total", "exact", "empty", "fabricated", "reviewed", "mrz_conflicts", "false_final")])
+    rows = scores.groupBy("doc_type").agg(F.count(F.lit(1)).alias("documents"), *[F.sum(c).alias(c) for c in ("critical_total", "exact", "empty", "fabricated", "reviewed", "mrz_conflicts", "false_final", "wrong_transliteration")])
     share = F.when(F.col("critical_total") == 0, 0.0).otherwise(F.col("exact") / F.col("critical_total"))
     reasons = reasons_of(
         (F.col("fabricated") > 0, "fabricated"), (F.col("false_final") > 0, "false_final"), (share < least, "exact_share"), ((F.col("critical_total") > 0) & (F.col("empty") == F.col("critical_total")), "all_empty")

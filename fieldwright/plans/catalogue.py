@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from fieldwright.functions import text
 from fieldwright.operators import joins, ledger, metrics, resolve, timing
 from fieldwright.plans import decisions, documents, kernels, lookups, packets, pages, rules, shapes
+from fieldwright.plans import tables as stored_tables
 from fieldwright.plans.adapters import CALLS_SQL, CANDIDATES_SQL, STATUSES, VERDICTS_SQL, calls, candidates, overrides, pick, truth_and_produced
 from fieldwright.plans.register import oracle_sql, queries, query
 from fieldwright.sources import tables
 from fieldwright.sources.tables import parquet
 
-__all__ = ["FLAGSHIP", "decisions", "documents", "kernels", "lookups", "oracle_sql", "packets", "pages", "queries", "rules", "shapes"]
+__all__ = ["FLAGSHIP", "decisions", "documents", "kernels", "lookups", "oracle_sql", "packets", "pages", "queries", "rules", "shapes", "stored_tables"]
 FLAGSHIP = "arbitrate_best_candidate"
 #: The moment as of which ages are told.
 AS_OF = "2024-02-01 00:00:00"

@@ -142,24 +142,28 @@ def anti_fabrication_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.against_invention(rows).select("doc", "n", "field", "review", F.array_join("reasons", "|").alias("reasons"))
 
 
+_KEYS = ("family_name", "given_name", "date_of_birth", "father_full_name", "series", "child_family_name", "number")
+
+
 def _truth_and_produced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     o = parquet(spark, sf_dir, "lineitem")
-    flags = F.concat("l_returnflag", "l_linestatus")
-    truth = o.select(pick(("F", "O", "P"), F.col("l_orderkey") % 3).alias("doc_type"), F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("key"), F.when(F.col("l_tax") > 0.01, flags).otherwise(" ").alias("value"), (F.col("l_discount") > 0.02).alias("critical"))
+    flags, key = F.concat("l_returnflag", "l_linestatus"), pick(_KEYS, F.col("l_linenumber") - 1)
+    truth = o.select(pick(("F", "O", "P"), F.col("l_orderkey") % 3).alias("doc_type"), F.col("l_orderkey").alias("doc"), key.alias("key"), F.when(F.col("l_tax") > 0.01, flags).otherwise(" ").alias("value"), (F.col("l_discount") > 0.02).alias("critical"))
     got = F.when(F.col("l_discount") < 0.06, F.lower(flags)).when(F.col("l_discount") < 0.09, F.concat(flags, F.lit("x"))).otherwise("")
     produced = o.where("l_quantity < 45").select(
-        F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("key"), got.alias("value"), (F.col("l_quantity") > 30).alias("review"), F.when(F.col("l_tax") > 0.06, got).alias("final_value"), F.when(F.col("l_linestatus") == "O", "NO").alias("controlling")
+        F.col("l_orderkey").alias("doc"), key.alias("key"), F.when(F.col("l_quantity") < 20, F.translate(flags, "NOFAR", "НОФАР")).alias("raw"), got.alias("value"), (F.col("l_quantity") > 30).alias("review"), F.when(F.col("l_tax") > 0.06, got).alias("final_value"), F.when(F.col("l_linestatus") == "O", "NO").alias("controlling")
     )
     return truth, produced
 
 
-_SCORES_SQL = """
-t AS (SELECT ['F','O','P'][l_orderkey % 3 + 1] AS doc_type, l_orderkey AS doc, l_linenumber AS key, CASE WHEN l_tax > 0.01 THEN l_returnflag || l_linestatus ELSE '' END AS value, l_discount > 0.02 AS critical FROM lineitem),
-p AS (SELECT l_orderkey AS doc, l_linenumber AS key, CASE WHEN l_discount < 0.06 THEN lower(l_returnflag || l_linestatus) WHEN l_discount < 0.09 THEN l_returnflag || l_linestatus || 'x' ELSE '' END AS got, l_quantity > 30 AS review, l_tax > 0.06 AS released, CASE WHEN l_linestatus = 'O' THEN 'NO' END AS control FROM lineitem WHERE l_quantity < 45),
-j AS (SELECT t.*, coalesce(got, '') AS got, coalesce(review, false) AS review, coalesce(released, false) AND coalesce(got, '') <> '' AND lower(got) <> lower(value) AS wrong_final, got <> '' AND control IS NOT NULL AND lower(got) <> lower(control) AS against FROM t LEFT JOIN p USING (doc, key)),
+_SCORES_SQL = f"""
+t AS (SELECT ['F','O','P'][l_orderkey % 3 + 1] AS doc_type, l_orderkey AS doc, {list(_KEYS)}[l_linenumber] AS key, CASE WHEN l_tax > 0.01 THEN l_returnflag || l_linestatus ELSE '' END AS value, l_discount > 0.02 AS critical FROM lineitem),
+p AS (SELECT l_orderkey AS doc, {list(_KEYS)}[l_linenumber] AS key, CASE WHEN l_quantity < 20 THEN l_returnflag || l_linestatus END AS spelled, CASE WHEN l_discount < 0.06 THEN lower(l_returnflag || l_linestatus) WHEN l_discount < 0.09 THEN l_returnflag || l_linestatus || 'x' ELSE '' END AS got, l_quantity > 30 AS review, l_tax > 0.06 AS released, CASE WHEN l_linestatus = 'O' THEN 'NO' END AS control FROM lineitem WHERE l_quantity < 45),
+j AS (SELECT t.*, coalesce(got, '') AS got, coalesce(review, false) AS review, coalesce(released, false) AND coalesce(got, '') <> '' AND lower(got) <> lower(value) AS wrong_final, got <> '' AND control IS NOT NULL AND lower(got) <> lower(control) AS against,
+  got <> '' AND contains(key, 'name') AND lower(got) <> lower(coalesce(control, spelled, got)) AS wrong_spelled FROM t LEFT JOIN p USING (doc, key)),
 v AS (SELECT *, CASE WHEN value = '' THEN CASE WHEN got <> '' THEN 'FABRICATED' ELSE 'NA' END WHEN got = '' THEN 'EMPTY' WHEN lower(got) = lower(value) THEN 'EXACT' WHEN review THEN 'REVIEW' ELSE 'WRONG' END AS verdict FROM j),
 s AS (SELECT doc_type, doc, count(*) FILTER (critical) AS critical_total, count(*) FILTER (critical AND verdict = 'EXACT') AS exact, count(*) FILTER (critical AND verdict = 'EMPTY') AS empty, count(*) FILTER (critical AND verdict IN ('WRONG','FABRICATED')) AS fabricated, count(*) FILTER (critical AND review) AS reviewed,
-  count(*) FILTER (critical AND coalesce(against, false)) AS mrz_conflicts, count(*) FILTER (critical AND wrong_final) AS false_final, coalesce(avg(CASE WHEN critical AND value <> '' AND got <> '' THEN levenshtein(got, value) / greatest(length(got), length(value)) END), 0)::DOUBLE AS error_rate, (count(*) FILTER (got <> '') / count(*))::DOUBLE AS coverage FROM v GROUP BY ALL)"""
+  count(*) FILTER (critical AND coalesce(against, false)) AS mrz_conflicts, count(*) FILTER (critical AND wrong_final) AS false_final, count(*) FILTER (critical AND coalesce(wrong_spelled, false)) AS wrong_transliteration, coalesce(avg(CASE WHEN critical AND value <> '' AND got <> '' THEN levenshtein(got, value) / greatest(length(got), length(value)) END), 0)::DOUBLE AS error_rate, (count(*) FILTER (got <> '') / count(*))::DOUBLE AS coverage FROM v GROUP BY ALL)"""
 
 
 @query(f"WITH {_SCORES_SQL} SELECT * FROM s")
@@ -167,7 +171,7 @@ def acceptance_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.acceptance_scores(*_truth_and_produced(spark, sf_dir))
 
 
-@query(f"""WITH {_SCORES_SQL}, g AS (SELECT doc_type, count(*) AS documents, sum(critical_total)::BIGINT AS critical_total, sum(exact)::BIGINT AS exact, sum(empty)::BIGINT AS empty, sum(fabricated)::BIGINT AS fabricated, sum(reviewed)::BIGINT AS reviewed, sum(mrz_conflicts)::BIGINT AS mrz_conflicts, sum(false_final)::BIGINT AS false_final FROM s GROUP BY 1)
+@query(f"""WITH {_SCORES_SQL}, g AS (SELECT doc_type, count(*) AS documents, sum(critical_total)::BIGINT AS critical_total, sum(exact)::BIGINT AS exact, sum(empty)::BIGINT AS empty, sum(fabricated)::BIGINT AS fabricated, sum(reviewed)::BIGINT AS reviewed, sum(mrz_conflicts)::BIGINT AS mrz_conflicts, sum(false_final)::BIGINT AS false_final, sum(wrong_transliteration)::BIGINT AS wrong_transliteration FROM s GROUP BY 1)
 SELECT *, (CASE WHEN critical_total = 0 THEN 0 ELSE exact / critical_total END)::DOUBLE AS exact_share, concat_ws('|', CASE WHEN fabricated > 0 THEN 'fabricated' END, CASE WHEN false_final > 0 THEN 'false_final' END, CASE WHEN critical_total = 0 OR exact / critical_total < 0.95 THEN 'exact_share' END, CASE WHEN critical_total > 0 AND empty = critical_total THEN 'all_empty' END) AS reasons,
   fabricated = 0 AND false_final = 0 AND critical_total > 0 AND exact / critical_total >= 0.95 AND empty < critical_total AS production_ready FROM g""")
 def acceptance_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
