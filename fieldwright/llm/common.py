@@ -114,6 +114,28 @@ def by_batch(function: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[
     return over
 
 
+#: Repeats of a row that one task makes at most.
+REPEATS = 4096
+
+
+def repeated(rows: Callable[[DataFrame], DataFrame], plan: DataFrame, times: Column, number: str) -> DataFrame:
+    """``rows(plan)`` with each row as often as ``times`` says, numbered from 1.
+
+    plan is a written table with a row for each row of the result before it is repeated; times is made of its columns, all of which rows() keeps.
+    What is repeated more than ``REPEATS`` times is cut into ranges of so many, which are dealt out before they are made rows. So a
+    group that holds a third of all rows is made by many tasks, and no row ever holds more numbers than there are ranges.
+    """
+    start, least = F.lit(1).cast("long"), times.cast("long")
+    out = rows(plan.where((times > 0) & (times <= REPEATS))).withColumn(number, F.explode(F.sequence(start, least)))
+    many = plan.where(times > REPEATS)
+    if many.isEmpty():
+        return out
+    cut = rows(many).withColumn(f"{number}_range", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((least - 1) / REPEATS))))
+    first = F.col(f"{number}_range") * REPEATS
+    dealt = cut.repartition(*plan.columns, f"{number}_range").withColumn(number, F.explode(F.sequence(first + 1, F.least(least, first + REPEATS))))
+    return out.unionByName(dealt.drop(f"{number}_range"))
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldwright.llm.common import materialize
+from fieldwright.llm.common import materialize, repeated
 
 #: Share of an item's words that may differ.
 ERRORS = 0.2
@@ -157,7 +157,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS)
     key = ["doc_id", "h1", "h2", "item_id"]
     of_pass = reduce(DataFrame.union, parts).groupBy(*key, "pass").agg(best, F.count(F.lit(1)).alias("n"))
     found = of_pass.groupBy(*key).agg(F.min("m").alias("m"), F.max("n").alias("n"))
-    return found.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("doc_id", "item_id", "m.edits", "m.end_word")
+    plan = materialize(found.select("doc_id", "item_id", "m.edits", "m.end_word", "n"), "found")
+    return repeated(lambda part: part, plan, F.col("n"), "i").select("doc_id", "item_id", "edits", "end_word")
 
 
 def _one_pass(rows: DataFrame, items: list[tuple[int, str]], errors: float) -> DataFrame:

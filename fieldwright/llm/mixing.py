@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldwright.llm.common import materialize, row_hashes, word_count
+from fieldwright.llm.common import materialize, repeated, row_hashes, word_count
 
 #: Weights of the sources in order of code point, repeating; null last.
 WEIGHTS = (5, 2, 1)
@@ -96,7 +96,7 @@ def _with_decisions(docs: DataFrame, plan: DataFrame, times: Column, out: list[C
     h1, h2 = row_hashes(docs)
     # numbers for names, so that nothing clashes and columns that nobody asks for do not travel
     one = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], h1.alias("h1"), h2.alias("h2")).dropDuplicates(["h1", "h2"])
-    rows = one.join(plan.where(times > 0), ["h1", "h2"]).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    rows = repeated(lambda part: one.join(part, ["h1", "h2"]), materialize(plan, "plan"), times, "i")
     return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], *out)
 
 

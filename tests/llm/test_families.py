@@ -5,7 +5,8 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from fieldwright.llm import neardup
+from fieldwright.llm import common, decontaminate, mixing, neardup
+from fieldwright.llm.common import materialize, repeated
 
 FOLDER = "/root/testdata/sf0.1"
 
@@ -108,3 +109,26 @@ def test_the_second_search_finds_what_the_first_leaves(spark):
     roots = {x.node: x.root for x in neardup.connected_components(links).collect()}
     assert {i: roots.get(i, i) for i in sets} == {i: find(i) for i in sets}
     assert links.where(F.col("a") == F.col("b")).isEmpty()
+
+
+def test_many_equal_rows_are_made_by_many_tasks(spark):
+    plan = materialize(spark.createDataFrame([("hot", 1_000_000), ("odd", 4097), ("one", 1), ("none", 0), ("exact", 4096)], "name string, n long"), "plan")
+    texts = spark.createDataFrame([(n, f"text of {n}") for n in ("hot", "odd", "one", "none", "exact")], "name string, text string")
+    rows = repeated(lambda part: texts.join(part, "name"), plan, F.col("n"), "i")
+    got = {r.name: (r.n, r.low, r.high, r.d) for r in rows.groupBy("name").agg(F.count("*").alias("n"), F.min("i").alias("low"), F.max("i").alias("high"), F.countDistinct("i").alias("d")).collect()}
+    assert got == {"hot": (1_000_000, 1, 1_000_000, 1_000_000), "odd": (4097, 1, 4097, 4097), "one": (1, 1, 1, 1), "exact": (4096, 1, 4096, 4096)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = sorted(r.n for r in rows.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sizes[-1] < 3 * sum(sizes) / 8
+
+
+def test_equal_rows_in_bulk_give_the_same_results(spark, monkeypatch):
+    docs = spark.createDataFrame([(7, "hot words here and there", "a")] * 300 + [(i, f"text {i} of source", "ab"[i % 2]) for i in range(80)] + [(None, "hot words here and there", None)] * 40, "doc_id long, text string, source string").repartition(5)
+    bench = spark.createDataFrame([(1, "hot words here and there"), (2, "nothing like it at all")], "item_id long, text string")
+    ask = lambda: [sorted(map(str, df.collect())) for df in (mixing.mix(docs), mixing.mixed_documents(docs), decontaminate.contaminated(docs, bench))]
+    want = ask()
+    monkeypatch.setattr(common, "REPEATS", 16)
+    assert ask() == want and len(want[2]) == 340
