@@ -16,9 +16,12 @@ def resolved_overrides(overrides: DataFrame) -> DataFrame:
 
 
 def insert_once(arrivals: DataFrame, key: str) -> DataFrame:
-    """Every arrival with inserted: it is the first of its key."""
-    order = Window.partitionBy(key).orderBy("arrival")
-    return arrivals.withColumn("inserted", F.row_number().over(order) == 1)
+    """Every arrival with inserted: it is the first of its key; arrivals have numbers of their own. Null is a key too.
+
+    The first ones are counted out by key before anything is shuffled and joined back, so a key with most of the rows is no single task's matter.
+    """
+    first = arrivals.groupBy(F.col(key).alias("_key")).agg(F.min("arrival").alias("_first"))
+    return arrivals.join(first, F.col(key).eqNullSafe(F.col("_key"))).withColumn("inserted", F.col("arrival") == F.col("_first")).drop("_key", "_first")
 
 
 def next_versions(facts: DataFrame, key: str) -> DataFrame:

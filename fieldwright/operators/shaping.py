@@ -108,9 +108,14 @@ def upserted_by(existing: DataFrame, incoming: DataFrame, keys: list[str], arriv
 
 
 def inserted_or_found(arrivals: DataFrame, natural_key: list[str]) -> DataFrame:
-    """Every arrival (id, created_at, natural key) with the id under which its key was stored first, and whether that was now."""
-    order = Window.partitionBy(*natural_key).orderBy("created_at", "id")
-    return arrivals.withColumn("stored_id", F.first("id").over(order)).withColumn("inserted", F.row_number().over(order) == 1)
+    """Every arrival (id, created_at, natural key) with the id under which its key was stored first, and whether that was now. Ids are unique; nulls are keys like others.
+
+    Of each key one row is told before anything is shuffled, and joined back; so a hot key's rows need not meet.
+    """
+    first = arrivals.groupBy(*[F.col(k).alias(f"_{k}") for k in natural_key]).agg(F.min(F.struct("created_at", "id")).alias("_first"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in natural_key])
+    out = arrivals.join(first, same)
+    return out.select(*arrivals.columns, F.col("_first.id").alias("stored_id"), (F.col("id") == F.col("_first.id")).alias("inserted"))
 
 
 def expired_by_pass(passes: dict[str, tuple[DataFrame, Column]]) -> DataFrame:

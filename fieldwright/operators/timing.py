@@ -90,10 +90,20 @@ def call_cost(provider: Column, model: Column) -> Column:
     return F.when(provider == "deepseek", deep).otherwise(known).cast("long")
 
 
-def daily_spend(calls: DataFrame, cap: int) -> DataFrame:
-    """Calls with the provider's running cost of the day, in order; within: it is at most the cap."""
-    order = Window.partitionBy("provider", F.to_date("at")).orderBy("at", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return calls.withColumn("spent", F.sum("cost").over(order)).withColumn("within", F.col("spent") <= cap)
+def daily_spend(calls: DataFrame, cap: int, grain: str = "minute") -> DataFrame:
+    """Calls with the provider's running cost of the day, in order; within: it is at most the cap.
+
+    Calls are summed in order within a slot of time, and slots are summed before, so a provider's day is spread over as many
+    tasks as it has slots.
+    """
+    day, slot = F.to_date("at"), F.date_trunc(grain, "at")
+    slots = calls.groupBy(F.col("provider").alias("_provider"), day.alias("_day"), slot.alias("_slot")).agg(F.sum("cost").alias("_cost"))
+    before = (F.sum("_cost").over(Window.partitionBy("_provider", "_day").orderBy(F.col("_slot").asc_nulls_first())) - F.col("_cost")).alias("_before")
+    inside = Window.partitionBy("provider", slot).orderBy("at", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = calls.withColumn("_own", F.sum("cost").over(inside))
+    out = rows.join(slots.select("_provider", "_slot", before), F.col("provider").eqNullSafe(F.col("_provider")) & slot.eqNullSafe(F.col("_slot")))
+    spent = F.col("_before") + F.col("_own")
+    return out.select(*calls.columns, spent.alias("spent"), (spent <= cap).alias("within"))
 
 
 def coordination(calls: DataFrame, key: str) -> DataFrame:

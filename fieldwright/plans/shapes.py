@@ -178,11 +178,16 @@ def blocks_per_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaping.hourly_rate(parquet(spark, sf_dir, "events"), F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"), "ts")
 
 
-@query("""WITH t AS (SELECT p_partkey AS id, '[' || CASE WHEN p_name IS NULL THEN 'null' ELSE '"' || replace(replace(p_name, '\\', '\\\\'), '"', '\\"') || '"' END || ',"' || p_type || '",null]' AS t, p_brand FROM part)
-SELECT p_brand AS doc, sha256('[' || string_agg(t, ',' ORDER BY t) || ']') AS fields_hash, sha256('[' || string_agg(t, ',' ORDER BY id) || ']') AS resolved_hash FROM t GROUP BY 1""")
+@query("""
+WITH t AS (
+  SELECT l_orderkey AS doc, l_linenumber AS id, '["' || l_returnflag || l_linestatus || '","' || l_suppkey || '",null]' AS t FROM lineitem
+)
+SELECT doc, sha256('[' || string_agg(t, ',' ORDER BY t) || ']') AS fields_hash, sha256('[' || string_agg(t, ',' ORDER BY id, t) || ']') AS resolved_hash FROM t GROUP BY 1
+""")
 def canonical_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document's hash over its facts in any order, and one over its overrides in their order."""
-    rows = parquet(spark, sf_dir, "part").select(F.col("p_brand").alias("doc"), F.col("p_partkey").alias("id"), hashes.tuple_text(F.col("p_name"), F.col("p_type"), F.lit(None).cast("string")).alias("t"))
+    """An order's hash over its lines in any order, and one over them in their own."""
+    told = hashes.tuple_text(F.concat("l_returnflag", "l_linestatus"), F.col("l_suppkey").cast("string"), F.lit(None).cast("string"))
+    rows = parquet(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("id"), told.alias("t"))
     by_doc = rows.groupBy("doc").agg(F.collect_list("t").alias("items"), F.array_sort(F.collect_list(F.struct("id", "t"))).alias("ordered"))
     return by_doc.select("doc", hashes.set_hash(F.col("items")).alias("fields_hash"), hashes.ordered_hash(F.col("ordered.t")).alias("resolved_hash"))
 
