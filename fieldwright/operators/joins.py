@@ -114,7 +114,9 @@ def registry_lookup(lookups: DataFrame, registry: DataFrame) -> DataFrame:
     registry: category, key_uk, key_ru, aliases, official_en, valid_from, valid_until, confidence_rule, review_rule, ordinal. An exact spelling
     counts if its era fits, an era that does not fit is for review; what no spelling meets is unmatched and for review too.
     """
-    rows = registry.select("category", F.explode(spellings()).alias("key"), "ordinal", "official_en", "valid_from", "valid_until", "confidence_rule", "review_rule")
+    # of a spelling's rows of one era only the first can be told, so each lookup meets a row an era
+    first = F.min_by(F.struct("official_en", "confidence_rule", "review_rule"), "ordinal")
+    rows = registry.withColumn("key", F.explode(spellings())).groupBy("category", "key", "valid_from", "valid_until").agg(F.min("ordinal").alias("ordinal"), first.alias("row")).select("category", "key", "valid_from", "valid_until", "ordinal", "row.*")
     wanted = F.trim(F.regexp_replace(F.lower("term"), r"(?U)\s+", " "))
     fits = F.col("at").isNull() | ((F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("at"))) & (F.col("valid_until").isNull() | (F.col("at") <= F.col("valid_until"))))
     asked = lookups.select("category", wanted.alias("key"), "at").distinct()
