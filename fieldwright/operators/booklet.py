@@ -96,16 +96,18 @@ def booklet_date(text: Column) -> Column:
     """YYYY-MM-DD of a date with a month in words, in digits, or as three letters in two languages; null if there is none."""
 
     def told(day: Column, month: Column, year: Column) -> Column:
-        d, y = day.try_cast("int"), year.try_cast("int")
-        y = F.when(y < 100, F.when(y > 30, y + 1900).otherwise(y + 2000)).otherwise(y)
-        m = month.try_cast("int")
-        return F.when(m.between(1, 12) & d.between(1, 31) & y.between(1900, 2100), F.format_string("%d-%02d-%02d", y, m, d))
+        def whole(p: Column) -> Column:
+            y = F.when(p["y"] < 100, F.when(p["y"] > 30, p["y"] + 1900).otherwise(p["y"] + 2000)).otherwise(p["y"])
+            return F.when(p["m"].between(1, 12) & p["d"].between(1, 31) & y.between(1900, 2100), F.format_string("%d-%02d-%02d", y, p["m"], p["d"]))
+
+        return let(F.struct(day.try_cast("int").alias("d"), month.try_cast("int").alias("m"), year.try_cast("int").alias("y")), whole)
 
     def parsed(s: Column) -> Column:
         worded = r"(\d{1,2})\s+([а-яії]+)\s+(\d{2,4})"
         months = {w: f"{i % 12 + 1:02d}" for i, w in enumerate((*MONTHS_UA, *MONTHS_RU))}
         word = F.regexp_extract(s, worded, 2)
-        one = told(F.regexp_extract(s, worded, 1), F.coalesce(looked_up(months, word), looked_up(SHORT_MONTHS, F.substring(word, 1, 3))), F.regexp_extract(s, worded, 3))
+        month = let(word, lambda w: F.coalesce(looked_up(months, w), looked_up(SHORT_MONTHS, F.substring(w, 1, 3))))
+        one = told(F.regexp_extract(s, worded, 1), month, F.regexp_extract(s, worded, 3))
         digits = r"(\d{1,2})[.\-/](\d{1,2})[.\-/](\d{2,4})"
         two = told(*[F.regexp_extract(s, digits, i) for i in (1, 2, 3)])
         mixed = r"(\d{1,2})(?![A-Za-z0-9_])([^0-9]+)(?<![A-Za-z0-9_])(\d{2,4})(?![A-Za-z0-9_])"
@@ -113,7 +115,8 @@ def booklet_date(text: Column) -> Column:
         restored = lambda t: F.when(F.upper(t).rlike("^[ABCEHIKMOPTXYА-ЯІЇЄҐ]+$"), F.lower(F.translate(F.upper(t), *LOOKALIKES)))
         found = F.transform(tokens, lambda t: let(F.substring(t, 1, 3), lambda h: F.coalesce(looked_up(SHORT_MONTHS, h), looked_up(SHORT_MONTHS, restored(h)))))
         three = told(F.regexp_extract(s, mixed, 1), F.get(F.filter(found, lambda m: m.isNotNull()), 0), F.regexp_extract(s, mixed, 3))
-        return F.coalesce(one, two, three)
+        # all three hold a digit
+        return F.when(s.rlike("[0-9]"), F.coalesce(one, two, three))
 
     return let(F.lower(F.trim(text)), parsed)
 
@@ -196,15 +199,16 @@ def booklet(docs: DataFrame, today: str) -> DataFrame:
     """
     lowered = F.lower(F.coalesce("text", F.lit("")))
     some = lambda signs: F.exists(F.array(*map(F.lit, signs)), lambda s: F.contains(lowered, s))
-    # as rows of a generator lines and fields are made once
-    rows = docs.select("doc", some(STRONG_SIGNS).alias("strong"), some(WEAK_SIGNS).alias("weak"), F.inline(F.array(F.struct(_lines(F.col("text")).alias("lines")))))
+    # as rows of generators lines, what is found in them and the fields are made once, whatever is asked of them later
+    once = lambda *made: F.inline(F.array(F.struct(*made)))
+    rows = docs.select("doc", some(STRONG_SIGNS).alias("strong"), some(WEAK_SIGNS).alias("weak"), once(_lines(F.col("text")).alias("lines")))
     L = F.col("lines")
     found = F.struct(*[_field(L, labels).alias(name) for name, labels in LABELS.items()], _birth_place(L).alias("place"))
     numbers = F.filter(F.transform(L, lambda x, i: F.when(x["t"].rlike(NUMBER), F.struct(F.upper(F.concat(F.regexp_extract(x["t"], NUMBER, 1), F.lit(" "), F.regexp_extract(x["t"], NUMBER, 2))).alias("value"), i.alias("line_no")))), lambda h: h.isNotNull())
     born = F.transform(F.filter(F.transform(L, lambda x, i: F.struct(x["t"].alias("t"), booklet_date(x["c"]).alias("iso"), i.alias("line_no"), x["label"].alias("label"))), lambda d: ~d["label"] & d["iso"].isNotNull()), lambda d: d)
     year = int(today[:4])
     born = F.filter(born, lambda d: F.substring(d["iso"], 1, 4).cast("int").between(1920, year - 10))
-    rows = rows.where("strong or weak").select("doc", "strong", F.inline(F.array(F.struct(found.alias("f"), F.get(numbers, 0).alias("printed"), born.alias("born")))))
+    rows = rows.where("strong or weak").select("doc", "strong", once(found.alias("f"), F.get(numbers, 0).alias("printed"), born.alias("born")))
     # a document without signs keeps a row
     f = lambda name: F.col(f"f.{name}")
     value = lambda name: F.col(f"f.{name}.value")
@@ -212,9 +216,10 @@ def booklet(docs: DataFrame, today: str) -> DataFrame:
     def field(name: str, raw: Column, normalized: Column, zone: str, line: Column, on: Column) -> Column:
         return F.when(F.coalesce(on, F.lit(False)), F.struct(F.lit(name).alias("field"), raw.alias("raw"), normalized.alias("normalized"), F.lit(zone).alias("zone"), line.cast("int").alias("line_no")))
 
+    rows = rows.select("*", once(booklet_date(value("dob")).alias("dob"), booklet_date(value("passport_date_of_issue")).alias("issued"), clean(value("issued_by")).alias("office")))
     m = F.trim(value("middle_name"))
     plausible = ~m.rlike("[0-9]") & F.length(m).between(2, 40) & ~m.rlike(DATE_WORDS)
-    dob, issued = booklet_date(value("dob")), booklet_date(value("passport_date_of_issue"))
+    dob, issued, office = F.col("dob"), F.col("issued"), F.col("office")
     only = F.when(F.size("born") == 1, F.get("born", 0))
     compact = F.regexp_replace(F.upper(value("number")), r"(?U)\s+", "")
     labelled = F.when(compact.rlike(rf"^[{NUMBER_LETTERS}]{{2}}[0-9]{{6}}$"), F.concat(F.substring(compact, 1, 2), F.lit(" "), F.substring(compact, 3, 6)))
@@ -222,7 +227,6 @@ def booklet(docs: DataFrame, today: str) -> DataFrame:
     sex = looked_up(SEXES, F.substring(F.regexp_replace(F.upper(F.trim(value("sex"))), "[^A-ZА-ЯІЇЄҐ]", ""), 1, 5))
     city, oblast = F.col("f.place.city"), F.col("f.place.oblast")
     city_ok, oblast_ok = F.length(city).between(2, 60) & ~city.rlike("[0-9]{4}") & ~city.rlike(CITY_MONTHS), F.length(oblast) >= 4
-    office = clean(value("issued_by"))
     office_ok = F.length(office).between(4, 200)
     ukraine = F.lit("Ukraine")
     line = lambda name: F.col(f"f.{name}.line_no")
@@ -252,7 +256,7 @@ def booklet(docs: DataFrame, today: str) -> DataFrame:
         missing("issued_by", "booklet_issued_by_missing"), unlike("issued_by", ~office_ok, "booklet_issued_by_rejected_length"),
         missing("passport_date_of_issue", "booklet_date_of_issue_missing"), unlike("passport_date_of_issue", issued.isNull(), "booklet_date_of_issue_unparseable"), F.lit("booklet_no_expiration_date"),
     ]
-    read = rows.select("doc", F.lit(True).alias("matched"), F.when(F.col("strong"), "booklet_strong_signal_matched").otherwise("booklet_weak_signal_matched").alias("reason"), F.array_compact(F.array(*fields)).alias("fields"), F.array_compact(F.array(*warnings)).alias("warnings"))
+    read = rows.select("doc", F.lit(True).alias("matched"), F.when(F.col("strong"), "booklet_strong_signal_matched").otherwise("booklet_weak_signal_matched").alias("reason"), once(F.array_compact(F.array(*fields)).alias("fields"), F.array_compact(F.array(*warnings)).alias("warnings")))
     none = docs.where(~some(STRONG_SIGNS) & ~some(WEAK_SIGNS)).select("doc", F.lit(False).alias("matched"), F.lit("booklet_signals_missing").alias("reason"), F.filter(F.array(fields[-1]), lambda x: F.lit(False)).alias("fields"), F.array().cast("array<string>").alias("warnings"))
     return read.unionByName(none)
 

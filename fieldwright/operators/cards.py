@@ -75,7 +75,7 @@ def _address(lines: Column) -> Column:
         code = F.get(F.regexp_extract_all(line, F.lit(CODE), F.lit(1)), k)
 
         def told(before: Column) -> Column:
-            found = parts(trimmed(F.regexp_replace(F.regexp_extract(before, STATE, 1), r"(?U)[,\s]+$", "")))
+            found = let(trimmed(F.regexp_replace(F.regexp_extract(before, STATE, 1), r"(?U)[,\s]+$", "")), parts)
             state = F.regexp_extract(before, STATE, 2)
 
             def whole(p: Column) -> Column:
@@ -105,9 +105,10 @@ def licence_cards(docs: DataFrame) -> DataFrame:
     birth as YYYY-MM-DD. Null and empty texts are not matched.
     """
     split = F.split(F.coalesce("text", F.lit("")), r"\r?\n")
-    # as a row of a generator the address is made once
-    rows = docs.select("doc", split.alias("lines")).select("doc", "lines", F.inline(F.array(F.struct(_address(F.col("lines")).alias("address")))))
-    first = lambda pattern: F.get(F.filter(F.transform("lines", lambda t: F.when(t.rlike(pattern), F.regexp_extract(t, pattern, 1))), lambda v: v.isNotNull()), 0)
+    # as rows of generators lines, values and fields are made once, whatever is asked of them later
+    once = lambda *made: F.inline(F.array(F.struct(*made)))
+    first = lambda pattern: F.get(F.filter(F.transform("lines", lambda t: F.regexp_extract(t, pattern, 1)), lambda v: v != ""), 0)
+    rows = docs.select("doc", once(split.alias("lines"))).select("doc", once(_address(F.col("lines")).alias("address"), *[first(p).alias(name) for name, p, _ in FIELDS]))
 
     def field(name: str, raw: Column, normalized: Column, zone: str, review: bool) -> Column:
         return F.when(F.coalesce(raw != "", F.lit(False)), F.struct(F.lit(name).alias("field"), raw.alias("raw"), normalized.alias("normalized"), F.lit(zone).alias("zone"), F.lit(review).alias("review")))
@@ -116,9 +117,9 @@ def licence_cards(docs: DataFrame) -> DataFrame:
         "family_name": title_case, "given_name": lambda v: title_case(trimmed(v)), "dob": lambda v: F.regexp_replace(v, r"^(\d\d)/(\d\d)/(\d{4})$", "$3-$1-$2"),
         "height": lambda v: F.translate(F.regexp_replace(v, r"(?U)\s+", ""), "′″", "'\""),
     }
-    printed = [field(name, trimmed(first(p)) if name == "given_name" else first(p), shown.get(name, lambda v: v)(first(p)), zone, name in ("family_name", "given_name")) for name, p, zone in FIELDS]
+    printed = [field(name, trimmed(F.col(name)) if name == "given_name" else F.col(name), shown.get(name, lambda v: v)(F.col(name)), zone, name in ("family_name", "given_name")) for name, _, zone in FIELDS]
     place = [field(f"us_address_{part}", F.col(f"address.{part}"), F.col(f"address.{part}"), f"dl_address_{part}", True) for part in ("street", "city", "state", "zip")]
-    rows = rows.select("doc", "address", F.array_compact(F.array(*printed, *place)).alias("fields"))
+    rows = rows.select("doc", "address", once(F.array_compact(F.array(*printed, *place)).alias("fields")))
     matched = F.size("fields") >= 3
     warning = F.when(F.col("address").isNull(), "address_not_detected").when((F.col("address.street") == "") | (F.col("address.city") == ""), "address_partial")
     kept = F.filter("fields", lambda f: matched)

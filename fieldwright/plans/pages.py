@@ -12,7 +12,7 @@ from fieldwright.functions.dates import MONTHS_UA
 from fieldwright.operators import booklet, cards, extracted
 from fieldwright.plans.adapters import pick
 from fieldwright.plans.register import query
-from fieldwright.sources.tables import parquet
+from fieldwright.sources.tables import parquet, spread
 
 #: Letters for digits, so that each customer has a name of its own.
 _NAME = ("0123456789", "абвгдежзик")
@@ -47,7 +47,8 @@ def booklet_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     behind = lines(head, F.concat(F.lit(surname + ": "), s), F.concat(F.lit(given + ": "), g), F.concat(F.lit(birth + " "), said), number)
     below = lines(head, surname, s, given, g, birth, said)
     text = F.when(n % 4 == 0, above).when(n % 4 == 1, behind).when(n % 4 == 2, below).otherwise(F.concat(F.lit("page of "), F.col("c_name")))
-    return booklet.booklet_fields(parquet(spark, sf_dir, "customer").select(i.alias("doc"), text.alias("text")), TODAY).select("doc", "field", "normalized")
+    rows = spread(parquet(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_name"), "c_custkey")
+    return booklet.booklet_fields(rows.select(i.alias("doc"), text.alias("text")), TODAY).select("doc", "field", "normalized")
 
 
 @query("""
@@ -69,9 +70,10 @@ def licence_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders' customers as cards: the address in one line, with commas or without, in two lines, or without a street."""
     c = F.col
     rows = parquet(spark, sf_dir, "orders").join(parquet(spark, sf_dir, "customer"), c("c_custkey") == c("o_custkey")).join(parquet(spark, sf_dir, "part"), c("p_partkey") == c("c_custkey"))
+    rows = spread(rows.select("o_orderkey", "o_orderdate", "c_custkey", "c_nationkey", "c_mktsegment", "p_name"), "o_orderkey")
     words = F.split(F.upper("p_name"), " ")
     street, town = F.concat_ws(" ", c("c_custkey").cast("string"), words[0], F.lit("AVE")), words[1]
-    end = F.concat(F.when(c("c_nationkey") % 2 == 0, "CA").otherwise("NY"), F.lit(" "), F.right(F.lpad(c("o_orderkey").cast("string"), F.greatest(F.lit(5), F.length(c("o_orderkey").cast("string"))), F.lit("0")), F.lit(5)))
+    end = F.concat(F.when(c("c_nationkey") % 2 == 0, "CA").otherwise("NY"), F.lit(" "), F.lpad(c("o_orderkey").cast("string"), 5, "0"))
     k = c("o_orderkey") % 4
     tail = F.concat(town, F.lit(", "), end)
     address = F.when(k == 0, F.concat(street, F.lit(", "), tail)).when(k == 1, F.concat_ws(" ", street, F.lit("111"), town, end)).when(k == 2, F.concat(street, F.lit("\n"), tail)).otherwise(tail)

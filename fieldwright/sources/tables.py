@@ -14,6 +14,11 @@ def parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by key over as many tasks as a shuffle has: a file of one row group is one task otherwise, however much is made of each of its rows."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def registry(spark: SparkSession, path: str) -> DataFrame:
     """The registry from CSV with quotes and doubled quotes; aliases become an array, dates dates. A header that differs is an error."""
     rows = spark.read.csv(path, schema=REGISTRY, header=True, quote='"', escape='"', multiLine=True, enforceSchema=False)
