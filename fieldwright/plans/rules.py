@@ -273,7 +273,7 @@ SELECT key, id, outcome, waited, error FROM f WHERE n > 0""")
 def single_flight_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as requests for one answer a user, an hour told as a second; errors are calls that fail."""
     rows = parquet(spark, sf_dir, "events").select(
-        F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.expr("unix_micros(cast(ts as timestamp)) div 3600").alias("micros"), (F.col("value") * 1_000_000).cast("long").alias("took"), (F.col("event_type") != "error").alias("good"),
+        F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.expr("unix_micros(cast(ts as timestamp)) div 3600").alias("micros"), F.rint(F.col("value") * 1_000_000).cast("long").alias("took"), (F.col("event_type") != "error").alias("good"),
     )
     return leases.single_flight(rows)
 
