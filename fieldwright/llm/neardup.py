@@ -233,7 +233,11 @@ def rest_links(members: DataFrame, links: DataFrame) -> DataFrame:
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s[i], s[j])), pa.array(np.maximum(s[i], s[j]))], ["a", "b"])
 
-        roots = connected_components(links).withColumnRenamed("node", "s")
+        # what is together is one link a set from here on: its root's
+        components = connected_components(links)
+        before, links = links, components.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        released(before)
+        roots = components.withColumnRenamed("node", "s")
         rows = places.join(roots, "s", "left").select("token", "n", "s", "p", F.coalesce("root", "s").alias("root"))
         met = rows.repartition("token").sortWithinPartitions("token", "n", "s").mapInArrow(by_key(paired, [np.int64] * 5), "a long, b long")
         pairs = materialize(met.distinct(), "pairs")
