@@ -62,7 +62,8 @@ def merge_evidence(candidates: DataFrame) -> DataFrame:
 
 def component_consensus(dates: DataFrame) -> DataFrame:
     """(doc): year, month and day, each only where all readings agree on it."""
-    agreed = lambda c: F.when(F.count_distinct(c) == 1, F.max(c)).alias(c)
+    # the least is the greatest if all agree; distinct counts would have each reading shuffled once for each part
+    agreed = lambda c: F.when(F.min(c) == F.max(c), F.max(c)).alias(c)
     return dates.groupBy("doc").agg(agreed("year"), agreed("month"), agreed("day"), F.count(F.lit(1)).alias("n_readings"))
 
 
