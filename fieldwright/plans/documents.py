@@ -10,7 +10,7 @@ from fieldwright.operators import extract, joins, rules
 from fieldwright.plans.adapters import pick
 from fieldwright.plans.register import query
 from fieldwright.sources import tables
-from fieldwright.sources.tables import parquet
+from fieldwright.sources.tables import parquet, spread
 
 _ZONES = ("act_record", "issue", "father", "mother", "russian_layer", "cyrillic")
 
@@ -123,7 +123,8 @@ def card_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     signed = lambda c: F.concat(c, text.check_digit(c).cast("string"))
     one = F.rpad(F.concat(F.lit("IDUKR"), signed(F.lpad(i.cast("string"), 9, "0"))), 30, "<")
     two = F.rpad(F.concat(signed(F.concat(F.lit("70010"), (n % 9 + 1).cast("string"))), F.when(n % 2 == 0, "F").otherwise("M"), signed(F.lit("300101")), F.lit("UKR")), 29, "<")
-    lines = parquet(spark, sf_dir, "customer").select(i.alias("id"), one.alias("one"), two.alias("body"), F.rpad(F.concat("c_mktsegment", F.lit("<<ANNA")), 30, "<").alias("three"), n.alias("n"))
+    rows = spread(parquet(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), "c_custkey")
+    lines = rows.select(i.alias("id"), one.alias("one"), two.alias("body"), F.rpad(F.concat("c_mktsegment", F.lit("<<ANNA")), 30, "<").alias("three"), n.alias("n"))
     last = F.pmod(text.check_digit(F.concat("one", "body")) + F.when(F.col("n") % 5 == 0, 1).otherwise(0), F.lit(10))
     lines = lines.select("id", "one", F.concat("body", last.cast("string")).alias("two"), "three")
     read = extract.machine_fields(lines, ["id"], dates.mrz_td1(F.col("one"), F.col("two"), F.col("three")))
