@@ -9,7 +9,7 @@ from fieldwright.functions import dates, names, text
 from fieldwright.operators import extract
 from fieldwright.plans.adapters import pick
 from fieldwright.plans.register import query
-from fieldwright.sources.tables import parquet
+from fieldwright.sources.tables import parquet, spread
 
 #: Latin letters and the Cyrillic ones that stand for them in inputs.
 _LATIN, _UA, _RU = "abcdefghijklmnopqrstuvwxyz", "абцдефґгіїклмнопярстюєшийз", "абцдефжгиёклмнопярстюэшыйз"
@@ -95,7 +95,8 @@ def mrz_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     birth = F.concat(two(40 + i % 50), two(i % 12 + 1), two(i % 28 + 1))
     body = F.concat(signed(F.lpad(i.cast("string"), 9, "0")), F.lit("UKR"), signed(birth), pick(("F", "M", "<"), i % 3), signed(F.lit("300101")), signed(F.rpad(F.lit("AB"), 14, "<")))
     last = F.pmod(text.check_digit(F.col("body")) + F.when(i % 7 == 0, 1).otherwise(0), F.lit(10))
-    rows = parquet(spark, sf_dir, "customer").select("c_custkey", F.rpad(F.concat(F.lit("P<UKR"), "c_mktsegment", F.lit("<<ANNA<MARIA")), 44, "<").alias("one"), F.explode(F.array(body)).alias("body"))
+    dealt = spread(parquet(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")
+    rows = dealt.select("c_custkey", F.rpad(F.concat(F.lit("P<UKR"), "c_mktsegment", F.lit("<<ANNA<MARIA")), 44, "<").alias("one"), F.explode(F.array(body)).alias("body"))
     lines = rows.select(i.alias("id"), "one", F.explode(F.array(F.concat("body", last.cast("string")))).alias("two"))
     read = extract.machine_fields(lines, ["id"], dates.mrz_td3(F.col("one"), F.col("two")))
     return read.select("id", "document_type", "issuing_state", "document_number", "surname", "given_names", "date_of_birth", "sex", "checks_ok")
