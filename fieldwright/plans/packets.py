@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldwright.operators import knowledge
 from fieldwright.plans.adapters import pick
 from fieldwright.plans.register import query
-from fieldwright.sources.tables import parquet
+from fieldwright.sources.tables import parquet, spread
 
 _TITLE = "array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || x[2:]), ' ')"
 
@@ -35,7 +35,7 @@ def sibling_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patronymics checked with the sex and given name that their document tells elsewhere; half of the documents tell neither."""
     i, n = F.col("c_custkey"), F.col("c_nationkey")
     told = F.array(F.struct(F.lit("patronymic").alias("key"), pick(("Миколаївна", "Іванович", "нотаря", "Петрівна"), n % 4).alias("value")), F.struct(F.lit("sex").alias("key"), F.when(F.col("c_acctbal") > 0, "Female").alias("value")), F.struct(F.lit("given_name").alias("key"), F.when(F.col("c_acctbal") > 0, "Микола").alias("value")))
-    fields = parquet(spark, sf_dir, "customer").select(i.alias("doc"), F.explode(told).alias("t")).select("doc", "t.*")
+    fields = spread(parquet(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), "c_custkey").select(i.alias("doc"), F.explode(told).alias("t")).select("doc", "t.*")
     return knowledge.enriched(fields).where("key = 'patronymic'").select("doc", "value", "normalized", "review")
 
 
@@ -99,5 +99,5 @@ def document_form_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("family_name").alias("key"), F.when(k % 2 == 0, F.col("c_name")).otherwise(" ").alias("value")), F.struct(F.lit("family_name_latin").alias("key"), F.col("c_mktsegment").alias("value")),
         F.struct(F.lit("date_of_birth").alias("key"), F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), i.cast("int")), "yyyy-MM-dd").alias("value")), F.struct(F.lit("a_number").alias("key"), F.when(k % 3 > 0, F.concat(F.lit("A"), F.lpad(i.cast("string"), 9, "0"))).alias("value")),
     )
-    fields = parquet(spark, sf_dir, "customer").select(i.alias("doc"), F.explode(told).alias("t")).select("doc", "t.*")
+    fields = spread(parquet(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), "c_custkey").select(i.alias("doc"), F.explode(told).alias("t")).select("doc", "t.*")
     return knowledge.canonical_operations(fields, {"Line1": (("family_name", "family_name_latin"), "text", "plain"), "Line19": (("dob", "date_of_birth"), "text", "date"), "Line7": (("a_number",), "text", "a_number")})
