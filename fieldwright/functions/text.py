@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -127,10 +127,10 @@ def plausible_name(name: Column) -> Column:
 STABLE = r"^[\x{0000}-\x{02FF}\x{0400}-\x{0482}\x{048A}-\x{04FF}\x{2010}-\x{2027}\x{2116}]*$"
 
 
-@F.pandas_udf(StringType())
-def _composed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in texts:
-        yield s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+@F.arrow_udf(StringType())
+def _composed(texts: pa.Array) -> pa.Array:
+    """Of arrays, not of an iterator of them: Spark gives each call of an iterator's function a Python process of its own in every task, and these one for all calls."""
+    return texts if texts.null_count == len(texts) else pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
 
 
 def composed(text: Column) -> Column:
