@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ACTIONS = ("select", "insert", "update", "delete")
+#: Keys of parents that one task holds, on average; the number of tasks follows from it. So few as the second number are sent to all tasks.
+KEYS, FEW = 500_000, 10_000
 
 
 @dataclass(frozen=True)
@@ -86,6 +88,15 @@ def _simple(policy: Policy, who: Principal) -> Column | bool:
     raise ValueError(f"unknown kind of policy: {policy.kind}")
 
 
+def _dealt(keys: DataFrame) -> DataFrame:
+    """The distinct keys, dealt over as many tasks as they need; a task holds its own as a hash table, and the rows that ask for them pass by unsorted. A few keys are broadcast."""
+    n = keys.count()
+    if n <= FEW:
+        return F.broadcast(keys.distinct())
+    parts = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // KEYS))
+    return keys.repartition(parts, *keys.columns).distinct().hint("shuffle_hash")
+
+
 def allowed(rows: DataFrame, table: str, action: str, who: Principal, tables: dict[str, DataFrame], policies: tuple[Policy, ...] = POLICIES) -> DataFrame:
     """The rows of ``table`` on which the principal may do the action; for insert and update, rows as they would be stored.
 
@@ -104,7 +115,7 @@ def allowed(rows: DataFrame, table: str, action: str, who: Principal, tables: di
     out = rows
     for n, p in enumerate(asked):
         parents = allowed(tables[p.parent], p.parent, action, who, tables, tuple(Policy(p.parent, action, q.kind, q.column, q.parent, q.key, q.parents) for q in p.parents))
-        keys = parents.select(F.col(p.key).alias(f"_parent{n}")).where(F.col(f"_parent{n}").isNotNull()).distinct()
+        keys = _dealt(parents.select(F.col(p.key).alias(f"_parent{n}")).where(F.col(f"_parent{n}").isNotNull()))
         out = out.join(keys, F.col(p.column) == F.col(f"_parent{n}"), "left")
         flags.append(F.col(f"_parent{n}").isNotNull())
     conditions = [t for t in told if t is not False] + flags
