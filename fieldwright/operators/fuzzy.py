@@ -14,6 +14,8 @@ from fieldwright.functions.places import CONFUSABLE
 CHEAP, EDIT = 2, 5
 #: Spellings in a trie and readings searched in it by one task; beyond, tries and readings are split and each part meets each once.
 TRIE, READINGS = 50_000, 4_096
+#: Readings are dealt over all tasks of a shuffle as long as each part has a share of READINGS no smaller than one in so many.
+SPREAD = 16
 #: Readings walked down a trie together.
 TOGETHER = 64
 #: Categories whose spellings may be read wrongly; others are met exactly or not at all.
@@ -102,10 +104,12 @@ def weighted_matches(asked: DataFrame, known: DataFrame, share: float, cap: floa
 
     Letters that are taken for each other cost 0.4. A trie of a category's spellings is walked with a row of costs for each reading, and a branch is left as
     soon as no spelling below can be near enough. Distinct readings and spellings meet in a grid: large sets of either are dealt by
-    hash, each part of the ones meets each part of the others in one task, so neither is held whole and no category is one task. Empty and null ones meet nothing.
+    hash, each part of the ones meets each part of the others in one task, so neither is held whole and no category is one task. Parts are small in bytes
+    however long their walk takes, so their number is given and they are not put together again. Empty and null ones meet nothing.
     """
     asked, known = (d.select("category", c).where(F.length(c) > 0).distinct() for d, c in ((asked, "wanted"), (known, "key")))
-    shards, parts = max(1, -(-known.count() // (trie or TRIE))), max(1, -(-asked.count() // (readings or READINGS)))
+    most, tasks, n_asked = readings or READINGS, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), asked.count()
+    shards, parts = max(1, -(-known.count() // (trie or TRIE))), max(1, -(-n_asked // most), min(tasks, n_asked * SPREAD // most))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     left = asked.select("category", "wanted", own("wanted", parts).alias("part"), numbers(shards).alias("shard"))
@@ -117,8 +121,8 @@ def weighted_matches(asked: DataFrame, known: DataFrame, share: float, cap: floa
         category = (wanted if asked_for else keys).column("category")[:1].to_pylist() * len(q)
         return pa.table({"category": pa.array(category, pa.string()), "wanted": pa.array([asked_for[i] for i in q.tolist()], pa.string()), "key": pa.array([spellings.keys[i] for i in k.tolist()], pa.string()), "distance": pa.array(distance / EDIT, pa.float64())})
 
-    keys = ["category", "part", "shard"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(of, "category string, wanted string, key string, distance double")
+    keys, cells = ["category", "part", "shard"], max(tasks, parts * shards)
+    return left.repartition(cells, *keys).groupBy(*keys).cogroup(right.repartition(cells, *keys).groupBy(*keys)).applyInArrow(of, "category string, wanted string, key string, distance double")
 
 
 def spelled(col: Column) -> Column:
