@@ -94,10 +94,13 @@ def hard_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH f AS (SELECT c_custkey AS doc, c_name AS n, c_mktsegment AS m, c_nationkey AS k, strftime(DATE '1970-01-01' + c_custkey::INTEGER, '%m/%d/%Y') AS d FROM customer)
 SELECT doc, 'Line1' AS target, 'text' AS kind, CASE WHEN k % 2 = 0 THEN n ELSE m END AS value FROM f UNION ALL SELECT doc, 'Line19', 'text', d FROM f UNION ALL SELECT doc, 'Line7', 'text', lpad(doc::VARCHAR, 9, '0') FROM f WHERE k % 3 > 0""")
 def document_form_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as documents, born as many days after 1970 as their key tells; years of five digits, which are no ISO dates, are told as the form shows them."""
     i, k = F.col("c_custkey"), F.col("c_nationkey")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), i.cast("int"))
+    born = F.when(F.year(day) > 9999, F.date_format(day, "MM/dd/y")).otherwise(F.date_format(day, "yyyy-MM-dd"))
     told = F.array(
         F.struct(F.lit("family_name").alias("key"), F.when(k % 2 == 0, F.col("c_name")).otherwise(" ").alias("value")), F.struct(F.lit("family_name_latin").alias("key"), F.col("c_mktsegment").alias("value")),
-        F.struct(F.lit("date_of_birth").alias("key"), F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), i.cast("int")), "yyyy-MM-dd").alias("value")), F.struct(F.lit("a_number").alias("key"), F.when(k % 3 > 0, F.concat(F.lit("A"), F.lpad(i.cast("string"), 9, "0"))).alias("value")),
+        F.struct(F.lit("date_of_birth").alias("key"), born.alias("value")), F.struct(F.lit("a_number").alias("key"), F.when(k % 3 > 0, F.concat(F.lit("A"), F.lpad(i.cast("string"), 9, "0"))).alias("value")),
     )
-    fields = spread(parquet(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), "c_custkey").select(i.alias("doc"), F.explode(told).alias("t")).select("doc", "t.*")
+    fields = spread(parquet(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "c_custkey").select(i.alias("doc"), F.explode(told).alias("t")).select("doc", "t.*")
     return knowledge.canonical_operations(fields, {"Line1": (("family_name", "family_name_latin"), "text", "plain"), "Line19": (("dob", "date_of_birth"), "text", "date"), "Line7": (("a_number",), "text", "a_number")})
